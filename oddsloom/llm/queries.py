@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import dedup, mixing, warc
+from . import bpe, counting, dedup, mixing, quality, warc
 from .common import table
 
 
@@ -21,8 +22,20 @@ def op5_mixing(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "copies")
 
 
+def op7_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_token_counts(spark, sf_dir):
+    return counting.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries():
-    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mixing)}
+    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mixing, op7_bpe, op9_quality, op10_token_counts)}
 
 
 SQL = {
