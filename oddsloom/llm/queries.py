@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, counting, dedup, mixing, quality, warc
+from . import bpe, counting, dedup, mixing, neardup, quality, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op5_mixing(spark, sf_dir):
     return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "copies")
 
 
+def op6_near_dedup(spark, sf_dir):
+    return neardup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,7 +39,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mixing, op7_bpe, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mixing, op6_near_dedup, op7_bpe, op9_quality, op10_token_counts)}
 
 
 SQL = {
