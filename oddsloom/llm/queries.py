@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, counting, dedup, mixing, neardup, quality, warc
+from . import bpe, counting, dedup, html, mixing, neardup, quality, warc
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op7_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_html_text(spark, sf_dir):
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mixing, op6_near_dedup, op7_bpe, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mixing, op6_near_dedup, op7_bpe, op8_html_text, op9_quality, op10_token_counts)}
 
 
 SQL = {
