@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, counting, dedup, html, mixing, neardup, quality, warc
+from . import ann, bpe, counting, dedup, html, mixing, neardup, quality, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def op1_warc(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
+def op2_neighbours(spark, sf_dir):
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op3_exact_dedup, op5_mixing, op6_near_dedup, op7_bpe, op8_html_text, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_neighbours, op3_exact_dedup, op5_mixing, op6_near_dedup, op7_bpe, op8_html_text, op9_quality, op10_token_counts)}
 
 
 SQL = {
