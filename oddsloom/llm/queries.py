@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import ann, bpe, counting, dedup, html, mixing, neardup, quality, warc
+from . import ann, bpe, counting, dedup, html, licenses, mixing, neardup, quality, warc
 from .common import table
 
 
@@ -21,6 +21,11 @@ def op3_exact_dedup(spark, sf_dir):
     return dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.select("doc_id", licenses.document_path().alias("path"), "text"))
+
+
 def op5_mixing(spark, sf_dir):
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source", "copies")
@@ -47,10 +52,11 @@ def op10_token_counts(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_warc, op2_neighbours, op3_exact_dedup, op5_mixing, op6_near_dedup, op7_bpe, op8_html_text, op9_quality, op10_token_counts)}
+    return {f.__name__: f for f in (op1_warc, op2_neighbours, op3_exact_dedup, op4_licenses, op5_mixing, op6_near_dedup, op7_bpe, op8_html_text, op9_quality, op10_token_counts)}
 
 
 SQL = {
+    "op4_licenses": licenses.oracle_sql(),
     "op1_warc": """
         WITH p AS (
             SELECT page_id, coalesce(html, '') AS t FROM pages
