@@ -22,31 +22,37 @@ from pyspark.sql import functions as F
 from .common import body, stored
 
 COSINE = 0.7
-#: Notices by which works are put under a licence.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-2-Clause": "Licensed under the BSD 2-Clause License",
-    "BSD-3-Clause": "Licensed under the BSD 3-Clause License",
-    "CC-BY-4.0": "Licensed under Creative Commons CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
-    "CC0-1.0": "Dedicated to the public domain under CC0 1.0 Universal",
-    "GPL-2.0": "Licensed under the GNU General Public License, version 2",
-    "GPL-3.0": "Licensed under the GNU General Public License, version 3",
-    "ISC": "Released under the ISC License",
-    "LGPL-3.0": "Licensed under the GNU Lesser General Public License, version 3",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0",
-    "Unlicense": "Released into the public domain under the Unlicense",
+#: SPDX identifiers and names of licences.
+NAMES = {
+    "Apache-2.0": "the Apache License, Version 2.0",
+    "BSD-2-Clause": "the BSD 2-Clause License",
+    "BSD-3-Clause": "the BSD 3-Clause License",
+    "CC-BY-4.0": "CC BY 4.0",
+    "CC-BY-NC-4.0": "CC BY-NC 4.0",
+    "CC-BY-SA-4.0": "CC BY-SA 4.0",
+    "CC0-1.0": "CC0 1.0 Universal",
+    "GPL-2.0": "the GNU General Public License, version 2",
+    "GPL-3.0": "the GNU General Public License, version 3",
+    "ISC": "the ISC License",
+    "LGPL-3.0": "the GNU Lesser General Public License, version 3",
+    "MIT": "the MIT License",
+    "MPL-2.0": "the Mozilla Public License, version 2.0",
+    "Unlicense": "the Unlicense",
 }
+#: Wordings by which works are put under a licence; the last is a name alone, as in the title of a licence file.
+WORDINGS = ("Licensed under {}", "Released under {}", "This work is licensed under {}", "This program is distributed under the terms of {}", "{}")
+#: A template for each licence and wording, named licence#number.
+TEMPLATES = {f"{licence}#{i}": wording.format(name) for licence, name in NAMES.items() for i, wording in enumerate(WORDINGS)}
 #: A term: letters and digits of ASCII, with full stops inside.
 TERM = "[a-z0-9]+(?:[.][a-z0-9]+)*"
+#: Words that most texts hold; they are not used to find likely units.
+COMMON = frozenset("a and by is of the this to under".split())
 #: Names of licence files.
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying|unlicense)([-.][^/]*)?$"
 
 
 def weights(templates: dict[str, str]) -> tuple[dict[str, float], float, list[tuple[str, str, float]]]:
-    """The rarity of each term, that of terms in no template, and (term, licence, weight) of unit vectors."""
+    """The rarity of each term, that of terms in no template, and (term, template, weight) of unit vectors."""
     counts = {name: Counter(re.findall(TERM, text.lower())) for name, text in templates.items()}
     df = Counter(t for c in counts.values() for t in c)
     rarity = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
@@ -66,7 +72,7 @@ def anchors(rows: list[tuple[str, str, float]], cosine: float) -> list[str]:
     out = set()
     for name in {n for _, n, _ in rows}:
         left = 0.0
-        for term, w in sorted(((t, w) for t, n, w in rows if n == name), key=lambda x: (x[1], x[0])):
+        for term, w in sorted(((t, w) for t, n, w in rows if n == name), key=lambda x: (x[0] not in COMMON, x[1], x[0])):
             left += w * w
             if left >= cosine * cosine - 1e-9:
                 out.add(term)
@@ -87,8 +93,8 @@ def match_units(units: DataFrame, keys: list[str], templates: dict[str, str], co
     weighed = terms.join(F.broadcast(_values(spark, list(rarity.items()), "term, rarity")), "term", "left").withColumn("x", F.col("tf") * F.coalesce("rarity", F.lit(other)))
     weighed = weighed.select(*keys, "term", "x")
     length = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    dots = weighed.join(F.broadcast(_values(spark, rows, "term, licence, w")), "term").groupBy(*keys, "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
-    scores = dots.join(length, keys).select(*keys, "licence", F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= cosine)
+    dots = weighed.join(F.broadcast(_values(spark, rows, "term, template, w")), "term").groupBy(*keys, "template").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    scores = dots.join(length, keys).select(*keys, F.substring_index("template", "#", 1).alias("licence"), F.round(F.col("dot") / F.col("length"), 6).alias("score")).where(F.col("score") >= cosine)
     # The least licence of the largest score.
     best = scores.groupBy(*keys).agg(F.max("score").alias("score"), F.collect_list(F.struct("score", "licence")).alias("all"))
     return best.select(*keys, F.array_min(F.transform(F.filter("all", lambda s: s["score"] == F.col("score")), lambda s: s["licence"])).alias("licence"), "score")
@@ -157,7 +163,7 @@ def oracle_sql(templates: dict[str, str] = TEMPLATES, cosine: float = COSINE) ->
     terms = ", ".join(f"('{t}', {r!r}::DOUBLE)" for t, r in rarity.items())
     vectors = ", ".join(f"('{t}', '{n}', {w!r}::DOUBLE)" for t, n, w in rows)
     return f"""
-        WITH rarity(term, rarity) AS (VALUES {terms}), tw(term, licence, w) AS (VALUES {vectors}),
+        WITH rarity(term, rarity) AS (VALUES {terms}), tw(term, template, w) AS (VALUES {vectors}),
         d AS (SELECT doc_id, coalesce(source, '-') || '/' || coalesce(lang, '-') || '/' || doc_id || '.txt' AS path, coalesce(text, '') AS text FROM documents),
         u AS (
             SELECT doc_id, 0 AS line, text AS unit FROM d
@@ -167,7 +173,7 @@ def oracle_sql(templates: dict[str, str] = TEMPLATES, cosine: float = COSINE) ->
         t AS (SELECT doc_id, line, term, count(*) AS tf FROM (SELECT doc_id, line, unnest(regexp_extract_all(lower(unit), '{TERM}')) AS term FROM u) GROUP BY ALL),
         x AS (SELECT doc_id, line, term, tf * coalesce(rarity, {other!r}::DOUBLE) AS x FROM t LEFT JOIN rarity USING (term)),
         n AS (SELECT doc_id, line, sqrt(sum(x * x)) AS len FROM x GROUP BY ALL),
-        s AS (SELECT doc_id, line, licence, round(sum(x * w) / any_value(len), 6) AS score FROM x JOIN tw USING (term) JOIN n USING (doc_id, line) GROUP BY doc_id, line, licence),
+        s AS (SELECT doc_id, line, string_split(template, '#')[1] AS licence, round(sum(x * w) / any_value(len), 6) AS score FROM x JOIN tw USING (term) JOIN n USING (doc_id, line) GROUP BY doc_id, line, template),
         m AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, least(line, 1), licence, line) AS r FROM s WHERE score >= {cosine}),
         own AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS dir, licence, score, CASE WHEN line = 0 THEN 'file' WHEN licence IS NOT NULL THEN 'header' END AS origin
                 FROM d LEFT JOIN (SELECT * FROM m WHERE r = 1) USING (doc_id)),
