@@ -67,7 +67,7 @@ def summary() -> dict[str, Column]:
         "brier": F.round(model, 5),
         "market_brier": F.round(market, 5),
         "log_loss": F.round(log_loss(F.col("p_side"), y), 5),
-        "improvement": F.round(market - model, 5),
+        "improvement": F.round(market - model + 1e-9, 5),  # ties go up, whatever the order of the sums
     }
 
 

@@ -50,7 +50,7 @@ SUMMARY_SQL = """count(*) AS n_settled, count(*) FILTER (pnl4 > 0) AS wins, roun
     CASE WHEN sum(CASE WHEN pnl4 < 0 THEN 1 ELSE 0 END) > 0 THEN round(coalesce(CAST(sum(pnl4) FILTER (pnl4 > 0) AS DOUBLE), 0) / -CAST(sum(pnl4) FILTER (pnl4 < 0) AS DOUBLE), 5) END AS profit_factor,
     CASE WHEN count(*) >= 2 AND stddev_samp(CAST(pnl4 AS DOUBLE) / CAST(stake4 AS DOUBLE)) > 0 THEN round(avg(CAST(pnl4 AS DOUBLE) / CAST(stake4 AS DOUBLE)) / stddev_samp(CAST(pnl4 AS DOUBLE) / CAST(stake4 AS DOUBLE)), 5) END AS sharpe,
     round(avg(pow(p_side / 100.0::DOUBLE - y, 2)), 5) AS brier, round(avg(pow(market_p / 100.0::DOUBLE - y, 2)), 5) AS market_brier,
-    round(avg(-(y * ln(p_side / 100.0::DOUBLE) + (1 - y) * ln(1 - p_side / 100.0::DOUBLE))), 5) AS log_loss, round(avg(pow(market_p / 100.0::DOUBLE - y, 2)) - avg(pow(p_side / 100.0::DOUBLE - y, 2)), 5) AS improvement"""
+    round(avg(-(y * ln(p_side / 100.0::DOUBLE) + (1 - y) * ln(1 - p_side / 100.0::DOUBLE))), 5) AS log_loss, round(avg(pow(market_p / 100.0::DOUBLE - y, 2)) - avg(pow(p_side / 100.0::DOUBLE - y, 2)) + 1e-9, 5) AS improvement"""
 
 
 def strategy_summary(spark, sf_dir):
@@ -186,14 +186,14 @@ def retrodiction(spark, sf_dir):
     leads = p.select("market_id").distinct().withColumn("lead", F.explode(F.array(*map(F.lit, (6, 24, 72, 168)))))
     asked = leads.withColumn("at", F.timestamp_add("HOUR", -F.col("lead"), end))
     out = latest.as_of(asked, p, "market_id", "at", "observed_at", ["price", "event_id"], "event_id", tolerance_seconds=7200)
-    return out.select("market_id", "lead", F.col("price").alias("price"), F.col("event_id").alias("event_id"), F.when(F.col("price").isNull(), "no_price").otherwise("used").alias("status"))
+    return out.select("market_id", "lead", F.col("price").alias("price"), F.coalesce("event_id", F.lit(-1)).alias("event_id"), F.when(F.col("price").isNull(), "no_price").otherwise("used").alias("status"))
 
 
 RETRO_SQL = f"""
     WITH {A.PRICES}, a AS (SELECT market_id, CAST(lead AS INTEGER) AS lead, TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 1 HOUR * lead AS moment FROM (SELECT DISTINCT market_id FROM pr), (SELECT unnest([6, 24, 72, 168]) AS lead)),
     j AS (SELECT a.*, price, event_id, row_number() OVER (PARTITION BY a.market_id, lead ORDER BY observed_at DESC NULLS LAST, event_id DESC) AS r
           FROM a LEFT JOIN pr ON a.market_id = pr.market_id AND observed_at <= moment AND observed_at >= moment - INTERVAL 2 HOUR)
-    SELECT market_id, lead, price, event_id, CASE WHEN price IS NULL THEN 'no_price' ELSE 'used' END AS status FROM j WHERE r = 1"""
+    SELECT market_id, lead, price, coalesce(event_id, -1) AS event_id, CASE WHEN price IS NULL THEN 'no_price' ELSE 'used' END AS status FROM j WHERE r = 1"""
 
 
 def readiness(spark, sf_dir):
