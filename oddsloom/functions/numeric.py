@@ -53,7 +53,8 @@ def clamp(x: Column, low=0, high=1) -> Column:
 
 def clamp_prob(x: Column) -> Column:
     x = x.cast("double")
-    return F.least(F.greatest(x, F.lit(EPSILON)), F.lit(1 - EPSILON))
+    # greatest and least skip nulls; an unknown probability stays unknown.
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(EPSILON)), F.lit(1 - EPSILON)))
 
 
 def safe_div(n: Column, d: Column, default=0) -> Column:

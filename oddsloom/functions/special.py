@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .numeric import clamp_prob
@@ -37,18 +37,22 @@ def logistic(z: Column) -> Column:
 def gbm_above(spot: Column, strike: Column, vol: Column, years: Column) -> Column:
     """P(S_T > K) of a driftless geometric Brownian motion; an indicator where time or volatility is none."""
     sd = vol * F.sqrt(years)
-    d = (F.log(spot / strike) - vol * vol * years / 2) / sd
+    d = F.try_divide(F.log(spot / strike) - vol * vol * years / 2, sd)
     return F.when((years <= 0) | (vol <= 0), (spot > strike).cast("double")).otherwise(normal_cdf(d))
 
 
-def gbm_touch(spot: Column, barrier: Column, vol: Column, years: Column) -> Column:
-    """P(the path reaches the barrier before T), from either side, by the reflection principle."""
-    sd = vol * F.sqrt(years)
-    b, mu = F.log(barrier / spot), -vol * vol / 2
-    up = normal_cdf((mu * years - b) / sd) + F.exp(2 * mu * b / (vol * vol)) * normal_cdf((-b - mu * years) / sd)
-    down = normal_cdf((b - mu * years) / sd) + F.exp(2 * mu * b / (vol * vol)) * normal_cdf((b + mu * years) / sd)
-    reached = F.when(barrier >= spot, up).otherwise(down)
-    return F.when(barrier == spot, 1.0).when((years <= 0) | (vol <= 0), 0.0).otherwise(F.least(F.greatest(reached, F.lit(0.0)), F.lit(1.0)))
+def with_gbm_touch(df: DataFrame, name: str, spot: Column, barrier: Column, vol: Column, years: Column) -> DataFrame:
+    """Adds P(the path reaches the barrier before T), from either side, by the reflection principle.
+
+    The arguments of the distribution function are columns of their own, which keeps the generated
+    code within a method's limit.
+    """
+    sd, b, mu = vol * F.sqrt(years), F.log(barrier / spot), -vol * vol / 2
+    sign = F.when(barrier >= spot, 1.0).otherwise(-1.0)
+    out = df.withColumns({"__z1": F.try_divide(sign * (mu * years - b), sd), "__z2": F.try_divide(sign * (-b - mu * years), sd), "__e": F.exp(F.try_divide(2 * mu * b, vol * vol)), "__same": barrier == spot, "__none": (years <= 0) | (vol <= 0)})
+    out = out.withColumns({"__p1": normal_cdf(F.col("__z1")), "__p2": normal_cdf(F.col("__z2"))})
+    reached = F.least(F.greatest(F.col("__p1") + F.col("__e") * F.col("__p2"), F.lit(0.0)), F.lit(1.0))
+    return out.withColumn(name, F.when(F.col("__same"), 1.0).when(F.col("__none"), 0.0).otherwise(reached)).drop("__z1", "__z2", "__e", "__same", "__none", "__p1", "__p2")
 
 
 def normal_cdf_sql(x: str) -> str:
