@@ -84,11 +84,30 @@ def _values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {quoted} AS t({schema})")
 
 
+def hopeful(units: DataFrame, templates: dict[str, str], cosine: float) -> DataFrame:
+    """The units that may reach ``cosine``, with their ``terms``.
+
+    A cosine is at most the length of the part of a unit that lies in the templates' terms, over the
+    length of all of it; and the rest is at least as long as if none of its terms came twice.  The
+    first is computed, the second bounded by a count, so nothing is sent to other tasks for this.
+    """
+    rarity, other, _ = weights(templates)
+    terms = units.withColumn("terms", F.regexp_extract_all(F.lower("unit"), F.lit(TERM), 0)).drop("unit")
+    terms = terms.withColumn("known", F.filter("terms", lambda t: t.isin(*rarity)))
+    rare = F.create_map(*(F.lit(x) for pair in rarity.items() for x in pair))
+    squares = F.transform(F.array_distinct("known"), lambda v: F.pow(F.size(F.filter("known", lambda t: t == v)) * F.element_at(rare, v), F.lit(2.0)))
+    inside = F.aggregate(squares, F.lit(0.0), lambda a, x: a + x)
+    outside = (F.size("terms") - F.size("known")) * (other * other)
+    may = inside * (1 - cosine * cosine) >= outside * (cosine * cosine) - 1e-9
+    return terms.where((F.size("known") > 0) & may).drop("known")
+
+
 def match_units(units: DataFrame, keys: list[str], templates: dict[str, str], cosine: float) -> DataFrame:
-    """keys, licence and score of each of ``units`` (keys, unit string) that matches a template."""
+    """keys, licence and score of each of ``units`` (keys, terms array) that matches a template."""
     spark = units.sparkSession
     rarity, other, rows = weights(templates)
-    terms = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("unit"), F.lit(TERM), 0)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    terms = units.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    terms = stored(terms, "licence-terms")
     # The templates are a fixed table of a few hundred rows.
     weighed = terms.join(F.broadcast(_values(spark, list(rarity.items()), "term, rarity")), "term", "left").withColumn("x", F.col("tf") * F.coalesce("rarity", F.lit(other)))
     weighed = weighed.select(*keys, "term", "x")
@@ -123,7 +142,7 @@ def scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, cosine: float
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("unit"))), lambda s: s["unit"].rlike(held))
     whole = F.struct(F.lit(0).alias("line"), F.col("text").alias("unit"))
     units = likely.select("path", "key", F.explode(F.concat(F.array(whole), lines)).alias("u")).select("path", "key", "u.line", "u.unit")
-    matched = stored(match_units(units, ["path", "key", "line"], templates, cosine), "licence-lines")
+    matched = stored(match_units(hopeful(units, templates, cosine), ["path", "key", "line"], templates, cosine), "licence-lines")
     first = F.struct((-F.col("score")).alias("neg"), F.least("line", F.lit(1)).alias("is_line"), "licence", "line")
     own = matched.groupBy("path", "key").agg(F.min(first).alias("m")).select("path", "key", "m.licence", (-F.col("m.neg")).alias("score"), F.when(F.col("m.line") == 0, "file").otherwise("header").alias("origin"))
     own = stored(own, "licences")
