@@ -88,7 +88,7 @@ def pooled(opinions: DataFrame) -> DataFrame:
     ilo = F.col("iwlo") / F.col("iw")
     wide = F.col("sigma") * risk_multiplier(F.col("groups"))
     late = F.when(F.col("age") > 3600, 0.02).otherwise(0.0)
-    decision = lambda low: F.when(F.col("has_independent_prior"), F.round(F.least(F.greatest(low * F.col("reliability") - late, F.lit(0.0)), F.lit(1.0)), 6))
+    decision = lambda low: F.when(F.col("has_independent_prior"), F.round(F.least(F.greatest(low * F.col("reliability") - late, F.lit(0.0)), F.lit(1.0)) + 1e-9, 6))  # ties go up
     return out.select(
         "market_id",
         F.round(F.col("mean"), 6).alias("mean"),

@@ -49,7 +49,7 @@ ENSEMBLE_SQL = f"""
     i AS (SELECT *, sigma * CASE groups WHEN 0 THEN 3.0 WHEN 1 THEN 1.4 WHEN 2 THEN 1.15 ELSE 1 END AS wide FROM s),
     e AS (SELECT *, round(least(greatest(1 / (1 + exp(-(ilo - 1.2816 * wide))), 1e-6), 1 - 1e-6), 6) AS il, round(least(greatest(1 / (1 + exp(-(ilo + 1.2816 * wide))), 1e-6), 1 - 1e-6), 6) AS ih FROM i)
     SELECT market_id, round((mean), 6) AS mean, round((least(greatest(1 / (1 + exp(-(mlo - 1.2816 * sigma))), 1e-6), 1 - 1e-6)), 6) AS low, round((least(greatest(1 / (1 + exp(-(mlo + 1.2816 * sigma))), 1e-6), 1 - 1e-6)), 6) AS high, conf AS model_confidence,
-           round((1 / (1 + exp(-ilo))), 6) AS independent, CASE WHEN has THEN round((least(greatest(il * rel - CASE WHEN age > 3600 THEN 0.02 ELSE 0 END, 0), 1)), 6) END AS decision_yes, CASE WHEN has THEN round((least(greatest((1 - ih) * rel - CASE WHEN age > 3600 THEN 0.02 ELSE 0 END, 0), 1)), 6) END AS decision_no,
+           round((1 / (1 + exp(-ilo))), 6) AS independent, CASE WHEN has THEN round((least(greatest(il * rel - CASE WHEN age > 3600 THEN 0.02 ELSE 0 END, 0), 1) + 1e-9), 6) END AS decision_yes, CASE WHEN has THEN round((least(greatest((1 - ih) * rel - CASE WHEN age > 3600 THEN 0.02 ELSE 0 END, 0), 1) + 1e-9), 6) END AS decision_no,
            has AS has_independent_prior, groups AS independent_sources, age, n AS n_components FROM e"""
 
 
