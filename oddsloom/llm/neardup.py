@@ -268,7 +268,8 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     pairs = stored(pairs, "pairs")
 
     asked = stored(meets.select("node").join(nodes.select("node", "rep"), "node"), "asked")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(asked, "rep")
+    # The same plan at every size: the documents that are asked for grow with the table, so they are never broadcast.
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(asked.hint("merge"), "rep")
     items = stored(_elements(texts, weights, words), "items")
     of = lambda name: items.select(F.col("node").alias(name), F.col("items").alias(f"{name}_items"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
