@@ -154,7 +154,7 @@ def _binary(name: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, weights: str = "set", words: int = WORDS) -> DataFrame:
-    """doc_id, node, bands (array<long>) of each row of ``docs`` (doc_id, text).
+    """doc_id, ref, node, bands (array<long>) of each row of ``docs`` (doc_id, ref, text).
 
     ``weights``: "set" gives each shingle the weight 1, so that similarity is Jaccard's of sets;
     "count" weighs shingles by their multiplicity.
@@ -162,7 +162,7 @@ def sketches(docs: DataFrame, weights: str = "set", words: int = WORDS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = utf8(batch.column(1))
+            raw, at = utf8(batch.column(2))
             for a, b in slices(at, SLICE):
                 n = b - a
                 doc, hashed, times = shingles(raw[at[a] : at[b]], at[a : b + 1] - at[a], words)
@@ -173,9 +173,10 @@ def sketches(docs: DataFrame, weights: str = "set", words: int = WORDS) -> DataF
                 size = np.where(np.bincount(doc, minlength=n)[:n] > 0, BANDS, 0)
                 flat = band[size > 0].reshape(-1)
                 name = _node(doc, hashed if weights == "set" else mixed(hashed + times.astype(np.uint64)), n)
-                yield pa.record_batch([batch.column(0).slice(a, n), _binary(name), pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(flat))], ["doc_id", "node", "bands"])
+                bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(flat))
+                yield pa.record_batch([batch.column(0).slice(a, n), batch.column(1).slice(a, n), _binary(name), bands], ["doc_id", "ref", "node", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return docs.select("doc_id", "ref", "text").mapInArrow(run, "doc_id long, ref long, node binary, bands array<long>")
 
 
 def _elements(texts: DataFrame, weights: str, words: int) -> DataFrame:
@@ -256,8 +257,10 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     the greatest; a class of null ids has a null class_id and keeps its rows.  An empty table gives an
     empty result; columns besides doc_id and text are ignored.
     """
+    # ref leads back to a text; it stands in for the doc_ids that are null.
+    docs = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("ref"), "text")
     rows = stored(sketches(docs, weights, words), "sketches")
-    nodes = stored(rows.groupBy("node", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")), "nodes")
+    nodes = stored(rows.groupBy("node", "bands").agg(F.min("doc_id").alias("rep"), F.min("ref").alias("ref"), F.count("*").alias("n_rows")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     counts = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = stored(members.join(counts, "bucket"), "members")
@@ -267,9 +270,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     pairs = members.join(hubs, "bucket").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = stored(pairs, "pairs")
 
-    asked = stored(meets.select("node").join(nodes.select("node", "rep"), "node"), "asked")
+    asked = stored(meets.select("node").join(nodes.select("node", "ref"), "node"), "asked")
     # The same plan at every size: the documents that are asked for grow with the table, so they are never broadcast.
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(asked.hint("merge"), "rep")
+    texts = docs.select("ref", "text").join(asked.hint("merge"), "ref")
     items = stored(_elements(texts, weights, words), "items")
     of = lambda name: items.select(F.col("node").alias(name), F.col("items").alias(f"{name}_items"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")

@@ -149,16 +149,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteConvN
     return net.fit([r.text.encode() for r in rows], np.array([r.quality for r in rows])) if rows else net
 
 
-def scored(docs: DataFrame, net: ByteConvNet) -> DataFrame:
-    """``docs`` with score (0 to 1, higher: better) of its whole texts; null texts count as empty."""
-    schema = docs.select(*docs.columns).schema.add("score", "double")
+def scored(docs: DataFrame, net: ByteConvNet, name: str = "score") -> DataFrame:
+    """``docs`` with a score (0 to 1, higher: better) of its whole texts; null texts count as empty."""
+    schema = docs.select(*docs.columns).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, at = utf8(batch.column(batch.schema.get_field_index("text")))
             parts = [net.score(raw[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in slices(at, SLICE)]
             out = np.concatenate(parts) if parts else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
@@ -175,4 +175,4 @@ def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``docs`` without the rows that the classifier rejects."""
-    return scored(docs, train(docs, labels, sample)).where(F.col("score") >= PASS_SCORE).drop("score")
+    return scored(docs, train(docs, labels, sample), "__score").where(F.col("__score") >= PASS_SCORE).drop("__score")
