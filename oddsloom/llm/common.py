@@ -31,11 +31,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and read it back, which cuts its lineage."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch while :func:`stored` writes whole texts or sets of shingles that pass through Python.
+BATCH_ROWS = "1000"
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str, wide: bool = False) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back, which cuts its lineage.
+
+    ``wide``: rows are long, so tasks hand fewer of them to Python at once.
+    """
+    spark = df.sparkSession
+    path, usual = scratch(spark, name), spark.conf.get(_ROWS)
+    if wide:
+        spark.conf.set(_ROWS, BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_ROWS, usual)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def body(column: str = "text"):

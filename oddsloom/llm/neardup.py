@@ -36,7 +36,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: 24 bands of 6 coordinates: a pair of similarity 0.8 meets with a probability of 0.9993.
 BANDS, ROWS = 24, 6
-SLICE = 2 << 20
+#: Bytes of text that a task works on at once; a longer text is worked on alone.
+SLICE = 512 << 10
 #: Nodes of a block in the exact comparison of a bucket.
 BLOCK = 256
 
@@ -259,7 +260,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     """
     # ref leads back to a text; it stands in for the doc_ids that are null.
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("ref"), "text")
-    rows = stored(sketches(docs, weights, words), "sketches")
+    rows = stored(sketches(docs, weights, words), "sketches", wide=True)
     nodes = stored(rows.groupBy("node", "bands").agg(F.min("doc_id").alias("rep"), F.min("ref").alias("ref"), F.count("*").alias("n_rows")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     counts = stored(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
@@ -273,7 +274,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     asked = stored(meets.select("node").join(nodes.select("node", "ref"), "node"), "asked")
     # The same plan at every size: the documents that are asked for grow with the table, so they are never broadcast.
     texts = docs.select("ref", "text").join(asked.hint("merge"), "ref")
-    items = stored(_elements(texts, weights, words), "items")
+    items = stored(_elements(texts, weights, words), "items", wide=True)
     of = lambda name: items.select(F.col("node").alias(name), F.col("items").alias(f"{name}_items"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("a_items", "b_items"))
@@ -288,7 +289,7 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     dealt = labelled.join(mixed_up, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), last + 1).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     dealt = dealt.join(items, "node").select("bucket", "i", "j", "side", "node", "label", "items")
-    more = stored(dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links(similarity), "a binary, b binary").distinct(), "more-links")
+    more = stored(dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links(similarity), "a binary, b binary").distinct(), "more-links", wide=True)
     if not more.isEmpty():
         classes = components(links.unionByName(more))
 
