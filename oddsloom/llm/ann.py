@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidied
 
 #: Rows that the centroids are fitted on, at most, and that the first bounds come from.
 SAMPLE = 8192
@@ -147,7 +147,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
     centres, turn = centroids(sample, lists), rotation(d)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             x = _matrix(batch.column(1), d)
             yield pa.record_batch([pa.array(nearest(x, centres).astype(np.int32)), *batch.columns], ["list", "vec_id", "embedding"])
 
@@ -156,7 +156,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
     probes = _probes(placed, queries, centres, d, k, recall)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 q, ids = _matrix(part.column(1), d), part.column(0).to_numpy()
@@ -189,7 +189,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
 
     def from_sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best of the sample, which set the bounds: whatever is probed, there are as many results as candidates allow."""
-        for batch in batches:
+        for batch in tidied(batches):
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 q, ids = _matrix(part.column(1), d), part.column(0).to_numpy()
@@ -214,7 +214,7 @@ def _probes(placed: DataFrame, queries: DataFrame, centres: np.ndarray, d: int,
     q, ids = _matrix(picked.column("embedding"), d), picked.column("vec_id").to_numpy()
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             x, at, owner = _matrix(batch.column(2), d), batch.column(0).to_numpy(), batch.column(1).to_numpy()
             score = q @ x.T
             score[ids[:, None] == owner[None]] = -np.inf

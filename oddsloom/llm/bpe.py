@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .automaton import TokenAutomaton, distinct_spans, ragged
-from .common import slices, utf8
+from .common import slices, tidied, utf8
 
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
-SLICE = 2 << 20
+SLICE = 1 << 20
 SPACE, LETTER, NUMBER, OTHER = range(4)
 
 
@@ -156,7 +156,7 @@ def load(path: str) -> ByteBPE:
 def _batches(batches: Iterator[pa.RecordBatch], path: str):
     """(batch, first row, end row, ids, ends) for slices of the last column of each batch."""
     coder = load(path)
-    for batch in batches:
+    for batch in tidied(batches):
         raw, at = utf8(batch.column(batch.num_columns - 1))
         for a, b in slices(at, SLICE):
             yield coder, batch, a, b, *coder.encode(raw[at[a] : at[b]], at[a : b + 1] - at[a])
@@ -177,7 +177,7 @@ def decode_ids(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         coder = load(vocabulary)
-        for batch in batches:
+        for batch in tidied(batches):
             rows = [x or [] for x in batch.column(1).to_pylist()]
             ids = np.array([i for x in rows for i in x], np.int64)
             raw, ends = coder.decode(ids, np.cumsum([0, *map(len, rows)]))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,6 +73,20 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """The batches of a task; after each, memory that it no longer uses goes back to the system.
+
+    Python workers live on for the tasks of other stages, and would hold on to the most they ever used.
+    """
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim is not None:  # glibc only
+            trim(0)
+
+
 def slices(at: np.ndarray, most: int):
     """Row ranges [a, b) of at most ``most`` bytes each, or one row where a row is longer."""
     a, n = 0, len(at) - 1

@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import TokenAutomaton, distinct_spans
-from .common import body, slices, utf8
+from .common import body, slices, tidied, utf8
 
 #: Characters of a chunk, and bytes that a task works on at once.
 CHUNK = 1 << 16
-SLICE = 2 << 20
+SLICE = 1 << 20
 BLANK = 0x20
 #: The mark that stands for a blank in the vocabulary, and that counts as one in a text.
 MARK = "▁"
@@ -180,7 +180,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 4096, chunk: int
 
     def to_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(vocabulary)
-        for batch in batches:
+        for batch in tidied(batches):
             for batch_part, raw, at in _slices(batch):
                 first = batch_part.column("chunk").to_numpy(zero_copy_only=False) == 0
                 size = np.diff(at)
@@ -197,7 +197,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 4096, chunk: int
 
     def to_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = load(vocabulary)
-        for batch in batches:
+        for batch in tidied(batches):
             ids, sizes, counts, words, owner = [], [], [], [], []
             for i, chunks in enumerate(batch.column(0).to_pylist()):
                 _, head, open_words, n, tail = scan([(m["whole"], m["head"], [], m["n"], m["tail"]) for m in chunks])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, scratch, stored
+from .common import body, scratch, stored, tidied
 
 ENTRY = "key long, text binary, keep_id long, group_size long"
 INDEX = "bucket long, key long, chain int, text_sha256 string, keep_id long, group_size long"
@@ -97,7 +97,7 @@ def _collapse(most_bytes: int):
             held.clear()
             return out
 
-        for batch in batches:
+        for batch in tidied(batches):
             for key, text, doc_id in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if (seen := held.get(text)) is None:
                     held[text] = [key, doc_id, 1]

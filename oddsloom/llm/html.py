@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, stored
+from .common import body, stored, tidied
 
 #: Fixed values of the HTML syntax.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -311,7 +311,7 @@ def _folded(column: str, to_node):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, Node] = {}
-        for batch in batches:
+        for batch in tidied(batches):
             for name, value in zip(batch["host"], batch[column], strict=True):
                 if name not in held and len(held) >= 5000:  # rows in order of host are folded to one each
                     yield pd.DataFrame({"host": list(held), "wrapper": [json.dumps(packed(w)) for w in held.values()]})
@@ -348,7 +348,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, Wrapper] = {}
-        for batch in batches:
+        for batch in tidied(batches):
             out = []
             for text, page in zip(batch["wrapper"], batch["html"], strict=True):
                 if text not in known:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import hash_spans
-from .common import mixed, slices, stored, utf8
+from .common import mixed, slices, stored, tidied, utf8
 from .components import components
 
 WORDS = 5
@@ -162,7 +162,7 @@ def sketches(docs: DataFrame, weights: str = "set", words: int = WORDS) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             raw, at = utf8(batch.column(2))
             for a, b in slices(at, SLICE):
                 n = b - a
@@ -188,7 +188,7 @@ def _elements(texts: DataFrame, weights: str, words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             raw, at = utf8(batch.column(1))
             for a, b in slices(at, SLICE):
                 n = b - a

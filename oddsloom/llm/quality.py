@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import body, slices, utf8
+from .common import body, slices, tidied, utf8
 
 #: Labelled rows that training uses at most.
 SAMPLE = 2400
 #: Bytes of a sampled row that one training step may hold at most in a batch; longer rows train alone.
-SLICE = 1 << 20
+SLICE = 512 << 10
 BLOCK, STRIDE, WIDTH = 64, 2, 6
 PAD = 256
 PASS_SCORE = 0.7
@@ -154,7 +154,7 @@ def scored(docs: DataFrame, net: ByteConvNet, name: str = "score") -> DataFrame:
     schema = docs.select(*docs.columns).schema.add(name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             raw, at = utf8(batch.column(batch.schema.get_field_index("text")))
             parts = [net.score(raw[at[a] : at[b]], at[a : b + 1] - at[a]) for a, b in slices(at, SLICE)]
             out = np.concatenate(parts) if parts else np.zeros(0)
