@@ -50,6 +50,8 @@ class ByteConvNet:
         n = first[-1] * BLOCK // STRIDE
         windows = np.lib.stride_tricks.as_strided(emb, (n, WIDTH * e), (STRIDE * e * 4, 4))
         resp = (np.ascontiguousarray(windows) @ w["filt"]).reshape(first[-1], BLOCK // STRIDE, -1)
+        # The last windows of a document reach into the next one; they count as padding, as all before them of its last eight bytes is.
+        resp[first[1:] - 1, -((WIDTH - 1) // STRIDE) :] = 0
         best = resp.argmax(1) if self.training else None
         top = resp.max(1)
         last = np.zeros(len(top), bool)
