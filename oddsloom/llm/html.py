@@ -55,6 +55,9 @@ BOILER_WORDS = re.compile(
 #: Article headings often sit in a header element; it stays if it is within the article.
 CONTENT_TAGS = frozenset(["article", "main"])
 
+#: Levels of a page that its wrapper describes; text below them is read like a slot's.
+DEPTH = 150
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SHOWN = frozenset(["class", "id", "role", "hidden", "aria-hidden"])
@@ -151,21 +154,22 @@ def _blocked(names: list[str], tag: str) -> bool:
     return False
 
 
-def generalized(node: Node) -> Node:
+def generalized(node: Node, depth: int = 0) -> Node:
     """The wrapper of one page: inline elements melt into the text, and adjoining alike children become one repeated group."""
     out = Node(node.kind)
     words, kids = [], []
 
-    def gather(n: Node) -> None:
+    def gather(n: Node, below: int) -> None:
         for part in n.parts:
             if isinstance(part, str):
                 words.append(part)
             elif tag_of(part.kind) in INLINE and "\n" not in part.kind:
-                gather(part)
-            elif tag_of(part.kind) not in VOID:
-                kids.append(generalized(part))
+                if below < DEPTH:
+                    gather(part, below + 1)
+            elif tag_of(part.kind) not in VOID and below < DEPTH:
+                kids.append(generalized(part, below + 1))
 
-    gather(node)
+    gather(node, depth)
     text = " ".join(entities.unescape("".join(words)).split())
     # A long text is told apart by its digest.
     out.text = (text if len(text) <= 200 else f"{text[:160]} {hashlib.sha256(text.encode()).hexdigest()}") if text else None
@@ -280,9 +284,18 @@ class Wrapper:
             self._walk(tree, self.root, True, blocks, False)
         return " ".join(" ".join(entities.unescape("".join(blocks)).split()).split())
 
-    def _walk(self, node: Node, slot: Node | None, taken: bool, out: list[str], within: bool) -> None:
-        slots = {k.kind: k for k in slot.kids} if slot else {}
-        for part in node.parts:
+    def _walk(self, tree: Node, root: Node | None, taken: bool, out: list[str], within: bool) -> None:
+        # Open elements: what is left of their parts, their slot, its children by kind, whether they are taken, whether they end a block.
+        known = lambda slot: {k.kind: k for k in slot.kids} if slot else {}
+        stack = [(iter(tree.parts), root, known(root), taken, False)]
+        while stack:
+            parts, slot, slots, taken, block = stack[-1]
+            part = next(parts, None)
+            if part is None:
+                stack.pop()
+                if block:
+                    out.append("\n")
+                continue
             if isinstance(part, str):
                 template = not within and self.varies and slot is not None and slot.fixed and not slot.repeat
                 if taken and not template:
@@ -296,9 +309,8 @@ class Wrapper:
             inline = tag in INLINE
             if not inline:
                 out.append("\n")
-            self._walk(part, slots.get(part.kind, slot if inline else None), taken or article, out, within)
-            if not inline:
-                out.append("\n")
+            below = slots.get(part.kind, slot if inline else None)
+            stack.append((iter(part.parts), below, known(below), taken or article, not inline))
 
 
 def host() -> Column:

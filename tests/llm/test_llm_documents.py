@@ -123,6 +123,12 @@ def test_page_texts(spark):
     assert html.main_texts(pages.limit(0)).count() == 0
 
 
+def test_pages_of_great_depth(spark):
+    rows = [(0, "http://h/", "<div>" * 20_000 + "deep"), (1, "http://h/", "<b>" * 5000 + "bold" + "<p>" * 3), (2, "http://h/", "<p>plain</p>"), (3, "http://h/", "<div>" * 3000 + "<nav>menu</nav>text" + "</div>" * 3000)]
+    found = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in found} == {0: "deep", 1: "bold", 2: "plain", 3: "text"}
+
+
 def test_wrappers_are_union_free_expressions(spark):
     a = "<body><h1>Shop</h1><ul><li>one</li><li>two</li></ul><p>tail</p></body>"
     b = "<body><h1>Shop</h1><i class=new>hot</i><ul><li>three</li></ul></body>"
