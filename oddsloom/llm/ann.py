@@ -26,7 +26,7 @@ from .common import stored, tidied
 SAMPLE = 8192
 #: Queries that the number of probed lists is fitted on, at most.
 SAMPLE_QUERIES = 128
-RECALL = 0.95
+RECALL = 0.98
 #: Rows of a list on average, most lists, and rows and queries of one piece of work.
 LIST_ROWS, MOST_LISTS, SHARD_ROWS, SHARD_QUERIES = 256, 1024, 512, 512
 #: Dimensions of a column block, and the normal quantile of the test (one candidate of a thousand on the edge is lost).
