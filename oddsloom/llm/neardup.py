@@ -25,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import hash_spans
-from .common import mixed, slices, stored, tidied, utf8
+from .common import body, mixed, slices, stored, tidied, utf8
 from .components import components
 
 WORDS = 5
@@ -155,7 +155,7 @@ def _binary(name: np.ndarray) -> pa.Array:
 
 
 def sketches(docs: DataFrame, weights: str = "set", words: int = WORDS) -> DataFrame:
-    """doc_id, ref, node, bands (array<long>) of each row of ``docs`` (doc_id, ref, text).
+    """doc_id, ref, digest, node, bands (array<long>) of each row of ``docs`` (doc_id, ref, digest, text).
 
     ``weights``: "set" gives each shingle the weight 1, so that similarity is Jaccard's of sets;
     "count" weighs shingles by their multiplicity.
@@ -163,7 +163,7 @@ def sketches(docs: DataFrame, weights: str = "set", words: int = WORDS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
-            raw, at = utf8(batch.column(2))
+            raw, at = utf8(batch.column(3))
             for a, b in slices(at, SLICE):
                 n = b - a
                 doc, hashed, times = shingles(raw[at[a] : at[b]], at[a : b + 1] - at[a], words)
@@ -175,9 +175,9 @@ def sketches(docs: DataFrame, weights: str = "set", words: int = WORDS) -> DataF
                 flat = band[size > 0].reshape(-1)
                 name = _node(doc, hashed if weights == "set" else mixed(hashed + times.astype(np.uint64)), n)
                 bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(flat))
-                yield pa.record_batch([batch.column(0).slice(a, n), batch.column(1).slice(a, n), _binary(name), bands], ["doc_id", "ref", "node", "bands"])
+                yield pa.record_batch([*(batch.column(c).slice(a, n) for c in range(3)), _binary(name), bands], ["doc_id", "ref", "digest", "node", "bands"])
 
-    return docs.select("doc_id", "ref", "text").mapInArrow(run, "doc_id long, ref long, node binary, bands array<long>")
+    return docs.select("doc_id", "ref", "digest", "text").mapInArrow(run, "doc_id long, ref long, digest binary, node binary, bands array<long>")
 
 
 def _elements(texts: DataFrame, weights: str, words: int) -> DataFrame:
@@ -258,8 +258,18 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     the greatest; a class of null ids has a null class_id and keeps its rows.  An empty table gives an
     empty result; columns besides doc_id and text are ignored.
     """
+    return _classed(docs, similarity, weights, words).drop("digest")
+
+
+def _digest() -> Column:
+    """16 bytes that tell the texts of rows with one doc_id apart; null counts as empty."""
+    return F.unhex(F.md5(body().cast("binary")))
+
+
+def _classed(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", words: int = WORDS) -> DataFrame:
+    """The rows of :func:`near_groups` with the digest of their text."""
     # ref leads back to a text; it stands in for the doc_ids that are null.
-    docs = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("ref"), "text")
+    docs = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("ref"), _digest().alias("digest"), "text")
     rows = stored(sketches(docs, weights, words), "sketches", wide=True)
     nodes = stored(rows.groupBy("node", "bands").agg(F.min("doc_id").alias("rep"), F.min("ref").alias("ref"), F.count("*").alias("n_rows")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -297,10 +307,11 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     classed = stored(classed, "classed")
     sizes = stored(classed.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n_rows").alias("class_size")), "class-sizes")
     named = stored(classed.select("node", "label").join(sizes, "label").select("node", "class_id", "class_size"), "named")
-    return rows.select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return rows.select("doc_id", "digest", "node").join(named, "node").select("doc_id", "digest", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
 def drop_near(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with one document of each class; rows that repeat the doc_id which stays, stay too."""
-    gone = near_groups(docs.select("doc_id", "text"), **how).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone["__gone"]), "left_anti")
+    gone = _classed(docs.select("doc_id", "text"), **how).where("not kept").select(F.col("doc_id").alias("__id"), F.col("digest").alias("__gone")).distinct()
+    text = docs.withColumn("__digest", _digest())
+    return text.join(gone, text.doc_id.eqNullSafe(gone["__id"]) & (text["__digest"] == gone["__gone"]), "left_anti").drop("__digest")

@@ -56,6 +56,15 @@ def test_near_groups_of_odd_rows(odd_docs, no_docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 8, 8, 9]
 
 
+def test_rows_of_one_id_are_dropped_one_by_one(spark):
+    """Null ids and an id on texts of two classes: only the near copies go."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, b), (5, a), (5, b + " end"), (6, a + " end"), (None, a), (None, c), (None, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, neardup.drop_near(docs).collect()), key=str)
+    assert got == sorted([(3, b), (5, a), (None, c)], key=str)
+
+
 def crowd(n, seed=5):
     """Copies of one text, each with some words changed: chains of near texts that are far from the hub."""
     rng = random.Random(seed)
