@@ -6,9 +6,9 @@ adjoining elements of one kind become one repeated group.  The result is a union
 expression over tags and slots: a wrapper.  Wrappers align with each other as pages do, so the
 wrapper of a host comes from a reduction: tasks fold their pages, and the folds are merged.
 
-As the nesting of tags is known, alignment works on trees: a node is (kind, children, flags), where
-flags say whether it is optional, whether it repeats, and whether it holds text itself (a slot), and
-whether that text is the same on all pages.
+As the nesting of tags is known, alignment works on trees: a node is (kind, children, flags, pages),
+where flags say whether it is optional, whether it repeats, and whether it holds text itself (a slot),
+and whether that text is the same on all pages that have it; pages says how many of them there are.
 
 A wrapper then parses the pages of its host.  Slots in the menu, header, footer, sidebar, notice,
 advert, form, script, style or comment parts of the wrapper are boilerplate, and what is left is the
@@ -110,13 +110,15 @@ def tag_of(kind: str) -> str:
 class Node:
     """An element of a page or of a wrapper."""
 
-    __slots__ = ("fixed", "kids", "kind", "optional", "parts", "repeat", "text")
+    __slots__ = ("fixed", "kids", "kind", "mark", "optional", "pages", "parts", "repeat", "text")
 
     def __init__(self, kind: str):
         self.kind, self.kids, self.parts = kind, [], []
         self.optional = self.repeat = False
         self.text: str | None = None  # of a wrapper: the first page's text
         self.fixed = True
+        self.pages = 1  # of a wrapper: how many pages surely have it
+        self.mark: str | None = None  # of a root: the digest of its pages' text, empty if they differ
 
 
 def parse(page: str) -> Node:
@@ -157,6 +159,19 @@ def _blocked(names: list[str], tag: str) -> bool:
 def generalized(node: Node, depth: int = 0) -> Node:
     """The wrapper of one page: inline elements melt into the text, and adjoining alike children become one repeated group."""
     out = Node(node.kind)
+    out.text, kids = own_text(node, depth)
+    for kid, below in kids:
+        kid = generalized(kid, below)
+        if out.kids and out.kids[-1].kind == kid.kind:
+            out.kids[-1] = aligned(out.kids[-1], kid, True)
+            out.kids[-1].repeat = True
+        else:
+            out.kids.append(kid)
+    return out
+
+
+def own_text(node: Node, depth: int = 0) -> tuple[str | None, list[tuple[Node, int]]]:
+    """The text of an element itself and of the inline elements in it, and its other children with their depth."""
     words, kids = [], []
 
     def gather(n: Node, below: int) -> None:
@@ -167,30 +182,37 @@ def generalized(node: Node, depth: int = 0) -> Node:
                 if below < DEPTH:
                     gather(part, below + 1)
             elif tag_of(part.kind) not in VOID and below < DEPTH:
-                kids.append(generalized(part, below + 1))
+                kids.append((part, below + 1))
 
     gather(node, depth)
     text = " ".join(entities.unescape("".join(words)).split())
     # A long text is told apart by its digest.
-    out.text = (text if len(text) <= 200 else f"{text[:160]} {hashlib.sha256(text.encode()).hexdigest()}") if text else None
-    for kid in kids:
-        if out.kids and out.kids[-1].kind == kid.kind:
-            out.kids[-1] = aligned(out.kids[-1], kid)
-            out.kids[-1].repeat = True
-        else:
-            out.kids.append(kid)
+    return (text if len(text) <= 200 else f"{text[:160]} {hashlib.sha256(text.encode()).hexdigest()}") if text else None, kids
+
+
+def wrapper_of(page: str) -> Node:
+    """The wrapper of one page, with the mark of its text."""
+    tree = parse(page)
+    out, words = generalized(tree), []
+    Wrapper(Node(tree.kind))._walk(tree, True, words, False)
+    out.mark = hashlib.sha256(" ".join("".join(words).split()).encode()).hexdigest()
     return out
 
 
-def aligned(a: Node, b: Node) -> Node:
-    """The least wrapper that matches what both match: unequal text is a slot, lone children are optional, runs repeat."""
+def aligned(a: Node, b: Node, same_page: bool = False) -> Node:
+    """The least wrapper that matches what both match: unequal text is a slot, lone children are optional, runs repeat.
+
+    ``same_page``: both are of the same pages, or of pages that may be the same, so that these are not added up.
+    """
     out = Node(a.kind)
+    out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
+    out.mark = a.mark if a.mark == b.mark else ""
     out.optional, out.repeat = a.optional or b.optional, a.repeat or b.repeat
     out.fixed = a.fixed and b.fixed and a.text == b.text
     out.text = a.text if a.text is not None else b.text
     x, y = a.kids, b.kids
     if [k.kind for k in x] == [k.kind for k in y]:
-        out.kids = [aligned(p, q) for p, q in zip(x, y, strict=True)]
+        out.kids = [aligned(p, q, same_page) for p, q in zip(x, y, strict=True)]
         return out
     # The longest common subsequence of kinds; children outside of it are optional.
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
@@ -200,7 +222,7 @@ def aligned(a: Node, b: Node) -> Node:
     i = j = 0
     while i < len(x) or j < len(y):
         if i < len(x) and j < len(y) and x[i].kind == y[j].kind:
-            kid, i, j = aligned(x[i], y[j]), i + 1, j + 1
+            kid, i, j = aligned(x[i], y[j], same_page), i + 1, j + 1
         elif j == len(y) or (i < len(x) and best[i + 1][j] >= best[i][j + 1]):
             kid, i = x[i], i + 1
             kid.optional = True
@@ -209,7 +231,7 @@ def aligned(a: Node, b: Node) -> Node:
             kid.optional = True
         if out.kids and out.kids[-1].kind == kid.kind:
             optional = out.kids[-1].optional and kid.optional
-            out.kids[-1] = aligned(out.kids[-1], kid)
+            out.kids[-1] = aligned(out.kids[-1], kid, True)
             out.kids[-1].repeat, out.kids[-1].optional = True, optional
         else:
             out.kids.append(kid)
@@ -217,13 +239,14 @@ def aligned(a: Node, b: Node) -> Node:
 
 
 def packed(node: Node) -> list:
-    return [node.kind, node.text, int(node.fixed), int(node.optional), int(node.repeat), [packed(k) for k in node.kids]]
+    return [node.kind, node.text, int(node.fixed), int(node.optional), int(node.repeat), [packed(k) for k in node.kids], node.pages, node.mark]
 
 
 def unpacked(row: list) -> Node:
     node = Node(row[0])
     node.text, node.fixed, node.optional, node.repeat = row[1], bool(row[2]), bool(row[3]), bool(row[4])
     node.kids = [unpacked(k) for k in row[5]]
+    node.pages, node.mark = row[6], row[7]
     return node
 
 
@@ -257,7 +280,7 @@ class Wrapper:
         self.root = root
         self.has_article = any(self._find(root))
         # Text that all pages of a host share is part of the template, unless they share all text.
-        self.varies = any(self._slots(root))
+        self.varies = root.mark == ""
 
     def _find(self, node: Node) -> Iterator[bool]:
         for kid in node.kids:
@@ -267,29 +290,37 @@ class Wrapper:
             yield tag in CONTENT_TAGS or "role=main" in kid.kind.split("\n")
             yield from self._find(kid)
 
-    def _slots(self, node: Node) -> Iterator[bool]:
-        yield not node.fixed and node.text is not None
-        for kid in node.kids:
-            if not boilerplate(kid.kind, False):
-                yield from self._slots(kid)
+    def _template(self, slots: list[Node]) -> set[str]:
+        """What the slots of one kind hold on all pages."""
+        return {k.text for k in slots if k.text is not None and k.fixed and not k.repeat and not k.optional and k.pages == self.root.pages} if self.varies else set()
 
     def read(self, page: str) -> str:
         """The main text of a page, its blocks joined by a blank."""
         tree = parse(page)
         blocks: list[str] = []
         if self.has_article:
-            self._walk(tree, self.root, False, blocks, True)
+            self._walk(tree, False, blocks, True)
         if not any(b.strip() for b in blocks):  # the page has no article element
             blocks = []
-            self._walk(tree, self.root, True, blocks, False)
+            self._walk(tree, True, blocks, False)
         return " ".join(" ".join(entities.unescape("".join(blocks)).split()).split())
 
-    def _walk(self, tree: Node, root: Node | None, taken: bool, out: list[str], within: bool) -> None:
-        # Open elements: what is left of their parts, their slot, its children by kind, whether they are taken, whether they end a block.
-        known = lambda slot: {k.kind: k for k in slot.kids} if slot else {}
-        stack = [(iter(tree.parts), root, known(root), taken, False)]
+    def _walk(self, tree: Node, taken: bool, out: list[str], within: bool) -> None:
+        # Open elements: what is left of their parts, their slots' children by kind, whether they are taken, whether they end a block, whether their text is the template's.
+        def known(slots: list[Node]) -> dict[str, list[Node]]:
+            kinds: dict[str, list[Node]] = {}
+            for slot in slots:
+                for kid in slot.kids:
+                    kinds.setdefault(kid.kind, []).append(kid)
+            return kinds
+
+        def template(node: Node, slots: list[Node]) -> bool:
+            held = set() if within else self._template(slots)
+            return bool(held) and own_text(node)[0] in held
+
+        stack = [(iter(tree.parts), known([self.root]), taken, False, template(tree, [self.root]))]
         while stack:
-            parts, slot, slots, taken, block = stack[-1]
+            parts, slots, taken, block, fixed = stack[-1]
             part = next(parts, None)
             if part is None:
                 stack.pop()
@@ -297,8 +328,7 @@ class Wrapper:
                     out.append("\n")
                 continue
             if isinstance(part, str):
-                template = not within and self.varies and slot is not None and slot.fixed and not slot.repeat
-                if taken and not template:
+                if taken and not fixed:
                     out.append(part)
                 continue
             tag = tag_of(part.kind)
@@ -309,8 +339,12 @@ class Wrapper:
             inline = tag in INLINE
             if not inline:
                 out.append("\n")
-            below = slots.get(part.kind, slot if inline else None)
-            stack.append((iter(part.parts), below, known(below), taken or article, not inline))
+            if inline and part.kind not in slots:  # melted into the text around it
+                below = slots
+            else:
+                found = slots.get(part.kind, [])
+                below, fixed = known(found), template(part, found)
+            stack.append((iter(part.parts), below, taken or article, not inline, fixed))
 
 
 def host() -> Column:
@@ -339,7 +373,7 @@ def _folded(column: str, to_node):
 def infer_wrappers(pages: DataFrame) -> DataFrame:
     """host and wrapper (JSON) of each host of ``pages`` (url, html), from all of its pages."""
     rows = pages.select(host().alias("host"), body("html").alias("html"))
-    folds = rows.mapInPandas(_folded("html", lambda page: generalized(parse(page))), "host string, wrapper string")
+    folds = rows.mapInPandas(_folded("html", wrapper_of), "host string, wrapper string")
     # A fold is as long as a template, whatever the number of its pages; a host has one for each task.
     again = _folded("wrapper", lambda text: unpacked(json.loads(text)))
     spread = folds.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(8)))

@@ -129,6 +129,18 @@ def test_pages_of_great_depth(spark):
     assert {r.page_id: r.text for r in found} == {0: "deep", 1: "bold", 2: "plain", 3: "text"}
 
 
+def test_text_of_one_page_is_no_template(spark):
+    """On hosts without an article element, only what all pages hold goes; kinds of one page, a layout of one page and a page alone keep theirs."""
+    rows = [(i, "http://a/", f"<body><h1>Shop</h1><div><p>text {i}</p></div><p>Call us</p></body>") for i in range(9)]
+    rows += [(9, "http://a/", "<body><h1>Shop</h1><div id=content><p>another layout</p></div><p>Call us</p></body>")]
+    rows += [(10, "http://a/", "<body><h1>Shop</h1><div><p>text 10</p><blockquote>a quotation</blockquote><pre>code</pre></div><p>Call us</p></body>")]
+    rows += [(11, "http://b/", "<body><h3>Alone</h3><p>one</p><p>two</p></body>")]
+    rows += [(12 + i, "http://c/", f"<body><p>first {i}</p><ul><li>item {i}</li></ul><p>All rights reserved</p></body>") for i in range(2)]
+    found = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: f"text {i}" for i in range(9)} | {9: "another layout", 10: "text 10 a quotation code", 11: "Alone one two", 12: "first 0 item 0", 13: "first 1 item 1"}
+    assert {r.page_id: r.text for r in found} == want
+
+
 def test_wrappers_are_union_free_expressions(spark):
     a = "<body><h1>Shop</h1><ul><li>one</li><li>two</li></ul><p>tail</p></body>"
     b = "<body><h1>Shop</h1><i class=new>hot</i><ul><li>three</li></ul></body>"
