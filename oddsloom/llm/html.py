@@ -10,10 +10,12 @@ As the nesting of tags is known, alignment works on trees: a node is (kind, chil
 where flags say whether it is optional, whether it repeats, and whether it holds text itself (a slot),
 and whether that text is the same on all pages that have it; pages says how many of them there are.
 
-A wrapper then parses the pages of its host.  Slots in the menu, header, footer, sidebar, notice,
-advert, form, script, style or comment parts of the wrapper are boilerplate, and what is left is the
-article; an article element, if the wrapper has one, is preferred to the rest of the page.  Without
-one, text that is the same on all pages of a host is left out too, as it belongs to the template.
+A wrapper then parses the pages of its host.  Text that is the same on all pages of a host belongs to
+the template and is left out, within article elements and without; the rest of the slots is text.
+Tags decide besides: what is in menus, headers, footers, asides, forms, scripts and the like is
+boilerplate, and an article element, if a page has one, is preferred to the rest of it.  Class words
+(sidebar, notice, advert, comments) are hints; if following them loses a page's articles, those that
+lie over an article are not followed.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from .common import body, stored, tidied
 
 #: Fixed values of the HTML syntax.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option button".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object select option button".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 CLOSES = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()),
     "li": frozenset(["li"]),
@@ -46,12 +48,16 @@ CLOSES = {
     "head": frozenset(["body"]),
 }
 #: Elements that are never part of an article's text.
-BOILER_TAGS = frozenset("head nav header footer aside form menu dialog script style noscript template textarea title iframe svg math canvas object select option button input label fieldset".split())
+BOILER_TAGS = frozenset("head nav header footer aside form menu dialog script style noscript template textarea title iframe svg canvas object select option button input label fieldset annotation annotation-xml".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 BOILER_WORDS = re.compile(
     r"(?:^|[-_\s])(?:ads?|adv|advert\w*|adbox|adslot|banner|breadcrumbs?|byline-share|comments?|commentlist|consent|cookies?\w*|disqus|footer|gdpr|header|masthead|menu|modal|nav\w*|navbar|newsletter|notices?|overlay|pagination|pager|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|sidenav|skip|social|sponsor\w*|subscribe|teaser|toc|toolbar|topbar|widget\w*)(?:$|[-_\s])",
     re.I,
 )
+#: Class words of a page's layout, which say that it has a part or lacks it.
+MODIFIER = re.compile(r"(?:has|have|is|no|not|with|without)(?:[-_]|$)", re.I)
+#: Words that may follow a word above in the name of a part: a "social-links" is one, "social-science" is not.
+PARTS = frozenset("ad ads area bar block blocks body box btn button buttons col column container content count feed form group holder icon icons inner item items link links list main menu nav outer panel popup post posts row section slot text title toggle top unit widget wrap wrapper".split())
 #: Article headings often sit in a header element; it stays if it is within the article.
 CONTENT_TAGS = frozenset(["article", "main"])
 
@@ -95,7 +101,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                 yield "open", kind_of(tag, m[3] or "")
                 if tag in RAW and not (m[3] or "").rstrip().endswith("/"):
                     end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-                    if end is None and tag in ("button", "select", "option", "object", "svg", "math", "canvas"):
+                    if end is None and tag in ("button", "select", "option", "object", "svg", "canvas"):
                         continue  # never closed: what follows is no part of it
                     at = end.end() if end else n
                     yield "close", tag
@@ -110,7 +116,7 @@ def tag_of(kind: str) -> str:
 class Node:
     """An element of a page or of a wrapper."""
 
-    __slots__ = ("fixed", "kids", "kind", "mark", "optional", "pages", "parts", "repeat", "text")
+    __slots__ = ("article_mark", "fixed", "kids", "kind", "mark", "optional", "pages", "parts", "repeat", "text")
 
     def __init__(self, kind: str):
         self.kind, self.kids, self.parts = kind, [], []
@@ -119,6 +125,7 @@ class Node:
         self.fixed = True
         self.pages = 1  # of a wrapper: how many pages surely have it
         self.mark: str | None = None  # of a root: the digest of its pages' text, empty if they differ
+        self.article_mark: str | None = None  # that of their articles' text
 
 
 def parse(page: str) -> Node:
@@ -191,11 +198,12 @@ def own_text(node: Node, depth: int = 0) -> tuple[str | None, list[tuple[Node, i
 
 
 def wrapper_of(page: str) -> Node:
-    """The wrapper of one page, with the mark of its text."""
+    """The wrapper of one page, with the marks of its text and of its articles' text."""
     tree = parse(page)
-    out, words = generalized(tree), []
-    Wrapper(Node(tree.kind))._walk(tree, True, words, False)
-    out.mark = hashlib.sha256(" ".join("".join(words).split()).encode()).hexdigest()
+    out, words, bare = generalized(tree), [], Wrapper(Node(tree.kind))
+    bare._walk(tree, True, words, False, False)
+    mark = lambda words: hashlib.sha256(" ".join("".join(words).split()).encode()).hexdigest()
+    out.mark, out.article_mark = mark(words), mark(bare.articles(tree, False))
     return out
 
 
@@ -207,6 +215,7 @@ def aligned(a: Node, b: Node, same_page: bool = False) -> Node:
     out = Node(a.kind)
     out.pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     out.mark = a.mark if a.mark == b.mark else ""
+    out.article_mark = a.article_mark if a.article_mark == b.article_mark else ""
     out.optional, out.repeat = a.optional or b.optional, a.repeat or b.repeat
     out.fixed = a.fixed and b.fixed and a.text == b.text
     out.text = a.text if a.text is not None else b.text
@@ -239,14 +248,14 @@ def aligned(a: Node, b: Node, same_page: bool = False) -> Node:
 
 
 def packed(node: Node) -> list:
-    return [node.kind, node.text, int(node.fixed), int(node.optional), int(node.repeat), [packed(k) for k in node.kids], node.pages, node.mark]
+    return [node.kind, node.text, int(node.fixed), int(node.optional), int(node.repeat), [packed(k) for k in node.kids], node.pages, node.mark, node.article_mark]
 
 
 def unpacked(row: list) -> Node:
     node = Node(row[0])
     node.text, node.fixed, node.optional, node.repeat = row[1], bool(row[2]), bool(row[3]), bool(row[4])
     node.kids = [unpacked(k) for k in row[5]]
-    node.pages, node.mark = row[6], row[7]
+    node.pages, node.mark, node.article_mark = row[6:]
     return node
 
 
@@ -257,8 +266,22 @@ def expression(node: Node) -> str:
     return f"(<{name}>{inner}</{tag_of(node.kind)}>)" + ("*" if node.optional and node.repeat else "+" if node.repeat else "?" if node.optional else "")
 
 
-def boilerplate(kind: str, within_article: bool) -> bool:
-    """Whether elements of a kind hold no article text."""
+def hinted(token: str, within_article: bool) -> bool:
+    """Whether a word of a class or an id names a part of a page that holds no article text."""
+    token = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token)
+    if MODIFIER.match(token):
+        return False
+    words = [w for w in re.split(r"[-_]+", token) if w]
+    for i, word in enumerate(words):
+        # A name says in its last word what it is; parts and places may follow.
+        if BOILER_WORDS.search(word) and not (within_article and word.lower() == "header"):
+            if all(w.lower() in PARTS or BOILER_WORDS.search(w) or not w.isalpha() for w in words[i + 1 :]):
+                return True
+    return bool(re.search(r"(?:^|[-_])byline[-_]share(?:$|[-_])", token, re.I))
+
+
+def boilerplate(kind: str, within_article: bool, hints: bool = True) -> bool:
+    """Whether elements of a kind hold no article text; ``hints``: class words count."""
     tag, _, attributes = kind.partition("\n")
     if tag in BOILER_TAGS:
         return not (tag == "header" and within_article)
@@ -268,44 +291,67 @@ def boilerplate(kind: str, within_article: bool) -> bool:
             return True
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(BOILER_WORDS.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", v)) for v in value.split()):
+        if hints and name in ("class", "id") and tag not in ("html", "body", "article", "main") and any(hinted(v, within_article) for v in value.split()):
             return True
     return False
 
 
+def is_article(kind: str) -> bool:
+    return tag_of(kind) in CONTENT_TAGS or "role=main" in kind.split("\n")
+
+
+def over_articles(tree: Node) -> set[int]:
+    """The ids of the nodes of a page that hold an article or main element."""
+    out: set[int] = set()
+    stack = [(tree, iter(tree.kids))]
+    while stack:
+        node, kids = stack[-1]
+        kid = next(kids, None)
+        if kid is None:
+            stack.pop()
+            if stack and (id(node) in out or is_article(node.kind)):
+                out.add(id(stack[-1][0]))
+        else:
+            stack.append((kid, iter(kid.kids)))
+    return out
+
+
 class Wrapper:
     """A host's wrapper, ready to read pages: which kinds of child, below which node, hold article text."""
 
     def __init__(self, root: Node):
         self.root = root
-        self.has_article = any(self._find(root))
         # Text that all pages of a host share is part of the template, unless they share all text.
         self.varies = root.mark == ""
-
-    def _find(self, node: Node) -> Iterator[bool]:
-        for kid in node.kids:
-            if boilerplate(kid.kind, False):
-                continue
-            tag = tag_of(kid.kind)
-            yield tag in CONTENT_TAGS or "role=main" in kid.kind.split("\n")
-            yield from self._find(kid)
+        self.articles_vary = root.article_mark == ""
 
     def _template(self, slots: list[Node]) -> set[str]:
         """What the slots of one kind hold on all pages."""
-        return {k.text for k in slots if k.text is not None and k.fixed and not k.repeat and not k.optional and k.pages == self.root.pages} if self.varies else set()
+        return {k.text for k in slots if k.text is not None and k.fixed and not k.repeat and not k.optional and k.pages == self.root.pages}
 
     def read(self, page: str) -> str:
         """The main text of a page, its blocks joined by a blank."""
         tree = parse(page)
-        blocks: list[str] = []
-        if self.has_article:
-            self._walk(tree, False, blocks, True)
+        blocks = self.articles(tree, self.articles_vary)
+        if self.articles_vary and not any(b.strip() for b in blocks):  # an article that is all template is kept
+            blocks = self.articles(tree, False)
         if not any(b.strip() for b in blocks):  # the page has no article element
             blocks = []
-            self._walk(tree, True, blocks, False)
+            self._walk(tree, True, blocks, False, self.varies)
         return " ".join(" ".join(entities.unescape("".join(blocks)).split()).split())
 
-    def _walk(self, tree: Node, taken: bool, out: list[str], within: bool) -> None:
+    def articles(self, tree: Node, templates: bool) -> list[str]:
+        """The text in article elements; where class words lose all of it, those over articles do not count."""
+        out: list[str] = []
+        over = over_articles(tree)
+        if over:
+            self._walk(tree, False, out, True, templates)
+            if not any(b.strip() for b in out):
+                out = []
+                self._walk(tree, False, out, True, templates, over)
+        return out
+
+    def _walk(self, tree: Node, taken: bool, out: list[str], within: bool, templates: bool, over: set[int] = frozenset()) -> None:
         # Open elements: what is left of their parts, their slots' children by kind, whether they are taken, whether they end a block, whether their text is the template's.
         def known(slots: list[Node]) -> dict[str, list[Node]]:
             kinds: dict[str, list[Node]] = {}
@@ -315,7 +361,7 @@ class Wrapper:
             return kinds
 
         def template(node: Node, slots: list[Node]) -> bool:
-            held = set() if within else self._template(slots)
+            held = self._template(slots) if templates else ()
             return bool(held) and own_text(node)[0] in held
 
         stack = [(iter(tree.parts), known([self.root]), taken, False, template(tree, [self.root]))]
@@ -332,11 +378,10 @@ class Wrapper:
                     out.append(part)
                 continue
             tag = tag_of(part.kind)
-            if boilerplate(part.kind, taken and within):
+            if boilerplate(part.kind, taken and within, id(part) not in over):
                 out.append("\n")
                 continue
-            article = tag in CONTENT_TAGS or "role=main" in part.kind.split("\n")
-            inline = tag in INLINE
+            article, inline = is_article(part.kind), tag in INLINE
             if not inline:
                 out.append("\n")
             if inline and part.kind not in slots:  # melted into the text around it

@@ -141,6 +141,18 @@ def test_text_of_one_page_is_no_template(spark):
     assert {r.page_id: r.text for r in found} == want
 
 
+def test_wrappers_decide_within_articles(spark):
+    """What all articles of a host share goes; class words of layouts and of articles lose no text."""
+    rows = [(i, "http://a/", f"<body><article><h1>Title {i}</h1><p>text {i}</p><h4>Read on our site</h4></article></body>") for i in range(3)]
+    rows += [(3 + i, "http://b/", f"<body class=no-sidebar><div class='has-sidebar with-header'><main><p>text {i}</p></main></div><div class=sidebar>links {i}</div></body>") for i in range(2)]
+    rows += [(5, "http://c/", "<div class=social-feed><article><p>one</p></article></div>"), (6, "http://c/", "<article><p>two</p></article><div class=comments><article>reply</article></div>")]
+    rows += [(7, "http://d/", "<article><div class=post-header>Head</div><p class=social-science>Study <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p><div class=social-links>Share</div></article>")]
+    rows += [(8, "http://e/", "<article><p>copy</p></article><p>1</p>"), (9, "http://e/", "<article><p>copy</p></article><p>2</p>")]
+    found = html.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {i: f"Title {i} text {i}" for i in range(3)} | {3: "text 0", 4: "text 1", 5: "one", 6: "two", 7: "Head Study x=1", 8: "copy", 9: "copy"}
+    assert {r.page_id: r.text for r in found} == want
+
+
 def test_wrappers_are_union_free_expressions(spark):
     a = "<body><h1>Shop</h1><ul><li>one</li><li>two</li></ul><p>tail</p></body>"
     b = "<body><h1>Shop</h1><i class=new>hot</i><ul><li>three</li></ul></body>"
