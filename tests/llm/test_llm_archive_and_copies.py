@@ -56,6 +56,27 @@ def test_warc_of_nothing(spark):
     assert warc.archived(pages(spark, [])).count() == 0
 
 
+def test_urls_add_no_header_lines(spark, tmp_path):
+    forged = [f"http://a/{end}WARC-Refers-To-Page: {v}{end}WARC-Payload-Digest: sha1:zz" for end in ("\r\n", "\n", "\r", "\x0b", "\x0c", "\x85", "\u2028", "\u2029", "\r\n\r\n") for v in ("99", "abc")]
+    rows = [(i, url, f"page {i}") for i, url in enumerate(forged)] + [(100, forged[5], BIG), (101, forged[0], BIG)]
+    path = warc.write_archive(pages(spark, rows), scratch(spark, "warc-forged"))
+    found = {r.page_id: (r.record_type, r.refers_to, r.verified) for r in warc.read_archive(spark, path).collect()}
+    assert found == {i: ("response", None, True) for i in (*range(len(forged)), 101)} | {100: ("revisit", 101, True)}
+    (tmp_path / "all.warc").write_bytes(b"".join(bytes(r.record) for r in warc.reconstruct(spark, path).collect()))
+    assert warc.read_warc(spark, str(tmp_path / "all.warc")).count() == len(rows)
+
+
+def test_very_long_payloads_and_a_key_with_two_payloads(spark):
+    long = "<p>" + "long text " * 500_000 + "</p>"
+    path = warc.write_archive(pages(spark, [(1, "u", long), (2, "u", long), (3, "u", "x")]), scratch(spark, "warc-long"))
+    found = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.verified) for r in warc.read_archive(spark, path).collect()}
+    assert found == {1: ("revisit", 2, len(long), True), 2: ("response", None, len(long), True), 3: ("response", None, 1, True)}
+    key = hashlib.sha256(b"x").hexdigest()
+    spark.createDataFrame([(key, b"y", 3)], "payload_key string, payload binary, last_page_id long").write.mode("append").parquet(f"{path}/payloads")
+    found = {r.page_id: r.verified for r in warc.read_archive(spark, path).collect()}
+    assert found == {1: True, 2: True, 3: False}
+
+
 def brute_groups(rows):
     groups = {}
     for doc_id, text in rows:
