@@ -230,3 +230,40 @@ def test_pipeline_stages_follow_each_other(spark, sf):
     assert seen[0] > seen[1] > 0 and len(set(texts[1])) == len(texts[1]) and set(texts[1]) == set(texts[0])
     assert set(texts[2]) <= set(texts[1]) and set(texts[3]) <= set(texts[2])
     assert corpus_pipeline.run(spark, sf).count() == seen[-1]
+
+
+STANDARD = {
+    "# SPDX-License-Identifier: MIT": "MIT",
+    "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+    "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+    'Licensed under the Apache License, Version 2.0 (the "License");': "Apache-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0",
+    "GNU GENERAL PUBLIC LICENSE Version 3": "GPL-3.0",
+    "Licensed under the GNU Affero General Public License, version 3": "AGPL-3.0",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
+    "Permission to use, copy, modify, and/or distribute this software for any": "ISC",
+    "Redistribution and use in source and binary forms, with or without": "BSD-2-Clause",
+    "This is free and unencumbered software released into the public domain.": "Unlicense",
+    "Eclipse Public License - v 2.0": "EPL-2.0",
+    "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.": "GPL-3.0",
+    "This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Lesser General Public License as published by\n// the Free Software Foundation, either version 2.1 of the License, or\n// (at your option) any later version.": "LGPL-2.1",
+    "Licensed under a license of our own": None,
+    "SPDX-License-Identifier: WTFPL": None,
+    "Er kommt mit dem Zug; no general terms apply to this work": None,
+}
+
+
+def test_standard_headers_tags_and_openings(spark):
+    rows = [(i, f"d{i}/x.py", f"import os\n\n{text}\n\nx = 1\n" + "some words of the file\n" * 40) for i, text in enumerate(STANDARD)]
+    found = {r.doc_id: (r.licence, r.origin) for r in licenses.scan(files(spark, rows)).collect()}
+    assert found == {i: (name, name and "header") for i, name in enumerate(STANDARD.values())}
+
+
+def test_texts_of_licences_are_files_and_very_long_texts_are_read(spark):
+    full = {name: max(texts, key=len) for name, texts in licenses.TEXTS.items() if name in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "0BSD")}
+    rows = [(i, f"p{i}/LICENSE", "Copyright (c) 2020 A. Writer\n\n" + text) for i, text in enumerate(full.values())]
+    rows += [(10 + i, f"p{i}/src/code.py", None) for i in range(len(full))]
+    rows += [(20, "q/long.txt", "words without end " * 300_000 + "\nReleased under the MIT License.\n" + "more of them " * 300_000)]
+    found = {r.doc_id: (r.licence, r.origin) for r in licenses.scan(files(spark, rows)).collect()}
+    want = {i: (name, "file") for i, name in enumerate(full)} | {10 + i: (name, "inherited") for i, name in enumerate(full)}
+    assert found == want | {20: ("MIT", "header")}
