@@ -113,9 +113,25 @@ def test_equal_keys_are_chained_and_compared(spark):
 
 
 def test_directory_doubles_until_buckets_fit(spark):
-    keys = spark.range(4000).select(F.xxhash64("id").alias("key"), F.lit(10).cast("long").alias("n_bytes"))
-    leaves = dedup.directory(keys, 100)
+    keys = spark.range(4000).select(F.xxhash64("id").alias("key"), F.lit(10).cast("long").alias("n_bytes"), F.lit(1).cast("long").alias("n"))
+    leaves = [(r.prefix, r.depth) for r in dedup.directory(keys, 100).collect()]
     depth = max(d for _, d in leaves)
     assert sum(1 << (depth - d) for _, d in leaves) == 1 << depth  # every cell has one bucket
     found = [(r.key & (1 << 64) - 1) for r in keys.collect()]
     assert all(sum(k >> (64 - d) == p for k in found) <= 10 for p, d in leaves if d > 0)
+
+
+@pytest.mark.parametrize("broadcast", [1 << 17, 0])
+def test_hot_texts_have_several_owners(spark, monkeypatch, broadcast):
+    """A text with a third of all rows, texts of one key, and a directory joined by shuffle."""
+    monkeypatch.setattr(dedup, "HOT_ROWS", 10)
+    monkeypatch.setattr(dedup, "BROADCAST_BUCKETS", broadcast)
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i % 700}") for i in range(3000)] + [(None, "hot text"), (None, "alone"), (4000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    assert sorted(map(tuple, dedup.exact_groups(docs, 2000).collect()), key=str) == brute_groups(rows)
+    texts = docs.select(F.lit(7).cast("long").alias("key"), F.coalesce("text", F.lit("")).cast("binary").alias("text"), "doc_id")
+    index = dedup.ExtendibleIndex.build(texts, texts.select("key", F.lit(5).cast("long").alias("n_bytes")), 8)
+    entries = index.entries(spark).collect()
+    distinct = {t or "" for _, t in rows}
+    assert sorted(e.chain for e in entries) == list(range(len(distinct)))
+    assert {(e.text_sha256, e.group_size) for e in entries} == {(hashlib.sha256(t.encode()).hexdigest(), sum((x or "") == t for _, x in rows)) for t in distinct}
