@@ -14,7 +14,7 @@ in a bucket:
   those with an exact similarity over the threshold;
 * buckets of three nodes or more whose nodes are not all in one component after that are compared
   exactly, in blocks of nodes.  Only pairs of different components count, so no link that could
-  change a class is lost, and no pairs are written.
+  change a class is lost, and of these only what spans the components is written.
 
 Classes are the connected components of the links.
 """
@@ -38,8 +38,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
 SLICE = 512 << 10
-#: Nodes of a block in the exact comparison of a bucket.
-BLOCK = 256
+#: Nodes, and shingles of these together, of a block in the exact comparison of a bucket.
+BLOCK, BLOCK_ITEMS = 256, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -240,7 +240,23 @@ def _block_links(similarity: float):
         if not two:
             near &= np.arange(len(left))[:, None] < np.arange(len(right))[None]
         r, c = np.nonzero(near)
-        return pa.table([pa.array([nodes[left[i]] for i in r], pa.binary()), pa.array([nodes[right[i]] for i in c], pa.binary())], names=["a", "b"])
+        value = shared[r, c] / union[r, c]
+        # A link for each pair of components that is new, the nearest first: they span the block's components.
+        root = list(range(len(index)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        kept = []
+        for k in np.argsort(-value, kind="stable"):
+            x, y = find(part[left[r[k]]]), find(part[right[c[k]]])
+            if x != y:
+                root[x] = y
+                kept.append(k)
+        return pa.table([pa.array([nodes[left[r[k]]] for k in kept], pa.binary()), pa.array([nodes[right[c[k]]] for k in kept], pa.binary()), pa.array(value[kept].astype(np.float64))], names=["a", "b", "similarity"])
 
     return run
 
@@ -249,8 +265,10 @@ def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str =
     """Classes of near-duplicate rows of ``docs`` (doc_id long, text string).
 
     Returns a row per row of ``docs``: doc_id, class_id (the least doc_id of its class), class_size
-    (rows), kept (doc_id = class_id).  Two rows are linked if the Jaccard similarity of their shingles
-    is at least ``similarity``; classes are what links connect.
+    (rows), kept (doc_id = class_id), near_id and near_similarity (the nearest other text that it was
+    found to be linked with, by its least doc_id; null for texts that are alone).  Two rows are linked if
+    the weighted Jaccard similarity of their shingles is at least ``similarity``; classes are what links
+    connect.  ``weights``: "set" weighs every shingle 1, "count" by how often a text has it.
 
     Null texts count as empty.  Texts without words are alike, and like nothing else.  Texts of fewer
     than ``words`` words are one shingle, so only the same words in the same order are near.  Repeated
@@ -288,26 +306,38 @@ def _classed(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "se
     of = lambda name: items.select(F.col("node").alias(name), F.col("items").alias(f"{name}_items"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("a_items", "b_items"))
-    links = both.withColumn("shared", shared).where(F.col("shared") >= similarity * (F.size("a_items") + F.size("b_items") - F.col("shared")) - 1e-6)
-    links = stored(links.select("a", "b"), "near-links")
+    union = F.size("a_items") + F.size("b_items") - F.col("shared")
+    links = both.withColumn("shared", shared).where(F.col("shared") >= similarity * union - 1e-6)
+    links = stored(links.select("a", "b", (F.col("shared") / union).alias("similarity")), "near-links")
 
-    classes = components(links)
+    classes = components(links.select("a", "b"))
     labelled = stored(members.where("n > 2").join(classes, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
     mixed_up = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     mixed_up = stored(mixed_up, "mixed")
-    last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
-    dealt = labelled.join(mixed_up, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), last + 1).cast("int"))
+    # A bucket's blocks, by the number of its nodes and by what they hold.
+    sized = stored(labelled.join(mixed_up, "bucket").join(items.select("node", F.size("items").alias("held")), "node"), "mixed-nodes")
+    blocks = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    last = F.col("blocks") - 1
+    dealt = sized.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), last + 1).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
     dealt = dealt.join(items, "node").select("bucket", "i", "j", "side", "node", "label", "items")
-    more = stored(dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links(similarity), "a binary, b binary").distinct(), "more-links", wide=True)
+    more = stored(dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links(similarity), "a binary, b binary, similarity double"), "more-links", wide=True)
     if not more.isEmpty():
-        classes = components(links.unionByName(more))
+        links = links.unionByName(more)
+        classes = components(links.select("a", "b"))
 
     classed = nodes.join(classes, "node", "left").select("node", "rep", "n_rows", F.coalesce("label", "node").alias("label"))
     classed = stored(classed, "classed")
     sizes = stored(classed.groupBy("label").agg(F.min("rep").alias("class_id"), F.sum("n_rows").alias("class_size")), "class-sizes")
-    named = stored(classed.select("node", "label").join(sizes, "label").select("node", "class_id", "class_size"), "named")
-    return rows.select("doc_id", "digest", "node").join(named, "node").select("doc_id", "digest", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    # The best link of each node, ties to the least document.
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    ends = ends.join(classed.select(F.col("node").alias("b"), F.coalesce("rep", F.lit((1 << 63) - 1)).alias("rep")), "b")
+    near = ends.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("similarity", (-F.col("rep")).alias("neg"))).alias("best"))
+    near = near.select("node", F.when(F.col("best.neg") > -((1 << 63) - 1), -F.col("best.neg")).alias("near_id"), F.col("best.similarity").alias("near_similarity"))
+    named = classed.select("node", "label").join(sizes, "label").join(near, "node", "left")
+    named = stored(named.select("node", "class_id", "class_size", "near_id", "near_similarity"), "named")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")
+    return rows.select("doc_id", "digest", "node").join(named, "node").select("doc_id", "digest", "class_id", "class_size", kept, "near_id", "near_similarity")
 
 
 def drop_near(docs: DataFrame, **how) -> DataFrame:

@@ -32,7 +32,7 @@ def op5_mixing(spark, sf_dir):
 
 
 def op6_near_dedup(spark, sf_dir):
-    return neardup.near_groups(table(spark, sf_dir, "documents"))
+    return neardup.near_groups(table(spark, sf_dir, "documents"), weights="count")
 
 
 def op7_bpe(spark, sf_dir):

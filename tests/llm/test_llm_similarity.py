@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 from oddsloom.llm import ann, components, neardup
 
 
-def brute_classes(rows):
+def counted(shingles):
+    """The i-th occurrence of a shingle as an element of its own: weights by count."""
+    seen = {}
+    out = set()
+    for x in shingles:
+        seen[x] = seen.get(x, 0) + 1
+        out.add((x, seen[x]))
+    return out
+
+
+def brute_classes(rows, collect=set):
     """(doc_id, class_id, class_size, kept) by comparing every pair."""
     sets = []
     for _, text in rows:
         words = [w for w in "".join(c if c not in " \t\n\v\f\r" else " " for c in text or "").split(" ") if w]
-        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+        sets.append(collect(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else set())
     root = list(range(len(rows)))
 
     def find(i):
@@ -48,6 +58,37 @@ def test_near_groups_of_documents(spark, sf):
     assert found(neardup.near_groups(docs)) == brute_classes([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_weighted_near_groups_of_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    groups = neardup.near_groups(docs, weights="count").cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    assert found(groups) == brute_classes(rows, counted)
+    # Each text that is not alone names one that it is linked with, at the similarity given.
+    text = dict(rows)
+    sets = {i: counted(zip(*[(t or "").split()[k:] for k in range(5)], strict=False)) for i, t in rows}
+    pairs = groups.where("near_id is not null").collect()
+    assert pairs and all(len(text[r.doc_id].split()) >= 5 for r in pairs)
+    for r in pairs:
+        a, b = sets[r.doc_id], sets[r.near_id]
+        assert r.near_similarity >= 0.8 - 1e-6 and abs(len(a & b) / len(a | b) - r.near_similarity) < 1e-6
+
+
+def test_weights_tell_repetition_apart(spark):
+    """A text of one line many times is near to the line a few times as a set, but not by counts."""
+    line = " ".join(f"w{i}" for i in range(30)) + "\n"
+    docs = spark.createDataFrame([(1, line * 3), (2, line * 40), (3, line * 38)], "doc_id long, text string")
+    classes = lambda weights: {r.doc_id: r.class_id for r in neardup.near_groups(docs, weights=weights).collect()}
+    assert classes("set") == {1: 1, 2: 1, 3: 1} and classes("count") == {1: 1, 2: 2, 3: 2}
+
+
+def test_blocks_by_what_they_hold(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ITEMS", 1000)
+    rows = crowd(150)
+    ours = {i: c for i, c, *_ in found(neardup.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), weights="count"))}
+    theirs = {i: c for i, c, *_ in brute_classes(rows, counted)}
+    assert sum(ours[i] == theirs[i] for i in ours) >= 149
+
+
 def test_near_groups_of_odd_rows(odd_docs, no_docs):
     assert found(neardup.near_groups(odd_docs)) == brute_classes([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert neardup.near_groups(no_docs).count() == 0
