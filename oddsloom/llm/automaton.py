@@ -61,6 +61,8 @@ class TokenAutomaton:
         self.cut_key, self.cut_time = np.array(keys, np.int64)[order], np.array(times, np.int32)[order]
         self._hash_cuts()
         self._trie([p if i < n_base or made[i] else b"" for i, p in enumerate(pieces)])
+        self.longest = int(max(self.size.max(), 4))
+        self.held: dict[int, bool] = {}  # whether a state has an arc, for words that are read one by one
         self.seen_key, self.seen = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def _hash_cuts(self) -> None:
@@ -160,36 +162,82 @@ class TokenAutomaton:
             p, s = np.where(newer, self.clone_of[p], p), np.where(newer, s, self.arc_of[s])
         return ok
 
-    def _scalar(self, word: bytes, ends: bool) -> np.ndarray:
-        """The last token of each prefix of one long word."""
-        last = np.full(len(word) + 1, NONE, np.int32)
-        last[0] = START
-        memo: dict[int, bool] = {}
-        goto, out, node = self.goto, self.out, 0
-        for i, b in enumerate(word, 1):
+    def start(self) -> tuple[int, list[int], list[int]]:
+        """The state in which words begin: a node of the trie, and token and count of the last prefixes."""
+        return 0, [START], [0]
+
+    def advance(self, state: tuple[int, list[int], list[int]], data: bytes) -> tuple[int, list[int], list[int]]:
+        """The state after ``data``, which ends with a character.
+
+        What follows depends on no more than the prefixes that a token can still start from, so a state
+        holds as many of them as the longest token has bytes: there are finitely many, up to what is
+        added to their counts.
+        """
+        for at in range(0, len(data), 4096):
+            end = at + 4096
+            while at and data[at : at + 1] and data[at] & 0xC0 == 0x80:
+                at += 1
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end += 1
+            node, last, count = self._run(state, data[at:end])
+            state = node, last[-self.longest - 1 :], count[-self.longest - 1 :]
+        return state
+
+    def _run(self, state: tuple[int, list[int], list[int]], data: bytes) -> tuple[int, list[int], list[int]]:
+        """Read ``data``; token and count of each of its prefixes are added to the state's."""
+        node, last, count = state
+        last, count = list(last), list(count)
+        goto, out, size, weight, held = self.goto, self.out, self.size, self.weight, self.held
+        first = len(last)
+        for i, b in enumerate(data):
             node = int(goto[node, b])
             t = int(out[node])
             while t >= 0:
-                p = int(last[i - self.size[t]])
+                p = last[first + i - size[t]]
                 if p == START or p >= self.n:
                     break
                 key = p * self.n + t
-                if (ok := memo.get(key)) is None:
-                    if len(memo) > 1_000_000:
-                        memo.clear()
-                    ok = memo[key] = p >= 0 and bool(self.has_arc(np.array([p]), np.array([t]))[0])
+                if (ok := held.get(key)) is None:
+                    if len(held) > 1_000_000:
+                        held.clear()
+                    ok = held[key] = p >= 0 and bool(self.has_arc(np.array([p]), np.array([t]))[0])
                 if ok:
                     break
                 t = int(self.shorter[t])
-            if t < 0 and self.unknown:
-                k = 1
-                while k < 4 and i - k > 0 and word[i - k] & 0xC0 == 0x80:
-                    k += 1
+            if t < 0:
+                t = NONE
                 # Only at the end of a character; within one, no token ends.
-                if i == len(word) or word[i] & 0xC0 != 0x80:
+                if self.unknown and (i + 1 == len(data) or data[i + 1] & 0xC0 != 0x80):
+                    k = 1
+                    while k < 4 and i - k >= 0 and data[i - k + 1] & 0xC0 == 0x80:
+                        k += 1
                     t = self.n + k - 1
-            last[i] = t
-        return last
+            last.append(t)
+            count.append(count[first + i - size[t]] + int(weight[t]) if t != NONE else 0)
+        return node, last, count
+
+    @staticmethod
+    def settled(state: tuple[int, list[int], list[int]]) -> tuple[tuple[int, list[int], list[int]], int]:
+        """A state with what all its counts have in common taken off, and that number."""
+        node, last, count = state
+        least = min((c for c, t in zip(count, last, strict=True) if t != NONE), default=0)
+        return (node, last, [c - least if t != NONE else 0 for c, t in zip(count, last, strict=True)]), least
+
+    def _scalar(self, word: bytes) -> np.ndarray:
+        """The last token of each prefix of one long word."""
+        parts, state = [np.array([START], np.int32)], self.start()
+        step = 4096
+        at = 0
+        while at < len(word):
+            end = min(at + step, len(word))
+            while self.unknown and end < len(word) and word[end] & 0xC0 == 0x80:
+                end += 1
+            known = len(state[1])
+            full = self._run(state, word[at:end])
+            parts.append(np.array(full[1][known:], np.int32))
+            state = full[0], full[1][-self.longest - 1 :], full[2][-self.longest - 1 :]
+            at = end
+        return np.concatenate(parts)
 
     def _read(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The last tokens of all prefixes of words of at most LONG bytes, longest first, as a matrix."""
@@ -237,7 +285,7 @@ class TokenAutomaton:
         parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # word, place from the end, token
         long, groups = self._groups(size)
         for j in long:
-            last = self._scalar(raw[start[j] : start[j] + size[j]].tobytes(), True)
+            last = self._scalar(raw[start[j] : start[j] + size[j]].tobytes())
             at, path = int(size[j]), []
             while at > 0:
                 path.append(last[at])
@@ -266,7 +314,7 @@ class TokenAutomaton:
         total = np.zeros(len(size), np.int64)
         long, groups = self._groups(size)
         for j in long:
-            last = self._scalar(raw[start[j] : start[j] + size[j]].tobytes(), True)
+            last = self._scalar(raw[start[j] : start[j] + size[j]].tobytes())
             at = int(size[j])
             while at > 0:
                 total[j] += int(self.weight[last[at]])

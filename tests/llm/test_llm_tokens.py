@@ -84,3 +84,12 @@ def test_counts_of_documents(spark, sf, pieces, odd_docs, no_docs):
             want.append((r.doc_id, len((r.text or "").encode()), n, n > 4096))
         assert sorted(map(tuple, counting.token_counts(docs, PIECES).collect()), key=str) == sorted(want, key=str)
     assert counting.token_counts(no_docs, PIECES).count() == 0
+
+
+@pytest.mark.parametrize(("chunk", "context"), [(7, 1), (40, 3), (300, 64)])
+def test_counts_of_texts_without_blanks(spark, pieces, chunk, context):
+    """Chunks whose state cannot be told from what precedes them are mapped again until all compose."""
+    rng = random.Random(7)
+    rows = ["".join(rng.choice("aeilnrst") for _ in range(900)), "漢字かな" * 200, "ab" * 500, "A" * 700, "QUJDREVG" * 90 + "=", "x▁▁y▁" * 80, "the" * 300 + " " * 50 + "of" * 100, "é🎉" * 150]
+    found = {r.doc_id: (r.n_bytes, r.n_tokens) for r in counting.token_counts(frame(spark, rows), PIECES, chunk=chunk, context=context).collect()}
+    assert found == {i: (len(t.encode()), len(pieces.encode(t))) for i, t in enumerate(rows)}
