@@ -94,12 +94,24 @@ def split_words(raw: np.ndarray, at: np.ndarray, special: bytes = b"") -> tuple[
     return begin, end, np.searchsorted(at, begin, "right") - 1
 
 
+def _check(spec: dict) -> None:
+    """Refuse a vocabulary file that asks for more than what is done here."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    usual = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    added = spec.get("added_tokens") or []
+    odd = any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
+    if not plain or not usual or spec.get("normalizer") or len(added) > 1 or odd:
+        raise ValueError("a byte-level BPE without normalizer, prefix space and with at most one added token is needed")
+
+
 class ByteBPE:
     """A vocabulary file of the tokenizers library, compiled."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
+        _check(spec)
         vocab, letters = spec["model"]["vocab"], byte_letters()
         as_bytes = lambda piece: bytes(letters[c] for c in piece)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]

@@ -15,13 +15,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import body, slices, tidied, utf8
 
 #: Labelled rows that training uses at most.
 SAMPLE = 2400
+#: Bytes of their texts, at most.
+SAMPLE_BYTES = 32 << 20
 #: Bytes of a sampled row that one training step may hold at most in a batch; longer rows train alone.
 SLICE = 512 << 10
 BLOCK, STRIDE, WIDTH = 64, 2, 6
@@ -139,14 +141,18 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteConvNet:
     """A network trained on at most ``sample`` labelled rows of ``docs`` that are not held out.
 
-    The sample has the rows with the smallest hashes of doc_id, so it does not depend on order.  Rows
+    The sample has the rows with the smallest hashes of doc_id, so it does not depend on order; it ends
+    before its whole texts pass ``SAMPLE_BYTES``, so what the driver holds is bounded in bytes.  Rows
     with a null label take no part; of labels for one doc_id, one is used.  Where no row is left, the
     network is untrained.
     """
     picked = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     picked = picked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(picked), "doc_id")  # of at most ``sample`` rows
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample).collect()
+    rows = rows.withColumn("n", F.octet_length("text").cast("long")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    # Of at most ``sample`` rows, those whose texts do not together pass the bound in bytes.
+    held = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).select("text", "quality").collect()
     net = ByteConvNet()
     return net.fit([r.text.encode() for r in rows], np.array([r.quality for r in rows])) if rows else net
 
