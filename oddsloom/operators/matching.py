@@ -154,6 +154,63 @@ def equivalence(pairs: DataFrame) -> DataFrame:
     return out.withColumn("aggregate_score", score).withColumn("verdict", verdict)
 
 
+def market_terms(markets: DataFrame) -> DataFrame:
+    """What titles and rules say, for :func:`candidates` and :func:`paired`.
+
+    ``markets`` has market_id, title, rules, category, resolves and strike (null where the venue gives none).
+    Thresholds come from titles alone, as rules restate them in examples; what they are measured on, from rules too.
+    """
+    title, rules = F.col("title"), F.coalesce("rules", F.lit(""))
+    full = F.concat_ws(" ", title, rules)
+    either = lambda f: F.when(f(title) != "", f(title)).otherwise(f(rules))
+    rows = markets.withColumn("normalized", T.normalize_title(title)).withColumn("threshold", F.coalesce("strike", F.get(T.thresholds(title), F.lit(0))))
+    return rows.select(
+        "market_id", "title", "rules", "category", "resolves", "normalized", "threshold",
+        T.tokens(F.col("normalized")).alias("tokens"),
+        T.entities(F.col("normalized")).alias("entities"),
+        either(T.comparator).alias("comparator"),
+        either(T.threshold_semantics).alias("semantics"),
+        T.includes_overtime(full).alias("overtime"),
+        T.uses_revised(full).alias("revised"),
+        T.source_family(rules).alias("source"),
+        T.continuous(title, F.col("category"), F.col("threshold")).alias("continuous"),
+        T.proper_nouns(title).alias("nouns"),
+        T.content_hash(rules).alias("hash"),
+    )
+
+
+def paired(pairs: DataFrame, terms_a: DataFrame, terms_b: DataFrame) -> DataFrame:
+    """The operands of :func:`verify` for ``pairs`` (a, b, similarity, overlap, score), from the terms of both sides."""
+    names = ("threshold", "comparator", "semantics", "overtime", "revised", "source", "hash", "nouns", "continuous")
+    side = lambda t, k: t.select(F.col("market_id").alias(k), F.col("resolves").alias(f"cutoff_{k}"), F.concat_ws(" ", "title", "rules").alias(f"full_{k}"), *(F.col(n).alias(f"{n}_{k}") for n in names))
+    both = pairs.join(side(terms_a, "a"), "a").join(side(terms_b, "b"), "b")
+    missing = (F.size(T.missing_names(F.col("nouns_a"), F.col("full_b"))) > 0) | (F.size(T.missing_names(F.col("nouns_b"), F.col("full_a"))) > 0)
+    return both.withColumn("nouns_missing", missing).withColumn("continuous", F.col("continuous_a") & F.col("continuous_b")).drop("full_a", "full_b")
+
+
+def cross_quotes(matches: DataFrame, mids: DataFrame, least: float = 0.6) -> DataFrame:
+    """The price of a market on the other venue, by matches that are identical or equivalent.
+
+    ``matches`` has match_id, a, b, compatibility, confidence and inverted; ``mids`` has market_id,
+    platform and mid.  Of several matches on one venue the last counts.  Returns market_id, platform
+    (the other's) and mid, turned where YES and NO change places.
+    """
+    good = matches.where(F.col("compatibility").isin("IDENTICAL", "EQUIVALENT") & (F.col("confidence") >= least))
+    way = lambda own, other: good.select("match_id", F.col(own).alias("market_id"), F.col(other).alias("other"), "inverted")
+    both = way("a", "b").unionByName(way("b", "a")).join(mids.select(F.col("market_id").alias("other"), "platform", "mid"), "other").where("mid IS NOT NULL")
+    mid = F.when(F.col("inverted"), 1 - F.col("mid")).otherwise(F.col("mid"))
+    return both.groupBy("market_id", "platform").agg(F.max_by(mid, F.struct("match_id", "other")).alias("mid"))
+
+
+def rule_changes(versions: DataFrame, key: str, at: str, fields: Sequence[str], material: Sequence[str]) -> DataFrame:
+    """Changes between one version of a market's rules and the next: the fields that differ, and whether one of them is material."""
+    w = Window.partitionBy(key).orderBy(at)
+    rows = versions.withColumn("__before", F.lag(F.struct(*fields)).over(w)).where("__before IS NOT NULL")
+    changed = F.array_compact(F.array(*(F.when(~F.col(f).eqNullSafe(F.col("__before")[f]), F.lit(f)) for f in fields)))
+    rows = rows.withColumn("changed", changed).where(F.size("changed") > 0)
+    return rows.withColumn("is_material", F.arrays_overlap("changed", F.array(*map(F.lit, material)))).drop("__before")
+
+
 def demotions(verified: DataFrame) -> DataFrame:
     """Pairs by code: how many, how many that code alone lowers, and whether it is missing information."""
     rows = verified.select(F.explode("codes").alias("code"), (F.size("codes") == 1).alias("alone"), F.forall("codes", lambda c: c.isin(*MISSING)).alias("only_missing"))

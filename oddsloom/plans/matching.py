@@ -1,7 +1,7 @@
 """Queries on titles, rules and matching across venues.
 
-Titles are the first 70 characters of documents, after a word or two that venues write; documents of
-even key are one venue's, of odd key the other's.
+Titles are those of pages, between words that venues write; pages of even key are one venue's, of odd
+key the other's.  Rules are sentences that name a source.
 """
 
 from __future__ import annotations
@@ -16,23 +16,32 @@ from ..operators import matching as M
 from . import adapters as A
 
 PREFIXES = ["Will the ", "Who will ", "BTC above $70k at least: ", "NYC high temp & ", "Fed cuts: ", "At least 3 goals in ", ""]
-TITLE_SQL = f"""tt AS (SELECT doc_id, {PREFIXES}[doc_id % 7 + 1] || substring(translate(text, chr(10), ' '), 1, 70) AS title, lang, source FROM documents)"""
-
-
-def _titles(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents")
-    prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("doc_id") % 7 + 1).cast("int"))
-    return d.select("doc_id", F.concat(prefix, F.substring(F.translate("text", "\n", " "), 1, 70)).alias("title"), "lang", "source")
+PHRASES = [" above $1,250.50", " at least 30 points", " between 10k and 2 million", " by Jul 25, 2026", " or higher on 3 March 2025", " below 2.5 million", " in extra time (final estimate) 2024-05-06", " average", ""]
+PLACES = [" in Denver", " for Łódź Austin", " Chicago Bears", ""]
+RULES = ["", "According to the National Weather Service. Settles early if called.", "Source: BLS report. Final reading counts.", "Settles on the CF Benchmarks index at the close", "Coinbase spot, touched at any time", "ESPN box score. Ties refund the stake"]
+CATEGORIES = ["weather", "economics", "crypto", "sports", "other"]
+_list = lambda names: "[" + ", ".join(_sql_quote(x) for x in names) + "]"
 
 
 def _sql_quote(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+TITLE_SQL = f"""tt AS (SELECT page_id, {_list(PREFIXES)}[page_id % 7 + 1] || regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1) || {_list(PHRASES)}[page_id % 9 + 1] || {_list(PLACES)}[page_id // 2 % 4 + 1] AS title,
+    regexp_extract(coalesce(html, ''), 'lang="([a-z]*)"', 1) AS lang, {_list(RULES)}[page_id // 3 % 6 + 1] AS rules, {_list(CATEGORIES)}[page_id % 5 + 1] AS category FROM pages)"""
+
+
+def _titles(spark, sf_dir):
+    page, k = F.coalesce("html", F.lit("")), F.col("page_id")
+    pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
+    title = F.concat(pick(PREFIXES, k % 7), F.regexp_extract(page, "<title>([^<]*)", 1), pick(PHRASES, k % 9), pick(PLACES, F.floor(k / 2) % 4))
+    return A.table(spark, sf_dir, "pages").select("page_id", title.alias("title"), F.regexp_extract(page, 'lang="([a-z]*)"', 1).alias("lang"), pick(RULES, F.floor(k / 3) % 6).alias("rules"), pick(CATEGORIES, k % 5).alias("category"))
+
+
 def normalize_sql(column: str) -> str:
     """The same normal form in SQL; the neighbours of an alias are captured and put back."""
     out = f"regexp_replace({column}, '\\*+|_+|`+', ' ', 'g')"
-    out = f"lower(translate({out}, '{T.MARKED + T.MARKED.upper()}', '{T.PLAIN + T.PLAIN.upper()}'))"
+    out = f"lower(translate({out}, '{T.MARKED}', '{T.PLAIN}'))"
     out = f"replace({out}, '&', ' and ')"
     out = f"trim(regexp_replace(regexp_replace({out}, '[^a-z0-9_\\s.\\-+°$%/:]', ' ', 'g'), '\\s+', ' ', 'g'))"
     for phrase in T.STOP_PHRASES:
@@ -47,15 +56,15 @@ def normalize_sql(column: str) -> str:
 
 
 def normalize_titles(spark, sf_dir):
-    return _titles(spark, sf_dir).select("doc_id", T.normalize_title(F.col("title")).alias("normalized"))
+    return _titles(spark, sf_dir).select("page_id", T.normalize_title(F.col("title")).alias("normalized"))
 
 
-NORMALIZE_SQL = f"WITH {TITLE_SQL} SELECT doc_id, {normalize_sql('title')} AS normalized FROM tt"
+NORMALIZE_SQL = f"WITH {TITLE_SQL} SELECT page_id, {normalize_sql('title')} AS normalized FROM tt"
 
 
 def title_features(spark, sf_dir):
     t = _titles(spark, sf_dir)
-    return t.select("doc_id", T.comparator(F.col("title")).alias("comparator"), T.threshold_semantics(F.col("title")).alias("semantics"), F.coalesce(T.includes_overtime(F.col("title")).cast("string"), F.lit("unknown")).alias("overtime"), F.coalesce(T.uses_revised(F.col("title")).cast("string"), F.lit("unknown")).alias("revised"), F.size(T.tokens(F.col("title"))).alias("n_tokens"), F.size(T.entities(F.col("title"))).alias("n_entities"), T.content_hash(F.col("title"), F.col("lang")).alias("hash"))
+    return t.select("page_id", T.comparator(F.col("title")).alias("comparator"), T.threshold_semantics(F.col("title")).alias("semantics"), F.coalesce(T.includes_overtime(F.col("title")).cast("string"), F.lit("unknown")).alias("overtime"), F.coalesce(T.uses_revised(F.col("title")).cast("string"), F.lit("unknown")).alias("revised"), F.size(T.tokens(F.col("title"))).alias("n_tokens"), F.size(T.entities(F.col("title"))).alias("n_entities"), T.content_hash(F.col("title"), F.col("lang")).alias("hash"))
 
 
 def _case(rows, test: str, column: str) -> str:
@@ -65,7 +74,7 @@ def _case(rows, test: str, column: str) -> str:
 WORDS_SQL = "list_distinct(list_filter(string_split_regex(lower({c}), '[^a-z0-9_]+'), lambda x: {t}))"
 FEATURES_SQL = f"""
     WITH {TITLE_SQL}
-    SELECT doc_id, {_case(T.COMPARATORS, "contains(lower({c}), {p})", "title")} AS comparator, {_case(T.SEMANTICS, "regexp_matches(lower({c}), {p})", "title")} AS semantics,
+    SELECT page_id, {_case(T.COMPARATORS, "contains(lower({c}), {p})", "title")} AS comparator, {_case(T.SEMANTICS, "regexp_matches(lower({c}), {p})", "title")} AS semantics,
            CASE WHEN NOT regexp_matches(title, {_sql_quote(T.OVERTIME)}) THEN 'unknown' WHEN regexp_matches(title, {_sql_quote(T.NO_OVERTIME)}) THEN 'false' ELSE 'true' END AS overtime, CASE WHEN regexp_matches(title, {_sql_quote(T.REVISED)}) THEN 'true' ELSE 'unknown' END AS revised,
            CAST(len({WORDS_SQL.format(c="title", t="length(x) > 1")}) AS INTEGER) AS n_tokens,
            CAST(len({WORDS_SQL.format(c="title", t=f"list_contains({list(T.ENTITY_HINTS)}, x) OR (length(x) > 3 AND NOT regexp_full_match(x, '[0-9]+') AND NOT list_contains({list(T.GENERIC)}, x))")}) AS INTEGER) AS n_entities,
@@ -85,9 +94,14 @@ VERSIONS_SQL = """
     SELECT market_id, rule_hash, CAST(row_number() OVER (PARTITION BY market_id ORDER BY a, rule_hash) AS INTEGER) AS version, n, CAST(floor(epoch(a)) AS BIGINT) AS first, CAST(floor(epoch(b)) AS BIGINT) AS last FROM g"""
 
 
+def _terms(spark, sf_dir):
+    k = F.col("page_id")
+    t = _titles(spark, sf_dir).select(k.alias("market_id"), "title", "rules", "category", F.when(k % 11 != 0, F.timestamp_add("DAY", (k % 4).cast("int"), F.lit(A.NOW).cast("timestamp"))).alias("resolves"), F.when(k % 6 == 0, (k % 5 * 10.0)).alias("strike"))
+    return M.market_terms(t)
+
+
 def _sides(spark, sf_dir):
-    t = _titles(spark, sf_dir).withColumn("normalized", T.normalize_title(F.col("title")))
-    t = t.select(F.col("doc_id").alias("market_id"), T.tokens(F.col("normalized")).alias("tokens"), T.entities(F.col("normalized")).alias("entities"), F.when(F.col("doc_id") % 5 == 0, "other").otherwise(F.concat(F.lit("c"), (F.col("doc_id") % 3).cast("string"))).alias("category"), F.when(F.col("doc_id") % 11 != 0, F.timestamp_add("DAY", (F.col("doc_id") % 4).cast("int"), F.lit(A.NOW).cast("timestamp"))).alias("resolves"))
+    t = _terms(spark, sf_dir)
     return t.where("market_id % 2 = 0"), t.where("market_id % 2 = 1")
 
 
@@ -96,8 +110,8 @@ def blocking_index(spark, sf_dir):
     return M.blocking_index(b).groupBy("token").agg(F.count("*").alias("df"))
 
 
-MARKETS_SQL = f"""{TITLE_SQL}, nt AS (SELECT doc_id, {normalize_sql("title")} AS nz FROM tt),
-    mt AS (SELECT doc_id AS id, {WORDS_SQL.format(c="nz", t="length(x) > 1")} AS tokens, nz, CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'c' || doc_id % 3 END AS cat, CASE WHEN doc_id % 11 <> 0 THEN doc_id % 4 END AS day FROM nt),
+MARKETS_SQL = f"""{TITLE_SQL}, nt AS (SELECT page_id, category, {normalize_sql("title")} AS nz FROM tt),
+    mt AS (SELECT page_id AS id, {WORDS_SQL.format(c="nz", t="length(x) > 1")} AS tokens, nz, category AS cat, CASE WHEN page_id % 11 <> 0 THEN page_id % 4 END AS day FROM nt),
     po AS (SELECT id, token FROM (SELECT id, unnest(tokens) AS token FROM mt WHERE id % 2 = 1) WHERE length(token) >= 4 AND NOT regexp_full_match(token, '[0-9]+')),
     ix AS (SELECT token, count(*) AS df FROM po GROUP BY token HAVING count(*) <= greatest(20, floor((SELECT count(*) FROM mt WHERE id % 2 = 1) * 0.08)))"""
 INDEX_SQL = f"WITH {MARKETS_SQL} SELECT token, df FROM ix"
@@ -220,9 +234,124 @@ JOB_KEYS_SQL = "SELECT c_custkey, sha256(c_mktsegment || '|' || c_nationkey || '
 
 
 def title_numbers(spark, sf_dir):
-    """Numbers of titles; literal cases are in the tests."""
-    return _titles(spark, sf_dir).select("doc_id", F.array_join(F.transform(T.numbers(F.col("title")), lambda x: x.cast("decimal(20,2)").cast("string")), ",").alias("numbers"))
+    """Numbers of titles, and those after the comparator; literal cases are in the tests."""
+    shown_all = lambda v: F.array_join(F.transform(v, lambda x: x.cast("decimal(20,2)").cast("string")), ",")
+    return _titles(spark, sf_dir).select("page_id", shown_all(T.numbers(F.col("title"))).alias("numbers"), shown_all(T.thresholds(F.col("title"))).alias("thresholds"))
+
+
+def numbers_sql(column: str) -> str:
+    """The numbers of a text in SQL; what can stand between two numbers is doubled, so that they do not share it."""
+    text = f"replace(replace(lower({column}), ' ', '  '), '-', '--')"
+    found = f"regexp_extract_all({text}, '(?:^|[^a-z0-9_.])(\\$?\\s{{0,2}}(?:\\d{{1,3}}(?:,\\d{{3}})+|\\d+(?:\\.\\d+)?)\\s{{0,2}}(?:thousand|million|billion|bn|k|m|b)?)(?:$|[^a-z0-9_])', 1)"
+    unit = "regexp_extract(x, '([a-z]+)$', 1)"
+    value = f"CAST(replace(regexp_extract(x, '([0-9,.]*[0-9])', 1), ',', '') AS DOUBLE) * CASE WHEN {unit} IN ('thousand', 'k') THEN 1e3 WHEN {unit} IN ('million', 'm') THEN 1e6 WHEN {unit} IN ('billion', 'bn', 'b') THEN 1e9 ELSE 1.0 END"
+    return f"list_filter(list_transform({found}, lambda x: CASE WHEN {unit} = '' OR contains(x, '$') OR length({unit}) > 2 THEN {value} END), lambda v: v IS NOT NULL)"
+
+
+_PLACES = ", ".join(f"CASE WHEN instr(lower(title), {_sql_quote(p)}) > 0 THEN (instr(lower(title), {_sql_quote(p)}) - 1) * 100 + {len(p)} ELSE -1 END" for p, _ in T.COMPARATORS)
+AFTER_SQL = f"(SELECT *, list_reduce([-1, {_PLACES}], lambda b, s: CASE WHEN s >= 0 AND (b < 0 OR s // 100 < b) THEN s // 100 + s % 100 ELSE b END) AS e FROM tt)"
+THRESHOLDS_SQL = f"(SELECT *, {numbers_sql('title')} AS nums, CASE WHEN e >= 0 AND len({numbers_sql('title[e + 1:]')}) > 0 THEN {numbers_sql('title[e + 1:]')} ELSE {numbers_sql('title')} END AS ths FROM {AFTER_SQL})"
+_SHOWN = "array_to_string(list_transform({c}, lambda x: CAST(CAST(x AS DECIMAL(20,2)) AS VARCHAR)), ',')"
+NUMBERS_SQL = f"WITH {TITLE_SQL} SELECT page_id, {_SHOWN.format(c='nums')} AS numbers, {_SHOWN.format(c='ths')} AS thresholds FROM {THRESHOLDS_SQL}"
+
+
+def market_terms(spark, sf_dir):
+    """What titles and rules say, by market."""
+    full = F.concat_ws(" ", "title", "rules")
+    t = _terms(spark, sf_dir)
+    return t.select(
+        "market_id", "comparator", "semantics", "source", "continuous", shown(F.col("threshold"), 2).alias("threshold"),
+        F.array_join(F.array_sort("nouns"), ",").alias("nouns"),
+        F.array_join(F.transform(T.dates(full, 2024), lambda d: d.cast("string")), ",").alias("dates"),
+        T.completeness(F.col("rules"), F.col("source"), F.col("comparator") != "").alias("completeness"),
+        T.clause(F.col("rules"), ("settles", "refund")).alias("clause"),
+        shown(sum((F.coalesce(x, F.lit(False)).cast("int") for x in (F.col("rules") != "", F.col("source") != "", F.col("threshold").isNotNull(), F.col("comparator") != "", F.col("resolves").isNotNull())), F.lit(0)) / 5, 4).alias("extraction_confidence"),
+    )
+
+
+_MONTH = f"list_position({list(T.MONTHS)}, {{m}})"
+_YEAR = "coalesce(nullif(regexp_extract(x, '([0-9]{4})$', 1), ''), '2024')"
+_DATE = "try_strptime({y} || '-' || {m} || '-' || {d}, '%Y-%m-%d')"
+DATES_SQL = f"""list_sort(list_distinct(list_filter(list_concat(
+    list_transform(regexp_extract_all(lower(ft), '{T.DATES[0]}', 0), lambda x: {_DATE.format(y=_YEAR, m=_MONTH.format(m="x[1:3]"), d="regexp_extract(x, '[ ]([0-9]{1,2})', 1)")}),
+    list_transform(regexp_extract_all(lower(ft), '{T.DATES[1]}', 0), lambda x: {_DATE.format(y=_YEAR, m=_MONTH.format(m="regexp_extract(x, '([a-z]{3})', 1)"), d="regexp_extract(x, '^([0-9]{1,2})', 1)")}),
+    list_transform(regexp_extract_all(lower(ft), '{T.DATES[2]}', 0), lambda x: try_strptime(x, '%Y-%m-%d'))), lambda d: d IS NOT NULL)))"""
+CAPITAL_SQL = r"(?:^|[^\p{L}\p{N}_])([A-Z][a-zA-Z'\-]{3,})(?:$|[^\p{L}\p{N}_])"
+NOUNS_SQL = f"""list_distinct(list_filter(list_transform(CASE WHEN len(ws) > 0 AND starts_with(trim(title), ws[1]) THEN ws[2:] ELSE ws END, lambda x: lower(x)), lambda w: NOT list_contains({list(T.PLAIN_CAPITALS)}, w)))"""
+EITHER = lambda rows, test: f"CASE WHEN ({_case(rows, test, 'title')}) <> '' THEN {_case(rows, test, 'title')} ELSE {_case(rows, test, 'rules')} END"
+MARKET_TERMS_SQL = f"""
+    WITH {TITLE_SQL},
+    t1 AS (SELECT *, regexp_extract_all(replace(title, ' ', '  '), {_sql_quote(CAPITAL_SQL)}, 1) AS ws, title || ' ' || rules AS ft, CASE WHEN page_id % 6 = 0 THEN page_id % 5 * 10.0::DOUBLE ELSE ths[1] END AS th FROM {THRESHOLDS_SQL}),
+    mt2 AS (SELECT page_id, title, rules, ft, th, {NOUNS_SQL} AS ns, {DATES_SQL} AS ds, {EITHER(T.COMPARATORS, "contains(lower({c}), {p})")} AS cmp, {EITHER(T.SEMANTICS, "regexp_matches(lower({c}), {p})")} AS sem, {_case(T.SOURCES, "regexp_matches(lower({c}), {p})", "rules")} AS src,
+           CASE WHEN {" OR ".join(f"contains(lower(title), '{p}')" for p in T.COUNTED)} THEN 1.0 WHEN category = 'weather' THEN 1.0 WHEN category = 'economics' THEN 0.1 END AS step,
+           CASE WHEN NOT regexp_matches(ft, {_sql_quote(T.OVERTIME)}) THEN NULL ELSE NOT regexp_matches(ft, {_sql_quote(T.NO_OVERTIME)}) END AS ot,
+           sha256(trim(regexp_replace(rules, '\\s+', ' ', 'g')))[1:32] AS h FROM t1),
+    mt3 AS (SELECT *, CASE WHEN step IS NULL THEN true WHEN th IS NULL OR th = 0 THEN false ELSE abs(step / th) < 0.0001 END AS cont FROM mt2)"""
+TERMS_OF_MARKETS_SQL = f"""{MARKET_TERMS_SQL}
+    SELECT page_id AS market_id, cmp AS comparator, sem AS semantics, src AS source, cont AS continuous, round(th, 2) AS threshold, array_to_string(list_sort(ns), ',') AS nouns, array_to_string(list_transform(ds, lambda d: strftime(d, '%Y-%m-%d')), ',') AS dates,
+           CASE WHEN trim(rules) <> '' AND src <> '' AND cmp <> '' THEN 'complete' WHEN trim(rules) <> '' OR (cmp <> '' AND src <> '') THEN 'partial' WHEN cmp <> '' THEN 'title_only' ELSE 'unavailable' END AS completeness,
+           array_to_string(list_filter(list_transform(string_split(replace(rules, chr(10), ' '), '. '), lambda x: trim(x)), lambda x: x <> '' AND (contains(lower(x), 'settles') OR contains(lower(x), 'refund'))), '. ') AS clause,
+           round(((rules <> '')::INT + (src <> '')::INT + (th IS NOT NULL)::INT + (cmp <> '')::INT + (page_id % 11 <> 0)::INT) / 5.0::DOUBLE, 4) AS extraction_confidence FROM mt3"""
+
+
+def verify_candidates(spark, sf_dir):
+    """Candidate pairs verified by what their titles and rules say."""
+    a, b = _sides(spark, sf_dir)
+    v = M.verify(M.paired(M.candidates(a, b), a, b))
+    return v.select("a", "b", "nouns_missing", F.array_join(F.array_sort("codes"), ",").alias("codes"), "compatibility", "inverted")
+
+
+def _verify_candidates_sql() -> str:
+    found = CANDIDATES_SQL.strip().removeprefix("WITH ").rsplit("SELECT a, b, shared", 1)[0].replace(TITLE_SQL + ",", "", 1).strip().removeprefix(",")
+    lacks = lambda ns, full: f"len(list_filter({ns}, lambda n: NOT contains(lower({full}), n))) > 0"
+    pairs = f"""vp AS (SELECT r.a || '-' || r.b AS k, r.a, r.b, similarity, overlap, {lacks("x.ns", "y.ft")} OR {lacks("y.ns", "x.ft")} AS nouns_missing, x.cont AND y.cont AS continuous, x.th AS ta, y.th AS tb, x.cmp AS ca, y.cmp AS cb, x.sem AS ma, y.sem AS mb,
+        CASE WHEN r.a % 11 <> 0 AND r.b % 11 <> 0 THEN abs(r.a % 4 - r.b % 4) * 24 END AS da, x.src AS sa, y.src AS sb, x.ot AS oa, y.ot AS ob, x.h AS ha, y.h AS hb FROM rk r JOIN mt3 x ON x.page_id = r.a JOIN mt3 y ON y.page_id = r.b WHERE r.r <= 6)"""
+    checks = CHECKS_SQL.replace(TERMS_SQL, pairs)
+    return f"""{MARKET_TERMS_SQL}, {found}, {checks}
+    SELECT a, b, nouns_missing, array_to_string(list_sort(codes), ',') AS codes, ['IDENTICAL', 'EQUIVALENT', 'SIMILAR', 'INCOMPATIBLE'][rank + 1] AS compatibility, inv AS inverted FROM vr"""
+
+
+def rule_changes(spark, sf_dir):
+    """Changes of what each user's events say, from one to the next."""
+    e = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("market_id"), "event_id", F.col("event_type").alias("raw_rules"), (F.col("event_id") % 3).alias("threshold_value"), (F.col("event_id") % 2).alias("layout"))
+    c = M.rule_changes(e, "market_id", "event_id", ["raw_rules", "threshold_value", "layout"], ["raw_rules", "settlement_source", "threshold_value", "comparator", "cutoff_time", "includes_overtime", "uses_revised_data"])
+    return c.select("market_id", "event_id", F.array_join("changed", ",").alias("changed"), "is_material")
+
+
+RULE_CHANGES_SQL = """
+    WITH e AS (SELECT user_id AS market_id, event_id, event_type AS r, event_id % 3 AS t, event_id % 2 AS l FROM events),
+    p AS (SELECT *, lag(r) OVER w AS pr, lag(t) OVER w AS pt, lag(l) OVER w AS pl, lag(event_id) OVER w AS pe FROM e WINDOW w AS (PARTITION BY market_id ORDER BY event_id)),
+    c AS (SELECT *, list_filter([CASE WHEN r IS DISTINCT FROM pr THEN 'raw_rules' END, CASE WHEN t <> pt THEN 'threshold_value' END, CASE WHEN l <> pl THEN 'layout' END], lambda x: x IS NOT NULL) AS ch FROM p WHERE pe IS NOT NULL)
+    SELECT market_id, event_id, array_to_string(ch, ',') AS changed, list_has_any(ch, ['raw_rules', 'threshold_value']) AS is_material FROM c WHERE len(ch) > 0"""
+
+
+def cross_quotes(spark, sf_dir):
+    """Orders matched to the next one, quoted by it and quoting it."""
+    k = F.col("o_orderkey")
+    o = A.table(spark, sf_dir, "orders")
+    m = o.select(k.alias("match_id"), k.alias("a"), (k + 1 + k % 2).alias("b"), F.element_at(F.array(*map(F.lit, M.LEVELS)), (k % 4 + 1).cast("int")).alias("compatibility"), ((k % 10) / 10).alias("confidence"), (k % 3 == 0).alias("inverted"))
+    mids = o.select(k.alias("market_id"), F.when(k % 2 == 0, "kalshi").otherwise("polymarket").alias("platform"), F.when(k % 9 != 0, (k % 99 + 1) / 100).alias("mid"))
+    return M.cross_quotes(m, mids).withColumn("mid", shown(F.col("mid"), 4))
+
+
+CROSS_SQL = """
+    WITH m AS (SELECT o_orderkey AS id, o_orderkey AS a, o_orderkey + 1 + o_orderkey % 2 AS b, o_orderkey % 3 = 0 AS inv FROM orders WHERE o_orderkey % 4 < 2 AND (o_orderkey % 10) / 10.0::DOUBLE >= 0.6),
+    w AS (SELECT id, a AS own, b AS other, inv FROM m UNION ALL SELECT id, b, a, inv FROM m),
+    q AS (SELECT own, id, o_orderkey AS other, CASE WHEN o_orderkey % 2 = 0 THEN 'kalshi' ELSE 'polymarket' END AS platform, CASE WHEN inv THEN 1 - (o_orderkey % 99 + 1) / 100.0::DOUBLE ELSE (o_orderkey % 99 + 1) / 100.0::DOUBLE END AS mid FROM w JOIN orders ON o_orderkey = other WHERE o_orderkey % 9 <> 0)
+    SELECT own AS market_id, platform, round(arg_max(mid, id * 10000000 + other), 4) AS mid FROM q GROUP BY ALL"""
+
+
+def match_recall(spark, sf_dir):
+    """Of labelled pairs, how many the candidates hold, by label."""
+    a, b = _sides(spark, sf_dir)
+    k = F.col("page_id")
+    labelled = A.table(spark, sf_dir, "pages").where(k % 2 == 0).select(k.alias("a"), F.explode(F.array(k + 1, k + 19, k + 45)).alias("b"), F.element_at(F.array(*map(F.lit, ("equivalent", "near_miss", "false_friend"))), (F.floor(k / 2) % 3 + 1).cast("int")).alias("label"))
+    return M.recall(M.candidates(a, b), labelled)
+
 
+RECALL_SQL = CANDIDATES_SQL.rsplit("SELECT a, b, shared", 1)[0].rstrip() + """,
+    lb AS (SELECT page_id AS a, page_id + unnest([1, 19, 45]) AS b, ['equivalent', 'near_miss', 'false_friend'][page_id // 2 % 3 + 1] AS label FROM pages WHERE page_id % 2 = 0)
+    SELECT label, count(*) AS n, count(rk.a) AS proposed FROM lb LEFT JOIN rk ON rk.a = lb.a AND rk.b = lb.b AND rk.r <= 6 GROUP BY label"""
 
 QUERIES = {
     "normalize_titles": (normalize_titles, NORMALIZE_SQL),
@@ -234,5 +363,10 @@ QUERIES = {
     "equivalence_scores": (equivalence_scores, EQUIVALENCE_SQL),
     "demotion_histogram": (demotion_histogram, DEMOTION_SQL),
     "job_keys": (job_keys, JOB_KEYS_SQL),
-    "title_numbers": (title_numbers, None),
+    "title_numbers": (title_numbers, NUMBERS_SQL),
+    "market_terms": (market_terms, TERMS_OF_MARKETS_SQL),
+    "verify_candidates": (verify_candidates, _verify_candidates_sql()),
+    "rule_changes": (rule_changes, RULE_CHANGES_SQL),
+    "cross_quotes": (cross_quotes, CROSS_SQL),
+    "match_recall": (match_recall, RECALL_SQL),
 }
