@@ -91,6 +91,21 @@ def stale(age_seconds: Column, limit: float = STALE_SECONDS) -> Column:
     return age_seconds > limit
 
 
+def caveats() -> Column:
+    """What a reader of a cost must know, as codes, from source, age, platform, min_size and resolves."""
+    c = F.col
+    tests = [
+        (c("source") != "orderbook", "depth_unknown"),
+        (stale(c("age")), "stale_quote"),
+        (c("platform") == "kalshi", "fee_rounds_up_on_the_order"),
+        (c("platform") == "polymarket", "transfer_is_shared"),
+        (c("min_size") > 1, "minimum_order"),
+        (c("resolves").isNotNull(), "capital_is_locked_up"),
+        (F.lit(True), "slippage_is_assumed"),
+    ]
+    return F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), code) for test, code in tests)))
+
+
 def max_profitable_size(ladders: DataFrame, now: Column, most: int = 5000, steps: int = 24) -> DataFrame:
     """The largest size worth buying: all of the ladder if that has an edge, else by bisection.
 
