@@ -48,6 +48,21 @@ def apply_isotonic(x: Sequence[float], fitted: Sequence[float], p: float) -> flo
     return float(np.interp(p, x, fitted)) if len(x) else p
 
 
+def with_knots(df: DataFrame, knots: DataFrame, keys: Sequence[str], p: str, name: str) -> DataFrame:
+    """Adds a map's value at ``p``: linear between its knots (x, fitted), flat beyond them, ``p`` itself where a group has none.
+
+    A group's knots are distinct forecasts, so there are no more of them than forecasts have values.
+    """
+    arrays = knots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "fitted"))).alias("__k"))
+    v = F.col(p).cast("double")
+    rows = df.join(arrays, list(keys), "left").withColumn("__below", F.filter("__k", lambda k: k["x"] <= v)).withColumn("__above", F.get(F.filter("__k", lambda k: k["x"] >= v), F.lit(0)))
+    rows = rows.withColumn("__below", F.get("__below", F.size("__below") - 1))
+    a, b = F.col("__below"), F.col("__above")
+    between = a["fitted"] + (b["fitted"] - a["fitted"]) * (v - a["x"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
+    value = F.when(F.col("__k").isNull(), v).when(a.isNull(), b["fitted"]).when(b.isNull() | (a["x"] == b["x"]), a["fitted"]).otherwise(between)
+    return rows.withColumn(name, value).drop("__k", "__below", "__above")
+
+
 def newton(p: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50) -> np.ndarray | None:
     """Logistic weights on (ln p, -ln(1 - p), 1), or None where Newton's rounds do not converge."""
     q = np.clip(p, EPS, 1 - EPS)

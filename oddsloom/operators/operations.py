@@ -44,6 +44,27 @@ def blocked(status: Mapping[str, str], jobs: Mapping[str, Sequence[str]] = JOBS)
     return out
 
 
+def upstream(jobs: Mapping[str, Sequence[str]] = JOBS) -> dict[str, list[str]]:
+    """All jobs that a job waits for, directly or not."""
+    out: dict[str, list[str]] = {}
+    for job in topological(jobs):
+        out[job] = sorted({*jobs[job], *(u for before in jobs[job] for u in out[before])})
+    return out
+
+
+def blocked_runs(runs: DataFrame, jobs: Mapping[str, Sequence[str]] = JOBS) -> DataFrame:
+    """Runs (batch, job, status) of jobs of which one upstream job failed in the same batch: batch, job, failed."""
+    waits = F.create_map(*(x for job, ups in upstream(jobs).items() for x in (F.lit(job), F.array(*map(F.lit, ups)).cast("array<string>"))))
+    failed = runs.where("status = 'failed'").groupBy("batch").agg(F.collect_set("job").alias("__failed"))  # no more than there are jobs
+    rows = runs.join(failed, "batch").withColumn("failed", F.array_sort(F.array_intersect(F.element_at(waits, F.col("job")), F.col("__failed"))))
+    return rows.where(F.size("failed") > 0).select("batch", "job", "failed")
+
+
+def doubly_active(runs: DataFrame) -> DataFrame:
+    """Jobs with more than one active run: job and n."""
+    return runs.where("status = 'running'").groupBy("job").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def partial_success(ok: Column, failed: Column) -> Column:
     """The status of a run over several providers."""
     return F.when(failed == 0, "succeeded").when(ok > 0, "partial").otherwise("failed")

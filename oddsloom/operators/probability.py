@@ -165,6 +165,19 @@ def ewma_variance(returns: Column, decay: float = 0.94, seed: int = 21) -> Colum
     return F.aggregate(F.slice(returns, seed + 1, F.greatest(F.size(returns) - seed, F.lit(0))), start, lambda v, x: decay * v + (1 - decay) * x * x)
 
 
+def ewma(returns: DataFrame, key: str, order: str, value: str, decay: float = 0.94, seed: int = 21) -> DataFrame:
+    """The exponentially weighted deviation of each key's returns, as :func:`ewma_variance` defines it.
+
+    Each return's weight follows from its place, so the returns are summed and no key's are held as an array.
+    """
+    w = Window.partitionBy(key)
+    rows = returns.withColumn("__i", F.row_number().over(w.orderBy(order))).withColumn("__m", F.count("*").over(w))
+    square, first = F.col(value) * F.col(value), F.col("__i") <= seed
+    later = F.sum(F.when(~first, (1 - decay) * F.pow(F.lit(decay), F.col("__m") - F.col("__i")) * square))
+    variance = F.avg(F.when(first, square)) * F.pow(F.lit(decay), F.greatest(F.max("__m") - seed, F.lit(0))) + F.coalesce(later, F.lit(0.0))
+    return rows.groupBy(key).agg(F.sqrt(variance).alias("ewma"))
+
+
 def gaussian_band(value: Column, sigma: Column, low: Column | None, high: Column | None) -> Column:
     """P(low <= X < high) for a normal forecast; a missing end is open."""
     upper = normal_cdf((high - value) / sigma) if high is not None else F.lit(1.0)

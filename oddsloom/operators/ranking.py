@@ -98,6 +98,9 @@ def book_budget(markets: DataFrame, budget: int, keys: Sequence[str] = ("platfor
     """
     events = markets.groupBy(*keys, "series", "event_id").agg(F.count("*").alias("n"), F.max("volume").alias("volume"))
     cap = max(series_least, int(budget * series_share))
+    # Of a series' events of one size the first ones are taken, and no more than fit under its cap: the rest can go before.
+    place = Window.partitionBy(*keys, "series", "n").orderBy(F.desc("volume"), "event_id")
+    events = events.withColumn("__r", F.row_number().over(place)).where(F.col("__r") * F.col("n") <= F.least(F.lit(cap), F.lit(budget))).drop("__r")
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["volume", "event_id"], ascending=[False, True])

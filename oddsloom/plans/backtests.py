@@ -137,10 +137,12 @@ def beta_calibration(spark, sf_dir):
 
 
 def adoption_gate(spark, sf_dir):
-    """A shrunk map judged on the later fold of each provenance."""
+    """An isotonic map fitted on the earlier fold of each provenance and judged on the later one."""
     s = A.snapshots(spark, sf_dir).where("result IS NOT NULL").withColumn("y", B.outcome(F.col("result"), F.col("side")))
     f = calibration.folds(s, ["provenance"], ["day", "rank", "snapshot_id"])
-    fitted = F.col("p_side").cast("double") * 0.5 + 0.25
+    knots = calibration.isotonic(f.where("fold = 'train'"), ["provenance"], "p_side", "y")
+    f = calibration.with_knots(f, knots, ["provenance"], "p_side", "mapped")
+    fitted = F.col("mapped")
     v = F.col("fold") == "validate"
     out = f.groupBy("provenance").agg(F.count("*").alias("n"), F.count(F.when(v, 1)).alias("n_validation"), metrics.brier(F.when(v, F.col("p_side")), F.col("y")).alias("identity"), metrics.brier(F.when(v, fitted), F.col("y")).alias("fitted"))
     return out.select("provenance", "n", "n_validation", shown(F.col("identity")).alias("identity"), shown(F.col("fitted")).alias("fitted"), shown(calibration.threshold(F.col("n_validation"))).alias("threshold"), calibration.adopted(F.col("n"), F.col("identity"), F.col("fitted"), F.col("n_validation")).alias("adopted"))
@@ -148,7 +150,13 @@ def adoption_gate(spark, sf_dir):
 
 GATE_SQL = f"""
     WITH {A.SNAPSHOTS}, {PAID_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY provenance ORDER BY day, rank, snapshot_id) AS i, count(*) OVER (PARTITION BY provenance) AS n FROM pd WHERE result IS NOT NULL),
-    v AS (SELECT provenance, any_value(n) AS n, count(*) FILTER (i > floor(n * 0.7)) AS nv, avg(pow(p_side / 100.0::DOUBLE - y, 2)) FILTER (i > floor(n * 0.7)) AS a, avg(pow(p_side / 100.0::DOUBLE * 0.5 + 0.25 - y, 2)) FILTER (i > floor(n * 0.7)) AS b FROM o GROUP BY provenance)
+    g AS (SELECT provenance, p_side AS x, sum(y) AS s, count(*) AS n FROM o WHERE i <= floor(n * 0.7) GROUP BY ALL),
+    c AS (SELECT *, sum(s) OVER (PARTITION BY provenance ORDER BY x) AS cs, sum(n) OVER (PARTITION BY provenance ORDER BY x) AS cn FROM g),
+    m AS (SELECT i.provenance, i.x AS xi, j.x AS xj, min((k.cs - j.cs + j.s) / (k.cn - j.cn + j.n)) AS lo FROM c i JOIN c j ON i.provenance = j.provenance AND j.x <= i.x JOIN c k ON i.provenance = k.provenance AND k.x >= i.x GROUP BY ALL),
+    kn AS (SELECT provenance, max(x) AS x, fitted FROM (SELECT provenance, xi AS x, round(max(lo), 10) AS fitted FROM m GROUP BY ALL) GROUP BY provenance, fitted),
+    w AS (SELECT o.*, (SELECT max(x) FROM kn WHERE kn.provenance = o.provenance AND kn.x <= p_side) AS xa, (SELECT min(x) FROM kn WHERE kn.provenance = o.provenance AND kn.x >= p_side) AS xb FROM o WHERE i > floor(n * 0.7)),
+    z AS (SELECT w.*, ka.fitted AS fa, kb.fitted AS fb FROM w LEFT JOIN kn ka ON ka.provenance = w.provenance AND ka.x = xa LEFT JOIN kn kb ON kb.provenance = w.provenance AND kb.x = xb),
+    v AS (SELECT provenance, any_value(n) AS n, count(*) AS nv, avg(pow(p_side / 100.0::DOUBLE - y, 2)) AS a, avg(pow(CASE WHEN xa IS NULL THEN fb WHEN xb IS NULL OR xa = xb THEN fa ELSE fa + (fb - fa) * (p_side - xa) / (xb - xa)::DOUBLE END - y, 2)) AS b FROM z GROUP BY provenance)
     SELECT provenance, n, nv AS n_validation, round(a, 6) AS identity, round(b, 6) AS fitted, round(0.08 / sqrt(nv), 6) AS threshold, n >= 150 AND a - b >= 0.08 / sqrt(nv) AS adopted FROM v"""
 
 
@@ -180,9 +188,9 @@ LEAKAGE_SQL = """
 
 
 def retrodiction(spark, sf_dir):
-    """Prices known at leads of 6 hours, one, three and seven days before the end, at most 2 hours old."""
+    """Prices known at leads of 6 hours, one, three and seven days before each market's end, at most 2 hours old."""
     p = A.prices(spark, sf_dir)
-    end = F.lit("2024-01-29 12:00:00").cast("timestamp")
+    end = F.timestamp_add("DAY", (F.col("market_id") % 10).cast("int"), F.lit("2024-01-20 12:00:00").cast("timestamp"))
     leads = p.select("market_id").distinct().withColumn("lead", F.explode(F.array(*map(F.lit, (6, 24, 72, 168)))))
     asked = leads.withColumn("at", F.timestamp_add("HOUR", -F.col("lead"), end))
     out = latest.as_of(asked, p, "market_id", "at", "observed_at", ["price", "event_id"], "event_id", tolerance_seconds=7200)
@@ -190,7 +198,7 @@ def retrodiction(spark, sf_dir):
 
 
 RETRO_SQL = f"""
-    WITH {A.PRICES}, a AS (SELECT market_id, CAST(lead AS INTEGER) AS lead, TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 1 HOUR * lead AS moment FROM (SELECT DISTINCT market_id FROM pr), (SELECT unnest([6, 24, 72, 168]) AS lead)),
+    WITH {A.PRICES}, a AS (SELECT market_id, CAST(lead AS INTEGER) AS lead, TIMESTAMP '2024-01-20 12:00:00' + INTERVAL 1 DAY * (market_id % 10) - INTERVAL 1 HOUR * lead AS moment FROM (SELECT DISTINCT market_id FROM pr), (SELECT unnest([6, 24, 72, 168]) AS lead)),
     j AS (SELECT a.*, price, event_id, row_number() OVER (PARTITION BY a.market_id, lead ORDER BY observed_at DESC NULLS LAST, event_id DESC) AS r
           FROM a LEFT JOIN pr ON a.market_id = pr.market_id AND observed_at <= moment AND observed_at >= moment - INTERVAL 2 HOUR)
     SELECT market_id, lead, price, coalesce(event_id, -1) AS event_id, CASE WHEN price IS NULL THEN 'no_price' ELSE 'used' END AS status FROM j WHERE r = 1"""

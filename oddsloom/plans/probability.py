@@ -125,9 +125,8 @@ def volatility(spark, sf_dir):
     c = A.table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "event_id", (F.col("value") + 100).alias("close"))
     w = latest.Window.partitionBy("key").orderBy("event_id")
     r = c.withColumn("r", F.log(F.col("close") / F.lag("close").over(w))).where("r IS NOT NULL")
-    rows = r.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "r"))), lambda x: x["r"]).alias("rs"))
-    ew = rows.select("key", F.sqrt(P.ewma_variance(F.col("rs"))).alias("ewma"))
-    v = P.realised_vol(c, "key", "event_id", "close", 24 * 365.25, 30)
+    ew = P.ewma(r, "key", "event_id", "r")
+    v = P.realised_vol(c, "key", "event_id", "close", 24 * 365.25)
     return v.join(ew, "key").select("key", "n", shown(F.col("vol"), 4).alias("vol"), shown(F.col("se"), 4).alias("se"), shown(F.col("ewma"), 5).alias("ewma"))
 
 
@@ -136,7 +135,7 @@ VOLATILITY_SQL = """
     i AS (SELECT key, r, row_number() OVER (PARTITION BY key ORDER BY event_id) AS i, count(*) OVER (PARTITION BY key) AS m FROM c WHERE r IS NOT NULL),
     v AS (SELECT key, count(*) AS n, stddev_samp(r) AS sd FROM c GROUP BY key),
     w AS (SELECT key, sqrt(avg(r * r) FILTER (i <= 21) * pow(0.94, greatest(any_value(m) - 21, 0)) + coalesce(sum(0.06 * pow(0.94, m - i) * r * r) FILTER (i > 21), 0)) AS ewma FROM i GROUP BY key)
-    SELECT key, n, CASE WHEN n >= 30 THEN round(sd * sqrt(24 * 365.25), 4) END AS vol, CASE WHEN n >= 30 THEN round(sd * sqrt(24 * 365.25) / sqrt(2.0 * (n - 1)), 4) END AS se, round(ewma, 5) AS ewma FROM v JOIN w USING (key)"""
+    SELECT key, n, CASE WHEN n >= 48 THEN round(sd * sqrt(24 * 365.25), 4) END AS vol, CASE WHEN n >= 48 THEN round(sd * sqrt(24 * 365.25) / sqrt(2.0 * (n - 1)), 4) END AS se, round(ewma, 5) AS ewma FROM v JOIN w USING (key)"""
 
 
 def weather(spark, sf_dir):

@@ -297,6 +297,41 @@ JOBS_SQL = """WITH r AS (SELECT 'job' || user_id % 12 AS job, user_id % 12 AS j,
     SELECT g.job, CASE WHEN last IS NULL OR j = 11 THEN 'unknown' WHEN epoch(TIMESTAMP '2024-01-30') - last > 120 * (j + 1) THEN 'stalled' ELSE 'active' END AS state, last, gap, n FROM g JOIN q ON q.job = g.job AND i = 1"""
 
 
+def _runs(spark, sf_dir):
+    k = F.col("event_id")
+    names = F.array(*map(F.lit, operations.JOBS))
+    return A.table(spark, sf_dir, "events").select(F.floor(k / len(operations.JOBS)).alias("batch"), F.element_at(names, (k % len(operations.JOBS) + 1).cast("int")).alias("job"), F.when(k % 11 == 0, "failed").when(k % 97 == 1, "running").otherwise("succeeded").alias("status"))
+
+
+def blocked_jobs(spark, sf_dir):
+    """Jobs that must not run as one they wait for has failed, over all batches."""
+    b = operations.blocked_runs(_runs(spark, sf_dir))
+    return b.groupBy("job", F.array_join("failed", ",").alias("failed")).agg(F.count("*").alias("n"))
+
+
+RUNS = f"""rn AS (SELECT event_id // {len(operations.JOBS)} AS batch, {list(operations.JOBS)}[event_id % {len(operations.JOBS)} + 1] AS job, CASE WHEN event_id % 11 = 0 THEN 'failed' WHEN event_id % 97 = 1 THEN 'running' ELSE 'succeeded' END AS status FROM events)"""
+BLOCKED_SQL = f"""WITH {RUNS}, up(job, above) AS (VALUES {", ".join(f"('{j}', '{u}')" for j, us in operations.upstream().items() for u in us)}),
+    b AS (SELECT r.batch, r.job, string_agg(f.job, ',' ORDER BY f.job) AS failed FROM rn r JOIN up ON up.job = r.job JOIN rn f ON f.batch = r.batch AND f.job = above AND f.status = 'failed' GROUP BY r.batch, r.job)
+    SELECT job, failed, count(*) AS n FROM b GROUP BY ALL"""
+
+
+def active_runs(spark, sf_dir):
+    """Jobs of which more than one run is active."""
+    return operations.doubly_active(_runs(spark, sf_dir))
+
+
+ACTIVE_SQL = f"WITH {RUNS} SELECT job, count(*) AS n FROM rn WHERE status = 'running' GROUP BY job HAVING count(*) > 1"
+
+
+def provider_runs(spark, sf_dir):
+    """Batches by how many of their jobs went well."""
+    g = _runs(spark, sf_dir).groupBy("batch").agg(F.count(F.when(F.col("status") != "failed", 1)).alias("ok"), F.count(F.when(F.col("status") == "failed", 1)).alias("bad"))
+    return g.groupBy(operations.partial_success(F.col("ok"), F.col("bad")).alias("status")).agg(F.count("*").alias("n"))
+
+
+PROVIDER_SQL = f"WITH {RUNS}, g AS (SELECT batch, count(*) FILTER (status <> 'failed') AS ok, count(*) FILTER (status = 'failed') AS bad FROM rn GROUP BY batch) SELECT CASE WHEN bad = 0 THEN 'succeeded' WHEN ok > 0 THEN 'partial' ELSE 'failed' END AS status, count(*) AS n FROM g GROUP BY 1"
+
+
 def validators(spark, sf_dir):
     """Orders that break a rule of publication, by rule."""
     o = A.markets(spark, sf_dir)
@@ -333,4 +368,7 @@ QUERIES = {
     "freshness": (freshness, FRESH_SQL),
     "job_states": (job_states, JOBS_SQL),
     "validators": (validators, VALIDATORS_SQL),
+    "blocked_jobs": (blocked_jobs, BLOCKED_SQL),
+    "active_runs": (active_runs, ACTIVE_SQL),
+    "provider_runs": (provider_runs, PROVIDER_SQL),
 }

@@ -3,7 +3,10 @@
 ``spark.dataSource.register(PagedJson)`` and then ``spark.read.format("paged_json").option("pages",
 "a.jsonl,b.jsonl").load()``.  Each listed file is one venue's pages, a JSON object with ``cursor`` and
 ``items`` on each line, keyed by the cursor that asks for it; each is one partition.  A cursor that
-comes again ends the reading, and so does ``max_pages``.
+comes again ends the reading; more than ``max_pages`` pages are an error, so none is lost in silence.
+
+:func:`read_pages` reads pages from any path that Spark reads.  Only cursors are followed in one task for
+each file; items stay where they are and are joined to them.
 """
 
 from __future__ import annotations
@@ -11,6 +14,9 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -18,7 +24,9 @@ from pyspark.sql.types import StructType
 def follow(pages: dict[str, dict], most: int) -> Iterator[dict]:
     """Items of pages in the order of their cursors, each page once."""
     cursor, seen = "", set()
-    while cursor not in seen and len(seen) < most and cursor in pages:
+    while cursor not in seen and cursor in pages:
+        if len(seen) == most:
+            raise ValueError(f"more than {most} pages")
         seen.add(cursor)
         page = pages[cursor]
         yield from page.get("items") or []
@@ -27,6 +35,28 @@ def follow(pages: dict[str, dict], most: int) -> Iterator[dict]:
             return
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """file, page (its place in the order of cursors) and raw (JSON) of each item of the pages below ``path``."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    page = F.from_json("value", "cursor string, next string, items array<string>")
+    pages = lines.select("file", page.alias("p")).select("file", F.coalesce("p.cursor", F.lit("")).alias("cursor"), F.coalesce("p.next", F.lit("")).alias("next"), "p.items")
+
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        links = dict(zip(rows["cursor"], rows["next"], strict=True))
+        cursor, seen, known = "", [], set()
+        while cursor in links and cursor not in known:
+            seen.append(cursor)
+            known.add(cursor)
+            cursor = links[cursor]
+            if not cursor:
+                break
+        return pd.DataFrame({"file": rows["file"].iloc[:1].tolist() * len(seen), "cursor": seen, "page": range(len(seen))})
+
+    followed = pages.select("file", "cursor", "next").groupBy("file").applyInPandas(order, "file string, cursor string, page long")
+    items = pages.dropDuplicates(["file", "cursor"]).join(followed, ["file", "cursor"])
+    return items.select("file", "page", F.posexplode("items").alias("i", "raw")).select("file", "page", "i", "raw")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.files = [x for x in options.get("pages", "").split(",") if x]

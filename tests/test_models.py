@@ -165,6 +165,16 @@ def test_paged_source(spark, tmp_path):
     assert list(paged.follow({"": {"items": [1], "next": "a"}, "a": {"items": [2], "next": "a"}}, 5)) == [1, 2]
 
 
+def test_pages_read_by_spark(spark, tmp_path):
+    pages = [{"cursor": "", "items": [{"a": 1}], "next": "x"}, {"cursor": "x", "items": [{"a": 2}, {"a": 3}], "next": ""}, {"cursor": "y", "items": [{"a": 9}], "next": "y"}]
+    for name in "pq":
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(map(json.dumps, pages if name == "p" else pages[:1])))
+    got = paged.read_pages(spark, str(tmp_path)).collect()
+    assert sorted((r.file[-7:], r.page, json.loads(r.raw)["a"]) for r in got) == [("p.jsonl", 0, 1), ("p.jsonl", 1, 2), ("p.jsonl", 1, 3), ("q.jsonl", 0, 1)]
+    with pytest.raises(ValueError):
+        list(paged.follow({"": {"items": [1], "next": "a"}, "a": {"items": [2]}}, 1))
+
+
 def test_append_twice_is_append_once(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (1, "a")], "k long, v string")
     path = str(tmp_path / "t")
