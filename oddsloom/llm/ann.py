@@ -6,7 +6,9 @@ each block a hypothesis test asks whether what is still missing could lift a can
 query's current k-th best, and candidates that fail are abandoned.  Survivors get their exact score
 from the original vectors, in double precision.
 
-Every row is in a list.  Centroids, the first bound of each query and the number of lists to probe
+Every row is in a list.  A list is named by a coarse centre and by the centre nearest to what that one
+leaves over; the number of the latter grows with the table, so lists keep their length at any size.
+Centroids, the first bound of each query and the number of lists to probe
 come from bounded samples; the last is the least that finds ``RECALL`` of the true neighbours of the
 sampled queries, which are held against all rows.
 """
@@ -27,8 +29,10 @@ SAMPLE = 8192
 #: Queries that the number of probed lists is fitted on, at most.
 SAMPLE_QUERIES = 128
 RECALL = 0.98
-#: Rows of a list on average, most lists, and rows and queries of one piece of work.
-LIST_ROWS, MOST_LISTS, SHARD_ROWS, SHARD_QUERIES = 256, 1024, 512, 512
+#: Rows of a list on average, coarse centres at most, and rows and queries of one piece of work.
+LIST_ROWS, COARSE, SHARD_ROWS, SHARD_QUERIES = 256, 1024, 512, 512
+#: Lists of which the plan of work is broadcast, at most; beyond that it is joined by shuffle.
+BROADCAST_LISTS = 1 << 16
 #: Dimensions of a column block, and the normal quantile of the test (one candidate of a thousand on the edge is lost).
 BLOCK, QUANTILE = 16, 3.1
 FOUND = "query_id long, vec_id long, score double"
@@ -75,6 +79,48 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(1)[None] - 2 * x @ c.T).argmin(1)
 
 
+class Lists:
+    """The centres of lists: list i * n_fine + j has the sum of coarse centre i and fine centre j."""
+
+    def __init__(self, sample: np.ndarray, n: int):
+        self.coarse = centroids(sample, int(min(COARSE, max(1, n // LIST_ROWS), len(sample))))
+        fine = int(min(max(1, n // (LIST_ROWS * len(self.coarse))), len(sample)))
+        left = sample - self.coarse[nearest(sample, self.coarse)]
+        self.fine = centroids(left, fine, seed=7) if fine > 1 else np.zeros((1, sample.shape[1]))
+
+    def __len__(self) -> int:
+        return len(self.coarse) * len(self.fine)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The list of each row of x."""
+        i = nearest(x, self.coarse)
+        j = nearest(x - self.coarse[i], self.fine) if len(self.fine) > 1 else 0
+        return i.astype(np.int64) * len(self.fine) + j
+
+    def best(self, q: np.ndarray, n: int) -> np.ndarray:
+        """The n lists of largest inner product with each row of q, best first.
+
+        The p-th best sum of two has places i and j in the orders of both with (i + 1) * (j + 1) <= p.
+        """
+        n = min(n, len(self))
+        a, b = q @ self.coarse.T, q @ self.fine.T
+        first, second = np.argsort(-a, axis=1, kind="stable"), np.argsort(-b, axis=1, kind="stable")
+        places = np.array([(i, j) for i in range(min(len(self.coarse), n)) for j in range(min(len(self.fine), n // (i + 1)))])
+        i, j = first[:, places[:, 0]], second[:, places[:, 1]]
+        order = np.argsort(-(np.take_along_axis(a, i, 1) + np.take_along_axis(b, j, 1)), axis=1, kind="stable")[:, :n]
+        return np.take_along_axis(i.astype(np.int64) * len(self.fine) + j, order, 1)
+
+    def place(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How many lists come before list at[r] for query q[r]."""
+        out = np.zeros(len(q), np.int64)
+        for r in range(len(q)):
+            a, b = self.coarse @ q[r], np.sort(self.fine @ q[r])
+            i, j = divmod(int(at[r]), len(self.fine))
+            score = a[i] + self.fine[j] @ q[r]
+            out[r] = (len(b) - np.searchsorted(b, score - a + 1e-12 * (1 + abs(score)), "right")).sum()
+        return out
+
+
 def _matrix(column: pa.Array, d: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return np.asarray(flat.flatten()).reshape(-1, d)
@@ -143,17 +189,16 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
     picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
     d = len(picked.column("embedding")[0])
     sample, sample_ids = _matrix(picked.column("embedding"), d), picked.column("vec_id").to_numpy()
-    lists = int(min(MOST_LISTS, max(1, n // LIST_ROWS), len(sample)))
-    centres, turn = centroids(sample, lists), rotation(d)
+    lists, turn = Lists(sample, n), rotation(d)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
             x = _matrix(batch.column(1), d)
-            yield pa.record_batch([pa.array(nearest(x, centres).astype(np.int32)), *batch.columns], ["list", "vec_id", "embedding"])
+            yield pa.record_batch([pa.array(lists.of(x)), *batch.columns], ["list", "vec_id", "embedding"])
 
-    placed = stored(rows.mapInArrow(assign, "list int, vec_id long, embedding array<double>"), "lists")
+    placed = stored(rows.mapInArrow(assign, "list long, vec_id long, embedding array<double>"), "lists")
     queries = placed.where(is_query)
-    probes = _probes(placed, queries, centres, d, k, recall)
+    probes = _probes(placed, queries, lists, d, k, recall)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
@@ -162,14 +207,15 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
                 q, ids = _matrix(part.column(1), d), part.column(0).to_numpy()
                 score = q @ sample.T
                 score[ids[:, None] == sample_ids[None]] = -np.inf
-                near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+                near = lists.best(q, probes)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(_best(score, k)), pa.array(list(near))], ["query_id", "query", "bound", "lists"])
 
-    asked = stored(queries.select("vec_id", "embedding").mapInArrow(probe, "query_id long, query array<double>, bound double, lists array<int>"), "queries")
+    asked = stored(queries.select("vec_id", "embedding").mapInArrow(probe, "query_id long, query array<double>, bound double, lists array<long>"), "queries")
     asked = asked.withColumn("list", F.explode("lists")).drop("lists")
     shards = placed.groupBy("list").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("n_shards"))
     crowds = asked.groupBy("list").agg(F.ceil(F.count("*") / SHARD_QUERIES).cast("int").alias("n_crowds"))
-    plan = F.broadcast(stored(shards.join(crowds, "list"), "plan"))  # a row for each list, MOST_LISTS at most
+    plan = stored(shards.join(crowds, "list"), "plan")
+    plan = F.broadcast(plan) if len(lists) <= BROADCAST_LISTS else plan  # a row for each list
     deal = lambda key, of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     left = asked.join(plan, "list").withColumn("crowd", deal("query_id", "n_crowds")).withColumn("shard", every("n_shards"))
@@ -206,7 +252,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
     return every_one.withColumn("rank", _top(k)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _probes(placed: DataFrame, queries: DataFrame, centres: np.ndarray, d: int, k: int, recall: float) -> int:
+def _probes(placed: DataFrame, queries: DataFrame, lists: Lists, d: int, k: int, recall: float) -> int:
     """The least number of lists that holds ``recall`` of the true neighbours of the sampled queries."""
     picked = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(SAMPLE_QUERIES).select("vec_id", "embedding").toArrow()
     if not picked.num_rows:
@@ -222,12 +268,10 @@ def _probes(placed: DataFrame, queries: DataFrame, centres: np.ndarray, d: int,
             best = _keep(i, score[i, j], owner[j], k)
             yield pa.record_batch([pa.array(ids[i[best]]), pa.array(owner[j[best]]), pa.array(score[i[best], j[best]]), pa.array(at[j[best]])], ["query_id", "vec_id", "score", "list"])
 
-    best = placed.mapInArrow(brute, FOUND + ", list int").withColumn("rank", _top(k)).where(F.col("rank") <= k).select("query_id", "list").toArrow()
+    best = placed.mapInArrow(brute, FOUND + ", list long").withColumn("rank", _top(k)).where(F.col("rank") <= k).select("query_id", "list").toArrow()
     if not best.num_rows:
-        return len(centres)
-    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.arange(len(centres))[None], 1)
+        return len(lists)
     row = {v: i for i, v in enumerate(ids)}
-    needed = np.sort([place[row[a], b] for a, b in zip(best.column(0).to_pylist(), best.column(1).to_pylist(), strict=True)])
+    asked = np.array([row[x] for x in best.column(0).to_pylist()])
+    needed = np.sort(lists.place(q[asked], best.column(1).to_numpy()))
     return int(needed[int(np.ceil(recall * len(needed))) - 1]) + 1

@@ -203,3 +203,36 @@ def test_abandoned_candidates_are_rare():
     true = {(a, b) for a in range(40) for b in np.flatnonzero(scores[a] >= bound[a])}
     assert len(true & kept) >= 0.98 * len(true) and len(kept) < 0.5 * scores.size
     assert np.allclose(score, scores[i, j])
+
+
+def test_lists_of_two_levels(monkeypatch):
+    """Orders of lists are those of their centres, whatever share of them is asked for."""
+    monkeypatch.setattr(ann, "COARSE", 50)
+    rng = np.random.default_rng(4)
+    sample = rng.normal(size=(600, 8))
+    lists = ann.Lists(sample, 256 * 50 * 12)
+    assert len(lists.coarse) == 50 and len(lists.fine) == 12
+    centres = (lists.coarse[:, None] + lists.fine[None]).reshape(-1, 8)
+    q = rng.normal(size=(5, 8))
+    order = np.argsort(-(q @ centres.T), axis=1, kind="stable")
+    for n in (1, 7, 100, 500, len(lists)):
+        score = q @ centres.T
+        assert np.allclose(np.take_along_axis(score, lists.best(q, n), 1), np.take_along_axis(score, order[:, :n], 1))
+    assert [int(x) for x in lists.place(q, order[:, 321])] == [321] * 5
+    assert (lists.of(centres[[3, 70]]) >= 0).all()
+
+
+def test_neighbours_with_fine_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_ROWS", 8)
+    monkeypatch.setattr(ann, "COARSE", 16)
+    monkeypatch.setattr(ann, "BROADCAST_LISTS", 0)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 12))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.neighbours(df, F.col("vec_id") % 20 == 0, 10).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    hits = [len(got[i] & set(np.argsort(-score[i])[:10].tolist())) for i in range(0, 1500, 20)]
+    assert sum(hits) / (10 * len(hits)) >= 0.9 and all(len(v) == 10 for v in got.values())
