@@ -45,7 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; the result of each but the last is written before the next begins."""
+    """All stages over ``documents``; the result of each but the last is written before the next begins.
+
+    Null texts count as empty: they are judged, are copies of each other, and encode to no tokens.  Rows
+    with a null or repeated doc_id go through as rows; of repeated rows the stages for copies keep what
+    their operators say.  Texts of any length are read whole by every stage.  Columns besides doc_id, text and
+    source are carried along, whatever their names, up to the last stage.  An empty table gives an empty
+    result; without labels to learn from, the classifier is untrained and its score decides as ever.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -267,3 +267,20 @@ def test_texts_of_licences_are_files_and_very_long_texts_are_read(spark):
     found = {r.doc_id: (r.licence, r.origin) for r in licenses.scan(files(spark, rows)).collect()}
     want = {i: (name, "file") for i, name in enumerate(full)} | {10 + i: (name, "inherited") for i, name in enumerate(full)}
     assert found == want | {20: ("MIT", "header")}
+
+
+def test_pipeline_of_odd_rows(spark, odd_docs, no_docs, tmp_path, monkeypatch):
+    """Every stage takes nulls, empty and very long texts, repeated rows and clashing columns, and an empty table."""
+    import corpus_pipeline
+    from oddsloom.llm import quality as Q
+
+    monkeypatch.setattr(Q, "PASS_SCORE", 0.0)  # nothing is rejected, so all rows reach the other stages
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    found = {}
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        found[name] = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+    assert found["none"] == []
+    ids = {r.doc_id for r in found["odd"]}
+    assert ids <= {r.doc_id for r in odd_docs.select("doc_id").collect()} and {7, 9} & ids and all(r.exact for r in found["odd"])
