@@ -27,6 +27,8 @@ SAMPLE_BYTES = 32 << 20
 #: Bytes of a sampled row that one training step may hold at most in a batch; longer rows train alone.
 SLICE = 512 << 10
 BLOCK, STRIDE, WIDTH = 64, 2, 6
+#: Bytes of a longer text that are read at once.
+PIECE = 1 << 20
 PAD = 256
 PASS_SCORE = 0.7
 
@@ -73,8 +75,28 @@ class ByteConvNet:
         """A probability for each text (bytes and offsets)."""
         if len(at) < 2:
             return np.zeros(0)
+        if len(at) == 2 and at[1] > PIECE:
+            z = self._pooled_by_piece(raw) @ self.w["out"] + self.w["ob"][0]
+            return 1 / (1 + np.exp(-np.array([z], np.float64)))
         return 1 / (1 + np.exp(-self._forward(raw, at)["z"].astype(np.float64)))
 
+    def _pooled_by_piece(self, raw: np.ndarray) -> np.ndarray:
+        """The pooled units of one long text, read piece by piece so that memory does not grow with it.
+
+        A piece is read with the block after it and what that one's windows reach into, and only its own
+        blocks count.
+        """
+        pooled, step = np.zeros(len(self.w["hb"]), np.float32), PIECE // BLOCK * BLOCK
+        for a in range(0, len(raw), step):
+            end = a + step
+            last = end + BLOCK + WIDTH >= len(raw)
+            part = raw[a:] if last else raw[a : end + BLOCK + WIDTH]
+            hidden = self._forward(part, np.array([0, len(part)]))["hidden"]
+            pooled = np.maximum(pooled, (hidden if last else hidden[: step // BLOCK]).max(0))
+            if last:
+                break
+        return pooled
+
     def gradients(self, raw: np.ndarray, at: np.ndarray, label: np.ndarray) -> tuple[dict, float]:
         """Gradients of the mean log loss; only the places that the maxima come from pass any on."""
         self.training = True
@@ -174,7 +196,8 @@ def scored(docs: DataFrame, net: ByteConvNet, name: str = "score") -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted (1 if score >= PASS_SCORE) of each row of ``docs`` (doc_id, text).
 
-    Empty texts get the score of a document without bytes.  Rows are scored one by one; repeated rows
+    Empty texts get the score of a document without bytes, and null ones too; texts of any length are read
+    whole, piece by piece, and an empty table gives an empty result.  Rows are scored one by one; repeated rows
     get equal scores.  A null doc_id is not held out.  Labels are only used in :func:`train`.
     """
     rows = scored(docs.select("doc_id", "text"), train(docs, labels, sample))

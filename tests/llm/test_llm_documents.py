@@ -284,3 +284,33 @@ def test_pipeline_of_odd_rows(spark, odd_docs, no_docs, tmp_path, monkeypatch):
     assert found["none"] == []
     ids = {r.doc_id for r in found["odd"]}
     assert ids <= {r.doc_id for r in odd_docs.select("doc_id").collect()} and {7, 9} & ids and all(r.exact for r in found["odd"])
+
+
+def naive_score(net, text):
+    """The network's definition, window by window and chunk by chunk."""
+    w, size = net.w, quality.BLOCK
+    n_blocks = (len(text) + quality.WIDTH + 2 + size - 1) // size
+    codes = list(text) + [quality.PAD] * (n_blocks * size + quality.WIDTH - len(text))
+    tops = []
+    for b in range(n_blocks):
+        responses = []
+        for i in range(b * size, (b + 1) * size, quality.STRIDE):
+            if b == n_blocks - 1 and i + quality.WIDTH > n_blocks * size:
+                responses.append(np.zeros(w["filt"].shape[1]))
+            else:
+                responses.append(np.concatenate([w["emb"][c] for c in codes[i : i + quality.WIDTH]]) @ w["filt"])
+        tops.append(np.max(responses, 0))
+    hidden = [np.maximum(np.maximum(np.maximum(tops[b], tops[min(b + 1, n_blocks - 1)]) + w["fb"], 0) @ w["hid"] + w["hb"], 0) for b in range(n_blocks)]
+    return 1 / (1 + np.exp(-(np.max(hidden, 0) @ w["out"] + w["ob"][0])))
+
+
+def test_scores_against_the_definition(monkeypatch):
+    net = quality.ByteConvNet(seed=3)
+    rng = np.random.default_rng(2)
+    texts = [b"", b"a", b"words of a text " * 11, bytes(rng.integers(0, 256, 1000, dtype=np.uint8)), "naïve 漢字".encode() * 9]
+    at = np.cumsum([0, *map(len, texts)])
+    want = [naive_score(net, t) for t in texts]
+    assert np.allclose(net.score(np.frombuffer(b"".join(texts), np.uint8), at), want, atol=1e-5)
+    monkeypatch.setattr(quality, "PIECE", 128)  # long texts piece by piece
+    for text, score in zip(texts, want, strict=True):
+        assert np.allclose(net.score(np.frombuffer(text, np.uint8), np.array([0, len(text)])), [score], atol=1e-5)
