@@ -92,22 +92,25 @@ def depth_profile(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
 def matched_walk(left: DataFrame, right: DataFrame, keys: Sequence[str], most: Column | None = None, max_cost: float = 1.0) -> DataFrame:
     """Buy equal amounts from two ladders while a pair costs less than ``max_cost``.
 
-    The ladders lie on one axis of cumulative size, and a pair of levels trades where their intervals
-    overlap.  Both ladders ascend, so leaving out dear pairs is the same as stopping at the first.
-    Books whose best pair is too dear are left out before the levels are joined.  Returns keys, sets
-    and cost.
+    The ladders lie on one axis of cumulative size.  Its break points are those of both; between two of
+    them each ladder has one price, that of its first level which reaches the upper one.  So both are
+    merged and sorted once, in time and rows that grow with the levels, not with their product.  As both
+    ascend, leaving out dear stretches is the same as stopping at the first.  Returns keys, sets and cost.
     """
-    top = lambda side, name: side.groupBy(*keys).agg(F.min("price").alias(name))
-    cheap = top(left, "top_a").join(top(right, "top_b"), list(keys)).where(F.col("top_a") + F.col("top_b") < F.lit(str(max_cost)).cast(PRICE)).select(*keys)
-    side = lambda rows, n: with_depth(rows.select(*keys, "price", "size"), keys).join(cheap, list(keys), "left_semi").select(*keys, F.col("price").alias(f"price_{n}"), F.col("before").alias(f"before_{n}"), F.col("through").alias(f"through_{n}"))
-    pairs = side(left, "a").join(side(right, "b"), list(keys))
-    low, high = F.greatest("before_a", "before_b"), F.least("through_a", "through_b")
-    if most is not None:
-        high = F.least(high, most.cast("decimal(18,4)"))
-    price = (F.col("price_a") + F.col("price_b")).cast(PRICE)
-    pairs = pairs.where((low < high) & (price < F.lit(str(max_cost)).cast(PRICE)))
-    take = (high - low).cast(SIZE)
-    return pairs.groupBy(*keys).agg(F.sum(take).cast("decimal(18,4)").alias("sets"), F.sum(take * price).cast("decimal(24,8)").alias("cost"))
+    limit = F.lit(str(max_cost)).cast(PRICE)
+    leg = lambda rows, name: rows.select(*keys, F.lit(name).alias("__leg"), "price", "size")
+    # One exchange by the keys serves both windows and the sum.
+    rows = leg(left, "a").unionByName(leg(right, "b")).repartition(*keys)
+    up = Window.partitionBy(*keys, "__leg").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    through = F.sum("size").over(up).cast("decimal(18,4)")
+    rows = rows.withColumn("__at", through if most is None else F.least(through, most.cast("decimal(18,4)")))
+    down = Window.partitionBy(*keys).orderBy(F.desc("__at"), F.desc("price"))
+    price = lambda name: F.last(F.when(F.col("__leg") == name, F.col("price")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__a", price("a")).withColumn("__b", price("b")).withColumn("__low", F.coalesce(F.lead("__at").over(down), F.lit(0)))
+    both = (F.col("__a") + F.col("__b")).cast(PRICE)
+    rows = rows.where((F.col("__low") < F.col("__at")) & (both < limit))
+    take = (F.col("__at") - F.col("__low")).cast(SIZE)
+    return rows.groupBy(*keys).agg(F.sum(take).cast("decimal(18,4)").alias("sets"), F.sum(take * both).cast("decimal(24,8)").alias("cost"))
 
 
 def rebuilt(levels: DataFrame, keys: Sequence[str], kept: int = KEPT_LEVELS) -> DataFrame:

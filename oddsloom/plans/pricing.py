@@ -154,15 +154,18 @@ LADDER_SQL = f"""
 def cost_by_category(spark, sf_dir):
     """Median and index quartiles of the cost ratio at 100 contracts, by category of book."""
     c = cost.measured(_quotes(spark, sf_dir, (100,)), at(A.NOW)).withColumn("category", (F.col("book_id") % 8).cast("int"))
-    ratio = F.col("ratio").cast("double")
-    order = Window.partitionBy("category").orderBy("ratio", "book_id", "side")
-    ranked = c.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy("category")))
-    out = ranked.groupBy("category").agg(
-        F.count("*").alias("n"),
-        F.round(F.percentile(ratio, F.lit(0.5)), 6).alias("median"),
-        F.max(F.when(F.col("i") == F.floor(F.col("n") / 4), ratio)).alias("p25"),
-        F.max(F.when(F.col("i") == F.floor(3 * F.col("n") / 4), ratio)).alias("p75"),
-        F.bround(F.avg(F.col("fully_filled").cast("int")), 4).alias("coverage"),
+    # Ratios have four places, so a category has few of them, however many books.
+    g = c.groupBy("category", F.col("ratio").cast("double").alias("r")).agg(F.count("*").alias("c"), F.sum(F.col("fully_filled").cast("int")).alias("full"))
+    up, whole = Window.partitionBy("category").orderBy("r"), Window.partitionBy("category")
+    g = g.withColumn("end", F.sum("c").over(up)).withColumn("n", F.sum("c").over(whole))
+    at_place = lambda i: F.max(F.when((i < F.col("end")) & (i >= F.col("end") - F.col("c")), F.col("r")))
+    n = F.col("n")
+    out = g.groupBy("category").agg(
+        F.max("n").alias("n"),
+        F.round((at_place(F.floor((n - 1) / 2)) + at_place(F.ceil((n - 1) / 2))) / 2, 6).alias("median"),
+        at_place(F.floor(n / 4)).alias("p25"),
+        at_place(F.floor(3 * n / 4)).alias("p75"),
+        F.bround(F.sum("full") / F.sum("c"), 4).alias("coverage"),
     )
     return out.where("n >= 8")
 

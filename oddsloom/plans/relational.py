@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import timeops
 from ..functions.numeric import shown
-from ..operators import latest, operations, ranking
+from ..operators import latest, operations, places, ranking
 from ..sources import sinks
 from ..streaming import windows
 from . import adapters as A
@@ -126,11 +126,8 @@ ENDPOINTS_SQL = """WITH p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FRO
 
 def order_statistics(spark, sf_dir):
     """Median, and quartiles by place without interpolation."""
-    m = A.markets(spark, sf_dir)
-    w = Window.partitionBy("category").orderBy("volume", "market_id")
-    r = m.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy("category")))
-    pick = lambda k: F.max(F.when(F.col("i") == F.floor(k * F.col("n") / 4), F.col("volume")))
-    return r.groupBy("category").agg(F.round(F.percentile("volume", F.lit(0.5)), 4).alias("median"), pick(1).alias("p25"), pick(3).alias("p75"))
+    q = places.values_at(A.markets(spark, sf_dir), ["category"], "volume", places.MIDDLE | places.QUARTILES)
+    return q.select("category", F.round((F.col("low") + F.col("high")) / 2, 4).alias("median"), "p25", "p75")
 
 
 STATISTICS_SQL = f"""WITH {A.MARKETS}, r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY volume, market_id) - 1 AS i, count(*) OVER (PARTITION BY category) AS n FROM mk)
