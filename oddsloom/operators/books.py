@@ -40,9 +40,10 @@ def walk(ladder: DataFrame, keys: Sequence[str], requested: Column, extra: Seque
     """
     deep = with_depth(ladder, keys)
     sizes = requested if _is_array(ladder, requested) else F.array(requested)
-    rows = deep.withColumn("requested", F.explode(sizes.cast("array<decimal(18,4)>")))
-    take = F.least(F.col("size"), F.col("requested") - F.col("before")).cast(SIZE)
-    rows = rows.where(F.col("before") < F.col("requested")).withColumn("take", take)
+    # A level is repeated only for the sizes that reach it.
+    reaching = F.filter(sizes.cast("array<decimal(18,4)>"), lambda x: x > F.col("before"))
+    rows = deep.withColumn("requested", F.explode(reaching))
+    rows = rows.withColumn("take", F.least(F.col("size"), F.col("requested") - F.col("before")).cast(SIZE))
     spent = F.col("take") * F.col("price").cast(PRICE)
     out = rows.groupBy(*keys, *extra, "requested").agg(F.sum("take").cast("decimal(18,4)").alias("filled"), F.sum(spent).cast("decimal(24,8)").alias("notional"), F.max("price").alias("worst"), F.count("*").alias("n_levels"))
     out = out.where("filled > 0").withColumn("average", usd(F.col("notional") / F.col("filled")).cast(PRICE))
