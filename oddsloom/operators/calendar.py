@@ -66,18 +66,32 @@ def cash_hours(start: Column, end: Column) -> Column:
 
 
 def overnight_hours(start: Column, end: Column) -> Column:
-    """Hours in which futures trade and the exchange is closed, told at the middle of each quarter of an hour."""
-    a, b = F.unix_micros(eastern(start)), F.unix_micros(eastern(end))
-    step = 15 * 60 * 1_000_000
-    n = F.least(F.ceil((b - a) / step), F.lit(NIGHT_DAYS * 96 + 8)).cast("int")
-
-    def width(i: Column) -> Column:
-        low = a + i.cast("long") * step
-        high = F.least(low + step, b)
-        middle = F.timestamp_micros((low + (high - low) / 2).cast("long"))
-        return F.when(futures_open(middle) & ~session_open(middle), (high - low) / 3.6e9).otherwise(0.0)
+    """Hours in which futures trade and the exchange is closed, told at the middle of each quarter of an hour.
 
-    return F.when(end > start, F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + width(i))).otherwise(0.0)
+    How many of these middles lie in a stretch of the night follows from its ends, so a day is a few
+    differences, whatever the number of its quarters; the last, shorter step is told on its own.
+    """
+    step = 15 * 60 * 1_000_000
+    a = F.unix_micros(eastern(start))
+    b = F.least(F.unix_micros(eastern(end)), a + F.lit((NIGHT_DAYS * 96 + 8) * step).cast("long"))
+    full = F.floor((b - a) / step)
+
+    def night(day: Column) -> Column:
+        midnight = F.unix_micros(day.cast("timestamp"))
+        before = lambda hour: F.least(F.greatest(F.ceil((midnight + (hour * F.lit(3_600_000_000)).cast("long") - a - step // 2) / step), F.lit(0)), full)  # noqa: E731  middles before a time of day
+        weekday, open_ = F.weekday(day), is_trading_day(day)
+        close = F.when(day.cast("string").isin(*EARLY_CLOSES), 13).otherwise(16)
+        morning = F.when(weekday < 5, before(F.when(open_, 9.5).otherwise(17.0)) - before(F.lit(0))).otherwise(0)
+        afternoon = F.when(open_, before(F.lit(17)) - before(close)).otherwise(0)
+        evening = F.when((weekday < 4) | (weekday == 6), before(F.lit(24)) - before(F.lit(18))).otherwise(0)
+        return morning + afternoon + evening
+
+    days = F.sequence(F.to_date(eastern(start)), F.to_date(F.timestamp_micros(b)))
+    steps = F.aggregate(days, F.lit(0).cast("long"), lambda s, d: s + night(d))
+    low = a + full * step
+    middle = F.timestamp_micros((low + (b - low) / 2).cast("long"))
+    rest = F.when((b > low) & futures_open(middle) & ~session_open(middle), (b - low) / 3.6e9).otherwise(0.0)
+    return F.when(end > start, steps * (step / 3.6e9) + rest).otherwise(0.0)
 
 
 def volatility_years(cash: Column, overnight: Column) -> Column:

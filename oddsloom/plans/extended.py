@@ -47,7 +47,7 @@ WAYS = ["above", "below", "between", "to hit", "up or down,"]
 def crypto_model(spark, sf_dir):
     """Parts as crypto contracts: spot from retail prices, strikes from titles or the venue, volatility and time from keys."""
     k, spot = F.col("p_partkey"), F.col("p_retailprice")
-    strike = F.round(spot * (0.7 + (k % 61) / 100), 2)
+    strike = F.floor(spot * (0.7 + (k % 61) / 100)).cast("double")
     low, high = strike.cast("decimal(12,2)").cast("string"), (strike + 50).cast("decimal(12,2)").cast("string")
     shape = k % 5
     title = F.concat(pick(ASSETS, k % 4), F.lit(" "), pick(WAYS, shape), F.lit(" $"), low, F.when(shape == 2, F.concat(F.lit(" and $"), high)).otherwise(""), F.when(k % 50 == 7, " for $2m").otherwise(""))
@@ -57,7 +57,7 @@ def crypto_model(spark, sf_dir):
         F.when(k % 23 != 0, spot).alias("spot"), ((k % 50) / 100 + 0.1).alias("vol"), (k % 200 + 24).alias("n_returns"), ((k % 90) / 365.25).alias("years"),
     )
     out = models.crypto(rows)
-    return out.select("market_id", F.coalesce("reason", F.lit("")).alias("reason"), *(shown(F.col(c), 4).alias(c) for c in ("probability", "confidence", "stdev")))
+    return out.select("market_id", F.coalesce("reason", F.lit("")).alias("reason"), *(shown(F.col(c), 5).alias(c) for c in ("probability", "confidence", "stdev")))
 
 
 def _crypto_sql() -> str:
@@ -68,14 +68,14 @@ def _crypto_sql() -> str:
     down = f"({n(f'(({h} - {mu} * y) / {sd})')} + exp(2 * {mu} * {h} / (v * v)) * {n(f'(({h} + {mu} * y) / {sd})')})"
     touch = f"CASE WHEN lo = s THEN 1.0 WHEN y <= 0 THEN 0.0 ELSE least(greatest(CASE WHEN lo >= s THEN {up} ELSE {down} END, 0.0), 1.0) END"
     return f"""
-    WITH k AS (SELECT p_partkey AS id, p_partkey % 5 AS sh, p_partkey % 3 = 0 AS told, p_partkey % 4 AS asset, CASE WHEN p_partkey % 23 <> 0 THEN p_retailprice END AS s, round(p_retailprice * (0.7::DOUBLE + (p_partkey % 61) / 100.0::DOUBLE), 2) AS st, (p_partkey % 50) / 100.0::DOUBLE + 0.1::DOUBLE AS v0, p_partkey % 200 + 24 AS n, (p_partkey % 90) / 365.25::DOUBLE AS y FROM part),
+    WITH k AS (SELECT p_partkey AS id, p_partkey % 5 AS sh, p_partkey % 3 = 0 AS told, p_partkey % 4 AS asset, CASE WHEN p_partkey % 23 <> 0 THEN p_retailprice END AS s, floor(p_retailprice * (0.7::DOUBLE + (p_partkey % 61) / 100.0::DOUBLE)) AS st, (p_partkey % 50) / 100.0::DOUBLE + 0.1::DOUBLE AS v0, p_partkey % 200 + 24 AS n, (p_partkey % 90) / 365.25::DOUBLE AS y FROM part),
     b AS (SELECT *, CASE WHEN told AND sh = 1 THEN st + 50 ELSE st END AS lo, CASE WHEN sh = 2 THEN st + 50 END AS hi FROM k),
     r AS (SELECT *, CASE WHEN asset = 3 THEN 'no_asset' WHEN sh = 4 THEN 'directional' WHEN lo <= 0 THEN 'no_strike' WHEN y <= 0 THEN 'no_time' WHEN s IS NULL THEN 'no_data' WHEN NOT told AND (lo / s NOT BETWEEN 0.02 AND 50 OR coalesce(hi / s NOT BETWEEN 0.02 AND 50, false)) THEN 'implausible_strike' ELSE '' END AS reason FROM b),
     a AS (SELECT *, unnest([0, 1, 2]) AS i, unnest([v0, greatest(v0 - v0 / sqrt(2.0::DOUBLE * n), 1e-6), v0 + v0 / sqrt(2.0::DOUBLE * n)]) AS v FROM r),
     p AS (SELECT *, CASE WHEN reason <> '' THEN NULL WHEN sh = 3 THEN {touch} WHEN sh = 2 THEN greatest({above('lo')} - ({above('hi')}), 0.0) WHEN sh = 1 THEN 1 - ({above('lo')}) ELSE {above('lo')} END AS p FROM a),
     g AS (SELECT id, any_value(reason) AS reason, any_value(y) * 24 * 365.25::DOUBLE AS hours, max(p) FILTER (i = 0) AS p, abs(max(p) FILTER (i = 2) - max(p) FILTER (i = 1)) AS sp FROM p GROUP BY id)
-    SELECT id AS market_id, reason, CASE WHEN p IS NOT NULL THEN round(least(greatest(p, 1e-6), 1 - 1e-6), 4) END AS probability, CASE WHEN p IS NOT NULL THEN round(0.68::DOUBLE * CASE WHEN hours <= 48 THEN 1.0 ELSE greatest(48 / hours, 0.35) END * CASE WHEN p < 0.02 OR p > 0.98 THEN 0.5 ELSE 1 END, 4) END AS confidence,
-           CASE WHEN p IS NOT NULL THEN round(greatest(sp / 2, 0.01), 4) END AS stdev FROM g"""
+    SELECT id AS market_id, reason, CASE WHEN p IS NOT NULL THEN round(least(greatest(p, 1e-6), 1 - 1e-6), 5) END AS probability, CASE WHEN p IS NOT NULL THEN round(0.68::DOUBLE * CASE WHEN hours <= 48 THEN 1.0 ELSE greatest(48 / hours, 0.35) END * CASE WHEN p < 0.02 OR p > 0.98 THEN 0.5 ELSE 1 END, 5) END AS confidence,
+           CASE WHEN p IS NOT NULL THEN round(greatest(sp / 2, 0.01), 5) END AS stdev FROM g"""
 
 
 def tail_anchors(spark, sf_dir):
