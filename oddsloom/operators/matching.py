@@ -14,7 +14,7 @@ MIN_TOKEN, MAX_SHARE, MIN_CEILING = 4, 0.08, 20
 MIN_SIMILARITY, FIRST_CUT, KEPT = 0.28, 40, 6
 LEVELS = ("IDENTICAL", "EQUIVALENT", "SIMILAR", "INCOMPATIBLE")
 CEILINGS = {"IDENTICAL": "0.98", "EQUIVALENT": "0.8", "SIMILAR": "0.55"}
-#: Codes that mean missing information rather than a contradiction.
+#: Codes that mean missing information rather than a contradiction.
 MISSING = ("threshold_unknown", "comparator_unknown", "measurement_basis_unknown", "cutoff_unknown", "source_unknown", "digest_differs")
 OPPOSITE = (("gt", "lte"), ("lte", "gt"), ("gte", "lt"), ("lt", "gte"))
 SAME_IF_CONTINUOUS = (("gt", "gte"), ("gte", "gt"), ("lt", "lte"), ("lte", "lt"))
