@@ -16,6 +16,14 @@ PRODUCTS = (
     (r"\bbitcoin\b|\bbtc\b", "BTC-USD"), (r"\bethereum\b|\beth\b", "ETH-USD"), (r"\bsolana\b|\bsol\b", "SOL-USD"), (r"\bripple\b|\bxrp\b", "XRP-USD"), (r"\bdogecoin\b|\bdoge\b", "DOGE-USD"),
     (r"\bcardano\b|\bada\b", "ADA-USD"), (r"\blitecoin\b|\bltc\b", "LTC-USD"), (r"\bchainlink\b|\blink\b", "LINK-USD"), (r"\bavalanche\b|\bavax\b", "AVAX-USD"),
 )
+#: Patterns that name an index, its cash symbol and that of its futures.
+INDEXES = (
+    (r"\bs&p\s*500\b|\bsp500\b|\bspx\b|\bs and p 500\b", "^GSPC", "ES=F"),
+    (r"\bnasdaq[\s-]*100\b|\bndx\b", "^NDX", "NQ=F"),
+    (r"\bdow\s*(jones)?\b|\bdjia\b", "^DJI", "YM=F"),
+    (r"\brussell\s*2000\b|\brut\b", "^RUT", "RTY=F"),
+    (r"\bvix\b|\bvolatility index\b", "^VIX", None),
+)
 #: Phrases of contracts without a threshold, of contracts that pay on a touch, and of those that pay below.
 DIRECTIONAL = r"\bup or down\b|\bhigher or lower\b|\bup / down\b|\bclose higher\b|\bclose lower\b|\bgreen or red\b"
 BARRIER = r"\bdip(s|ped)?\s+to\b|\breach(es|ed)?\b|\bhit(s)?\b|\btouch(es|ed)?\b|\bat any (time|point)\b|\bever\b|\bintraday\b"
@@ -78,6 +86,20 @@ def crypto(markets: DataFrame) -> DataFrame:
     return out.select("market_id", "reason", clamp_prob(F.col("p")).alias("probability"), F.when(F.col("p").isNotNull(), CONFIDENCE * decay * sure).alias("confidence"), F.when(F.col("p").isNotNull(), F.greatest(F.col("spread") / 2, F.lit(0.01))).alias("stdev"))
 
 
+def index_of(text: Column) -> Column:
+    """The index that a text names, as its cash and futures symbols; null if none."""
+    low = F.lower(text)
+    row = lambda x: F.struct(F.lit(x[1]).alias("cash"), F.lit(x[2]).cast("string").alias("futures"))
+    return reduce(lambda o, x: o.when(low.rlike(x[0]), row(x)), INDEXES[1:], F.when(low.rlike(INDEXES[0][0]), row(INDEXES[0])))
+
+
+def longest_named(text: Column, names: list[str]) -> Column:
+    """The longest of ``names`` (stations, teams) that a text holds, so that a city is not taken for its district; null if none."""
+    low = F.lower(text)
+    first, *rest = sorted(names, key=lambda n: (-len(n), n))
+    return reduce(lambda o, n: o.when(F.contains(low, F.lit(n)), n), rest, F.when(F.contains(low, F.lit(first)), first))
+
+
 def tail_anchor(price: Column) -> Column:
     """A price in the extreme tails, drawn on towards its end; null within [0.02, 0.98]."""
     return F.when(price < TAIL_LOW, clamp_prob(price * TAIL_PULL)).when(price > TAIL_HIGH, clamp_prob(1 - (1 - price) * TAIL_PULL))

@@ -28,6 +28,8 @@ REGISTRY = (
     ("weather_forecast_threshold", "external_reference_data", "weather_forecast", 0.85),
     ("time_to_resolution", "statistical_model", "structural_prior", 0.3),
 )
+#: Deviation of a forecast maximum in degrees Fahrenheit, by days of lead; more days are like the last.
+FORECAST_SIGMA = (2.0, 2.8, 3.6, 4.4, 5.2, 6.0, 6.8, 7.5)
 MARKET_SOURCES = ("target_market_price", "same_venue_price", "cross_venue_price")
 #: Half the width of a two-sided 80 percent interval, in deviations.
 Z80 = 1.2816
@@ -185,6 +187,12 @@ def gaussian_band(value: Column, sigma: Column, low: Column | None, high: Column
     return upper - lower
 
 
+def forecast_sigma(lead_days: Column) -> Column:
+    """The deviation of a forecast by its lead."""
+    day = F.least(F.greatest(lead_days, F.lit(0)), F.lit(len(FORECAST_SIGMA) - 1)).cast("int")
+    return F.element_at(F.array(*map(F.lit, FORECAST_SIGMA)), day + 1)
+
+
 def log5(a: Column, b: Column) -> Column:
     """P(a beats b) from two win rates."""
     return (a - a * b) / (a + b - 2 * a * b)

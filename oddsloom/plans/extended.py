@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import shown
 from ..functions.special import normal_cdf_sql
 from ..functions.timeops import at, humanized
-from ..operators import books, calendar, cost, latest, models, replay
+from ..operators import books, calendar, cost, latest, models, probability, replay
+from ..sources import feeds
 from . import adapters as A
 from . import arbitrage as arbitrage_plans
 from . import probability as probability_plans
@@ -318,6 +319,72 @@ MISSING_SQL = f"""
     WITH {PAST} SELECT field, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN opens IS NULL THEN 'opens' END, CASE WHEN closes IS NULL THEN 'closes' END, CASE WHEN resolves IS NULL THEN 'resolves' END, CASE WHEN k % 3 = 0 THEN 'result' END, CASE WHEN o_totalprice IS NULL THEN 'volume' END], lambda x: x IS NOT NULL)) AS field FROM pt) GROUP BY field"""
 
 
+def related_markets(spark, sf_dir):
+    """The mean price of the other markets of an event, and the little confidence that it has."""
+    k = F.col("o_orderkey")
+    rows = A.table(spark, sf_dir, "orders").select(k.alias("market_id"), F.col("o_custkey").alias("event_id"), F.when(k % 8 != 0, ((k % 97 + 1) / F.lit(100).cast("decimal(3,0)")).cast("decimal(6,4)")).alias("price"))
+    sib = latest.siblings(rows.where("price IS NOT NULL"), "event_id", "price").where("n_siblings > 0")
+    n = F.col("n_siblings")
+    return sib.select("market_id", shown(F.col("sibling_sum").cast("double") / n, 5).alias("mean"), shown(probability.related(n), 4).alias("confidence"))
+
+
+RELATED_SQL = """
+    WITH r AS (SELECT o_orderkey AS k, o_orderkey % 97 + 1 AS c, sum(o_orderkey % 97 + 1) OVER w AS s, count(*) OVER w AS n FROM orders WHERE o_orderkey % 8 <> 0 WINDOW w AS (PARTITION BY o_custkey))
+    SELECT k AS market_id, round(CAST(s - c AS DOUBLE) / 100.0::DOUBLE / (n - 1), 5) AS mean, round(least(0.3::DOUBLE, 0.12::DOUBLE * (n - 1)), 4) AS confidence FROM r WHERE n > 1"""
+
+
+def market_rules(spark, sf_dir):
+    """The moment that settles each market: when its event occurs, else its resolution, else its close; and its strike: floor, else cap."""
+    k = F.col("market_id")
+    p = _past(spark, sf_dir).withColumn("occurs", F.when(k % 4 == 0, F.timestamp_add("HOUR", F.lit(5), F.col("resolves")))).withColumn("floor", F.when(k % 3 == 0, k % 100)).withColumn("cap", F.when(k % 5 == 0, k % 100 + 10))
+    return p.select("market_id", F.unix_seconds(F.coalesce("occurs", "resolves", "closes")).alias("cutoff"), F.coalesce("floor", "cap").alias("strike"))
+
+
+RULES_SQL = f"""
+    WITH {PAST} SELECT k AS market_id, CAST(epoch(coalesce(CASE WHEN k % 4 = 0 THEN resolves + INTERVAL 5 HOUR END, resolves, closes)) AS BIGINT) AS cutoff, CASE WHEN k % 3 = 0 THEN k % 100 WHEN k % 5 = 0 THEN k % 100 + 10 END AS strike FROM pt"""
+
+NAMED = ["S&P 500 above 5,000", "Nasdaq-100 close", "Dow Jones on Friday", "Russell 2000", "VIX over 20", "High in New York City", "Rain in York", "Nothing known"]
+PLACES = ["york", "new york city", "new york", "chicago"]
+
+
+def detections(spark, sf_dir):
+    """Which index or place the titles of suppliers' markets name."""
+    title = F.concat(pick(NAMED, F.col("s_suppkey") % len(NAMED)), F.lit(" "), F.col("s_name"))
+    rows = A.table(spark, sf_dir, "supplier").select("s_suppkey", models.index_of(title).alias("i"), models.longest_named(title, PLACES).alias("place"))
+    return rows.select("s_suppkey", F.col("i.cash").alias("cash"), F.col("i.futures").alias("futures"), "place")
+
+
+DETECT_SQL = """
+    WITH k AS (SELECT s_suppkey, s_suppkey % 8 AS m FROM supplier)
+    SELECT s_suppkey, CASE WHEN m < 5 THEN ['^GSPC', '^NDX', '^DJI', '^RUT', '^VIX'][m + 1] END AS cash, CASE WHEN m < 4 THEN ['ES=F', 'NQ=F', 'YM=F', 'RTY=F'][m + 1] END AS futures, CASE m WHEN 5 THEN 'new york city' WHEN 6 THEN 'york' END AS place FROM k"""
+
+
+def kept_levels(spark, sf_dir):
+    """Books as they are stored: at most 25 levels of each side, best first."""
+    lv = A.levels(spark, sf_dir)
+    order = F.when(F.col("is_ask"), F.col("price")).otherwise(-F.col("price"))
+    kept = latest.top_per_group(lv.where("size > 0"), ["book_id", "side", "is_ask"], [order], books.KEPT_LEVELS)
+    return kept.groupBy("book_id", "side", "is_ask").agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("size"), shown(F.min("price"), 4).alias("low"), shown(F.max("price"), 4).alias("high"))
+
+
+KEPT_SQL = f"""
+    WITH {A.levels_sql()}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, side, is_ask ORDER BY CASE WHEN is_ask THEN cents ELSE -cents END) AS i FROM lv)
+    SELECT book_id, side, is_ask, count(*) AS n, CAST(sum(size) AS BIGINT) AS size, min(cents) / 100.0::DOUBLE AS low, max(cents) / 100.0::DOUBLE AS high FROM r WHERE i <= 25 GROUP BY ALL"""
+
+
+def snapshot_pruning(spark, sf_dir):
+    """Markets that a published snapshot keeps: those that recommendations, trades or prices name, by what they are."""
+    m = A.markets(spark, sf_dir)
+    names = [A.snapshots(spark, sf_dir).where("rank <= 2").select("snapshot_id"), A.table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_orderkey"), A.prices(spark, sf_dir).select("market_id")]
+    kept = feeds.purged(feeds.reachable(m, "market_id", names))
+    return kept.groupBy("platform", "status").agg(F.count("*").alias("n"), F.sum("market_id").alias("total"))
+
+
+PRUNE_SQL = f"""
+    WITH {A.MARKETS}, {A.SNAPSHOTS}, k AS (SELECT snapshot_id AS id FROM sn WHERE rank <= 2 UNION SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45 UNION SELECT user_id FROM events)
+    SELECT platform, status, count(*) AS n, CAST(sum(market_id) AS BIGINT) AS total FROM mk WHERE market_id IN (SELECT id FROM k) AND provenance <> 'demo' GROUP BY ALL"""
+
+
 def set_operations(spark, sf_dir):
     """Customers with open orders, with finished ones, with both, and with open ones only."""
     o = A.table(spark, sf_dir, "orders")
@@ -355,4 +422,9 @@ QUERIES = {
     "trade_sample": (trade_sample, TRADE_SQL),
     "missing_economics": (missing_economics, MISSING_SQL),
     "set_operations": (set_operations, SET_SQL),
+    "related_markets": (related_markets, RELATED_SQL),
+    "market_rules": (market_rules, RULES_SQL),
+    "detections": (detections, DETECT_SQL),
+    "kept_levels": (kept_levels, KEPT_SQL),
+    "snapshot_pruning": (snapshot_pruning, PRUNE_SQL),
 }

@@ -142,13 +142,13 @@ def weather(spark, sf_dir):
     """P(high over a threshold) from a forecast whose error grows with lead, at whole degrees."""
     k = F.col("s_suppkey")
     lead = (k % 8).cast("int")
-    sigma = F.element_at(F.array(*map(F.lit, (2.0, 2.5, 3.0, 3.6, 4.2, 4.8, 5.4, 6.0))), lead + 1)
+    sigma = P.forecast_sigma(lead)
     p = 1 - normal_cdf(((k % 40 + 50) + 0.5 - (k * 7 % 40 + 50)) / sigma)
     return A.table(spark, sf_dir, "supplier").select("s_suppkey", shown(p, 5).alias("probability"), shown(1 - 0.11 * lead, 4).alias("confidence"))
 
 
 WEATHER_SQL = f"""
-    WITH k AS (SELECT s_suppkey, s_suppkey % 8 AS lead, (s_suppkey % 40 + 0.5::DOUBLE - s_suppkey * 7 % 40) / [2.0::DOUBLE, 2.5, 3.0, 3.6, 4.2, 4.8, 5.4, 6.0][s_suppkey % 8 + 1] AS z FROM supplier)
+    WITH k AS (SELECT s_suppkey, s_suppkey % 8 AS lead, (s_suppkey % 40 + 0.5::DOUBLE - s_suppkey * 7 % 40) / {[float(x) for x in P.FORECAST_SIGMA]}::DOUBLE[][s_suppkey % 8 + 1] AS z FROM supplier)
     SELECT s_suppkey, round(1 - {normal_cdf_sql("z")}, 5) AS probability, round(1 - 0.11::DOUBLE * lead, 4) AS confidence FROM k"""
 
 
