@@ -193,6 +193,17 @@ def forecast_sigma(lead_days: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, FORECAST_SIGMA)), day + 1)
 
 
+def weather(kind: Column, low: Column, high: Column, forecast: Column, sigma: Column) -> Column:
+    """P of a maximum in whole degrees: within [low, high], below ``high`` (kind less), or above ``low``; half a degree is rounded away."""
+    z = lambda x: normal_cdf((x - forecast) / sigma)
+    return F.when(kind == "between", F.greatest(z(high + 0.5) - z(low - 0.5), F.lit(0.0))).when(F.startswith(kind, F.lit("less")), z(high - 0.5)).otherwise(1 - z(low + 0.5))
+
+
+def weather_confidence(lead_days: Column, age_hours: Column, most: float = 0.75) -> Column:
+    """Confidence in a forecast: less for each day of lead, and for one older than six hours."""
+    return most * F.greatest(F.lit(0.3), 1 - 0.11 * lead_days) * F.when(age_hours > 6, 0.8).otherwise(1.0)
+
+
 def log5(a: Column, b: Column) -> Column:
     """P(a beats b) from two win rates."""
     return (a - a * b) / (a + b - 2 * a * b)

@@ -325,12 +325,12 @@ def related_markets(spark, sf_dir):
     rows = A.table(spark, sf_dir, "orders").select(k.alias("market_id"), F.col("o_custkey").alias("event_id"), F.when(k % 8 != 0, ((k % 97 + 1) / F.lit(100).cast("decimal(3,0)")).cast("decimal(6,4)")).alias("price"))
     sib = latest.siblings(rows.where("price IS NOT NULL"), "event_id", "price").where("n_siblings > 0")
     n = F.col("n_siblings")
-    return sib.select("market_id", shown(F.col("sibling_sum").cast("double") / n, 5).alias("mean"), shown(probability.related(n), 4).alias("confidence"))
+    return sib.select("market_id", n.alias("n"), shown(F.col("sibling_sum"), 2).alias("total"), F.floor(F.col("sibling_sum") * 10000 / n).cast("long").alias("mean_in_10000ths"), shown(probability.related(n), 4).alias("confidence"))
 
 
 RELATED_SQL = """
     WITH r AS (SELECT o_orderkey AS k, o_orderkey % 97 + 1 AS c, sum(o_orderkey % 97 + 1) OVER w AS s, count(*) OVER w AS n FROM orders WHERE o_orderkey % 8 <> 0 WINDOW w AS (PARTITION BY o_custkey))
-    SELECT k AS market_id, round(CAST(s - c AS DOUBLE) / 100.0::DOUBLE / (n - 1), 5) AS mean, round(least(0.3::DOUBLE, 0.12::DOUBLE * (n - 1)), 4) AS confidence FROM r WHERE n > 1"""
+    SELECT k AS market_id, n - 1 AS n, round(CAST(s - c AS DOUBLE) / 100.0::DOUBLE, 2) AS total, CAST((s - c) * 100 // (n - 1) AS BIGINT) AS mean_in_10000ths, round(least(0.3::DOUBLE, 0.12::DOUBLE * (n - 1)), 4) AS confidence FROM r WHERE n > 1"""
 
 
 def market_rules(spark, sf_dir):

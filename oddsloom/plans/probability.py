@@ -139,17 +139,23 @@ VOLATILITY_SQL = """
 
 
 def weather(spark, sf_dir):
-    """P(high over a threshold) from a forecast whose error grows with lead, at whole degrees."""
+    """P of a maximum above, below or between whole degrees, from a forecast whose error grows with lead."""
     k = F.col("s_suppkey")
-    lead = (k % 8).cast("int")
-    sigma = P.forecast_sigma(lead)
-    p = 1 - normal_cdf(((k % 40 + 50) + 0.5 - (k * 7 % 40 + 50)) / sigma)
-    return A.table(spark, sf_dir, "supplier").select("s_suppkey", shown(p, 5).alias("probability"), shown(1 - 0.11 * lead, 4).alias("confidence"))
+    kind = F.element_at(F.array(F.lit("greater"), F.lit("less"), F.lit("between")), (k % 3 + 1).cast("int"))
+    low, high, forecast, lead = k % 40 + 50, k % 40 + 52, k * 7 % 40 + 50, (k % 9).cast("int")
+    rows = A.table(spark, sf_dir, "supplier").select("s_suppkey", kind.alias("kind"), low.alias("low"), high.alias("high"), forecast.alias("forecast"), P.forecast_sigma(lead).alias("sigma"), P.weather_confidence(lead, k % 12).alias("confidence"))
+    p = lambda times: P.weather(F.col("kind"), F.col("low"), F.col("high"), F.col("forecast"), F.col("sigma") * times)
+    # The interval shows how much depends on the deviation that is assumed.
+    return rows.select("s_suppkey", shown(p(1.0), 5).alias("probability"), shown(F.col("confidence"), 4).alias("confidence"), shown(F.abs(p(0.75) - p(1.35)) / 2, 5).alias("stdev"))
 
 
-WEATHER_SQL = f"""
-    WITH k AS (SELECT s_suppkey, s_suppkey % 8 AS lead, (s_suppkey % 40 + 0.5::DOUBLE - s_suppkey * 7 % 40) / {[float(x) for x in P.FORECAST_SIGMA]}::DOUBLE[][s_suppkey % 8 + 1] AS z FROM supplier)
-    SELECT s_suppkey, round(1 - {normal_cdf_sql("z")}, 5) AS probability, round(1 - 0.11::DOUBLE * lead, 4) AS confidence FROM k"""
+def _weather_sql() -> str:
+    z = lambda x, t: normal_cdf_sql(f"(({x} - f) / (sg * {t}::DOUBLE))")
+    p = lambda t: f"CASE m WHEN 2 THEN greatest({z('(lo + 2.5::DOUBLE)', t)} - {z('(lo - 0.5::DOUBLE)', t)}, 0.0) WHEN 1 THEN {z('(lo + 1.5::DOUBLE)', t)} ELSE 1 - {z('(lo + 0.5::DOUBLE)', t)} END"
+    return f"""
+    WITH k AS (SELECT s_suppkey, s_suppkey % 3 AS m, s_suppkey % 40 + 50 AS lo, s_suppkey * 7 % 40 + 50 AS f, s_suppkey % 9 AS lead, CAST({list(P.FORECAST_SIGMA)} AS DOUBLE[])[least(s_suppkey % 9, 7) + 1] AS sg FROM supplier),
+    q AS (SELECT s_suppkey, lead, {p(1.0)} AS p, {p(0.75)} AS a, {p(1.35)} AS b FROM k)
+    SELECT s_suppkey, round(p, 5) AS probability, round(0.75::DOUBLE * greatest(0.3::DOUBLE, 1 - 0.11::DOUBLE * lead) * CASE WHEN s_suppkey % 12 > 6 THEN 0.8::DOUBLE ELSE 1.0 END, 4) AS confidence, round(abs(a - b) / 2, 5) AS stdev FROM q"""
 
 
 def cpi_bucket(spark, sf_dir):
@@ -199,7 +205,7 @@ QUERIES = {
     "reference_prior": (reference_prior, REFERENCE_SQL),
     "gbm": (gbm, _gbm_sql()),
     "volatility": (volatility, VOLATILITY_SQL),
-    "weather": (weather, WEATHER_SQL),
+    "weather": (weather, _weather_sql()),
     "cpi_bucket": (cpi_bucket, CPI_SQL),
     "sports": (sports, SPORTS_SQL),
     "nowcast_errors": (nowcast_errors, NOWCAST_SQL),
