@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -107,3 +108,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Hashes of the words that this worker met, and the most it remembers.
+_WORDS: dict[bytes, int] = {}
+_WORDS_HELD = 1 << 19
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit BLAKE2 hash of each span of bytes: no construction of words with one hash is known."""
+    data, out = raw.tobytes(), np.empty(len(start), np.uint64)
+    if len(_WORDS) > _WORDS_HELD:
+        _WORDS.clear()
+    for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+        word = data[a:b]
+        known = _WORDS.get(word)
+        if known is None:
+            known = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+            if len(word) < 64:
+                _WORDS[word] = known
+        out[i] = known
+    return out
