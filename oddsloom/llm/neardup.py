@@ -28,8 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .automaton import hash_spans
-from .common import body, mixed, slices, stored, tidied, utf8
+from .common import body, mixed, slices, stored, tidied, utf8, word_hashes
 from .components import components
 
 WORDS = 5
@@ -72,7 +71,7 @@ def shingles(raw: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.nd
     end = solid.copy()
     end[:-1] &= ~solid[1:] | border[1 : len(raw)]
     first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
-    word = mixed(hash_spans(raw, first, last))
+    word = word_hashes(raw, first, last)
     owner = np.searchsorted(at, first, "right") - 1
     size = np.bincount(owner, minlength=n)
     begins = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -261,6 +260,20 @@ def _block_links(similarity: float):
     return run
 
 
+def links_within(members: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """a, b, similarity: links between nodes of one bucket and of different components, by exact comparison.
+
+    ``members`` has bucket, node, held (the size of its set) and label (its component); ``items`` has node and
+    items.  A bucket is cut into blocks by the number of its nodes and by what they hold.
+    """
+    blocks = members.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_ITEMS)).cast("int").alias("blocks"))
+    last = F.col("blocks") - 1
+    dealt = members.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), last + 1).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+    dealt = dealt.join(items, "node").select("bucket", "i", "j", "side", "node", "label", "items")
+    return dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links(similarity), "a binary, b binary, similarity double")
+
+
 def near_groups(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "set", words: int = WORDS) -> DataFrame:
     """Classes of near-duplicate rows of ``docs`` (doc_id long, text string).
 
@@ -314,14 +327,8 @@ def _classed(docs: DataFrame, similarity: float = SIMILARITY, weights: str = "se
     labelled = stored(members.where("n > 2").join(classes, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label")), "labelled")
     mixed_up = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
     mixed_up = stored(mixed_up, "mixed")
-    # A bucket's blocks, by the number of its nodes and by what they hold.
-    sized = stored(labelled.join(mixed_up, "bucket").join(items.select("node", F.size("items").alias("held")), "node"), "mixed-nodes")
-    blocks = sized.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_ITEMS)).cast("int").alias("blocks"))
-    last = F.col("blocks") - 1
-    dealt = sized.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), last + 1).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last))).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
-    dealt = dealt.join(items, "node").select("bucket", "i", "j", "side", "node", "label", "items")
-    more = stored(dealt.groupBy("bucket", "i", "j").applyInArrow(_block_links(similarity), "a binary, b binary, similarity double"), "more-links", wide=True)
+    sized = labelled.join(mixed_up, "bucket").join(items.select("node", F.size("items").alias("held")), "node")
+    more = stored(links_within(stored(sized.select("bucket", "node", "held", "label"), "mixed-nodes"), items, similarity), "more-links", wide=True)
     if not more.isEmpty():
         links = links.unionByName(more)
         classes = components(links.select("a", "b"))
