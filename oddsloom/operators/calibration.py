@@ -1,8 +1,7 @@
 """Calibration maps, and the gate that a map has to pass before it is adopted.
 
-Both fits are sequential, so each group (a model and a provenance) is one Arrow task; a group holds one
-row for each settled recommendation of a model.  Isotonic groups are reduced to distinct forecasts
-before they are sent.
+The isotonic fit is mergeable: ranges of forecasts are fitted on their own, and the pooled blocks of neighbours, edge,
+total and weight, are pooled again in a tree.  Newton's fit of a group takes its distinct forecasts in one task.
 """
 
 from __future__ import annotations
@@ -11,15 +10,22 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .latest import with_position
+
 MIN_SAMPLES, TRAIN_FRACTION, SPURIOUS = 150, 0.7, 0.08
 EPS = 1e-6
 
 
 def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: right edges and means of the blocks, for rows sorted by x."""
+    return pool_weighed(x, y, w)[:2]
+
+
+def pool_weighed(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`pool`, with the weights of the blocks."""
     top: list[tuple[float, float, float]] = []
     for edge, total, weight in zip(x, y * w, w, strict=True):
         while top and top[-1][1] * weight >= total * top[-1][2]:
@@ -27,20 +33,36 @@ def pool(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.nd
             total, weight = total + t, weight + m
         top.append((edge, total, weight))
     edges, totals, weights = map(np.array, zip(*top, strict=True)) if top else (np.zeros(0),) * 3
-    return edges, totals / np.maximum(weights, 1e-300)
+    return edges, totals / np.maximum(weights, 1e-300), weights
+
 
+#: Ranges of forecasts that are fitted on their own, and neighbours that are put together in a round.
+RANGES, FANOUT = 64, 8
 
-def isotonic(df: DataFrame, keys: Sequence[str], p: str, y: str) -> DataFrame:
-    """Knots (x, fitted) of the isotonic fit of each group, from its distinct forecasts."""
-    points = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(p).cast("double").alias("x")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
+
+def isotonic(df: DataFrame, keys: Sequence[str], p: str, y: str, ranges: int = RANGES) -> DataFrame:
+    """Knots (x, fitted) of the isotonic fit of each group, from its distinct forecasts.
+
+    Blocks that a range pools are pooled in the whole as well, so each round sends on blocks instead of points; the
+    last one of a group has no more rows than its fit has knots and its neighbours had.
+    """
+    x = F.col(p).cast("double")
+    points = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x.alias("x")).agg(F.avg(F.col(y).cast("double")).alias("y"), F.count("*").cast("double").alias("w"))
     kinds = ", ".join(f"`{k}` {points.schema[k].dataType.simpleString()}" for k in keys)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("x")
-        edges, means = pool(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["w"].to_numpy())
-        return pd.DataFrame({**{k: rows[k].iloc[0] for k in keys}, "x": edges, "fitted": means})
+        edges, means, weights = pool_weighed(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["w"].to_numpy())
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] * len(edges) for k in keys}, "part": rows["part"].iloc[0], "x": edges, "y": means, "w": weights})
 
-    return points.groupBy(*keys).applyInPandas(fit, f"{kinds}, x double, fitted double")
+    part = F.floor(F.least(F.greatest(F.col("x"), F.lit(0.0)), F.lit(1.0)) * ranges).cast("long")
+    blocks, left = points.withColumn("part", part), ranges + 1
+    while True:
+        blocks = blocks.groupBy(*keys, "part").applyInPandas(fit, f"{kinds}, part long, x double, y double, w double")
+        if left <= 1:
+            return blocks.select(*keys, "x", F.col("y").alias("fitted"))
+        left = -(-left // FANOUT)
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / FANOUT).cast("long"))
 
 
 def apply_isotonic(x: Sequence[float], fitted: Sequence[float], p: float) -> float:
@@ -103,10 +125,8 @@ def threshold(n_validation: Column) -> Column:
 
 def folds(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Adds the chronological fold: train for the first 70 percent of a group, else validate."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    i = F.row_number().over(w.orderBy(*order))
-    return df.withColumn("fold", F.when(i <= F.floor(n * TRAIN_FRACTION), "train").otherwise("validate"))
+    rows = with_position(df, keys, order, "__i", "__n")
+    return rows.withColumn("fold", F.when(F.col("__i") <= F.floor(F.col("__n") * TRAIN_FRACTION), "train").otherwise("validate")).drop("__i", "__n")
 
 
 def adopted(n: Column, brier_identity: Column, brier_fitted: Column, n_validation: Column) -> Column:

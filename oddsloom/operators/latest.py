@@ -51,6 +51,55 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_tim
     return out.select(*left.columns, *(F.col(f"__last.{v}").alias(v) for v in values))
 
 
+def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "position", total: str = "total") -> DataFrame:
+    """Adds the place (from 1) of each row in its group, and the rows of the group.
+
+    Rows are sorted only among those of one value of ``order[0]``; what comes before those is counted by value.
+    """
+    at, *rest = order
+    counts = df.groupBy(*keys, at).agg(F.count("*").alias("__here"))
+    w = Window.partitionBy(*keys)
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__here").over(w.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn(total, F.sum("__here").over(w)).drop("__here")
+    names = [*keys, at]
+    renamed = counts.select(*(F.col(c).alias(f"__k_{c}") for c in names), "__before", total)
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    within = F.row_number().over(Window.partitionBy(*names).orderBy(*(rest or [at])))
+    return df.withColumn("__within", within).join(renamed, same).withColumn(name, F.col("__before") + F.col("__within")).select(*df.columns, name, total)
+
+
+def nearest(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: Sequence[str], seconds: float, until: str | None = None) -> DataFrame:
+    """For each row of ``left``, the values of ``right`` whose time is nearest to its own, before or after; null beyond ``seconds``.
+
+    Times are in seconds.  Of two equally near ones the earlier counts, of rows of one time those with the least
+    values.  With ``until``, a column of ``left``, rows of ``right`` after that time do not count.
+
+    The sides are stacked and sorted by key and time, in slots of time so that no key is one task: rows of ``right`` also
+    go to the slots that are within reach.
+    """
+    width = max(4 * seconds, 1.0)
+    slot = lambda t: F.floor(t / F.lit(width)).cast("long")
+    a = left.select(*left.columns, F.monotonically_increasing_id().alias("__row"), F.col(left_time).cast("double").alias("__at"))
+    a = a.withColumn("__slot", slot(F.col("__at"))).withColumn("__value", F.lit(None))
+    packed = F.struct(F.col(right_time).cast("double").alias("__seen"), *values)
+    b = right.where(F.col(right_time).isNotNull()).select(key, F.col(right_time).cast("double").alias("__at"), packed.alias("__value"))
+    reach = F.array_distinct(F.array(slot(F.col("__at") - seconds), slot(F.col("__at")), slot(F.col("__at") + seconds)))
+    b = b.groupBy(key, "__at").agg(F.min("__value").alias("__value")).withColumn("__slot", F.explode(reach))
+    both = a.unionByName(b, allowMissingColumns=True)
+    w = Window.partitionBy(key, "__slot")
+    # Of one time, rows of the right are seen by those of the left from before; a row of the left is last then, first from behind.
+    side = F.col("__row").isNotNull()
+    before = F.last("__value", ignorenulls=True).over(w.orderBy("__at", side).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("__value", ignorenulls=True).over(w.orderBy(F.desc("__at"), side).rowsBetween(Window.unboundedPreceding, 0))
+    out = both.withColumn("__b", before).withColumn("__a", after).where(side)
+    gap = lambda x: F.abs(x["__seen"] - F.col("__at"))
+    fits = lambda x: (gap(x) <= seconds) & (F.lit(True) if until is None else x["__seen"] <= F.col(until).cast("double"))
+    x, y = (F.when(fits(F.col(c)), F.col(c)) for c in ("__b", "__a"))
+    best = F.when(y.isNull() | (gap(x) <= gap(y)), x).otherwise(y)
+    return out.withColumn("__best", best).select(*left.columns, F.col("__best.__seen").alias(right_time), *(F.col(f"__best.{v}").alias(v) for v in values))
+
+
 def siblings(df: DataFrame, group: str, value: str) -> DataFrame:
     """Adds the sum and number of the other rows of a group."""
     w = Window.partitionBy(group)

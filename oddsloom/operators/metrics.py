@@ -30,11 +30,26 @@ def calibration_curve(df: DataFrame, p: str, y: str, keys: Sequence[str] = (), b
 
 
 def drawdown(df: DataFrame, keys: Sequence[str], order: Sequence[str], pnl: str) -> DataFrame:
-    """The deepest fall of running profit below its peak, which starts at 0."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    run = df.withColumn("__run", F.sum(pnl).over(w))
-    run = run.withColumn("__peak", F.greatest(F.max("__run").over(w), F.lit(0)))
-    return run.groupBy(*keys).agg(F.least(F.min(F.col("__run") - F.col("__peak")), F.lit(0)).alias("max_drawdown"))
+    """The deepest fall of running profit below its peak, which starts at 0.
+
+    A range of bets is summed up by its total, its highest and lowest running profit and its deepest fall, and two
+    adjoining ranges by one such row.  A range is a value of the first column of ``order`` (a day), so bets are only
+    sorted within it, and a key's ranges, one row for each, are put together in their order.
+    """
+    at, *rest = order
+    span = [*keys, at]
+    w = Window.partitionBy(*span)
+    if rest:
+        run = df.withColumn("__run", F.sum(pnl).over(w.orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0)))
+        peak = F.greatest(F.max("__run").over(w.orderBy(*rest).rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+        rows = run.withColumn("__fall", F.col("__run") - peak).groupBy(*span).agg(F.sum(pnl).alias("total"), F.max("__run").alias("high"), F.min("__run").alias("low"), F.min("__fall").alias("fall"))
+    else:  # one bet a range
+        rows = df.groupBy(*span).agg(F.sum(pnl).alias("total")).select(*span, "total", F.col("total").alias("high"), F.col("total").alias("low"), F.least("total", F.lit(0)).alias("fall"))
+    earlier = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start", F.coalesce(F.sum("total").over(earlier), F.lit(0)))
+    rows = rows.withColumn("peak", F.greatest(F.max(F.col("start") + F.col("high")).over(earlier), F.lit(0)))
+    fall = F.least("fall", F.col("start") + F.col("low") - F.col("peak"))
+    return rows.groupBy(*keys).agg(F.least(F.min(fall), F.lit(0)).alias("max_drawdown"))
 
 
 def profit_factor(pnl: Column) -> Column:

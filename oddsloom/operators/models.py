@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.numeric import clamp_prob
 from ..functions.special import gbm_above, with_gbm_touch
+from .latest import as_of, nearest
 
 #: Words that name an asset, and its product.
 PRODUCTS = (
@@ -30,6 +31,8 @@ BARRIER = r"\bdip(s|ped)?\s+to\b|\breach(es|ed)?\b|\bhit(s)?\b|\btouch(es|ed)?\b
 BELOW = r"\bbelow\b|\bunder\b|\bless than\b|\bat or below\b"
 #: Strikes read from a text count between these multiples of the price; the most confidence; hours without decay.
 LEAST_RATIO, MOST_RATIO, CONFIDENCE, SURE_HOURS = 0.02, 50.0, 0.68, 48.0
+#: The farthest that a futures bar may be from the close it stands for, the greatest move that is believed, and the bars that there must be in so many days.
+ANCHOR_SECONDS, MOST_MOVE, LEAST_BARS, ANCHOR_DAYS = 7200, 0.08, 4, 5
 #: Models that can tell what they would have said in the past.
 WITH_PAST = ("crypto_gbm_threshold", "sports_base_rate", "cpi_nowcast_bucket")
 #: The tails in which a price is drawn to its end, and the model's confidence.
@@ -93,6 +96,35 @@ def index_of(text: Column) -> Column:
     return reduce(lambda o, x: o.when(low.rlike(x[0]), row(x)), INDEXES[1:], F.when(low.rlike(INDEXES[0][0]), row(INDEXES[0])))
 
 
+def futures_anchor(asked: DataFrame, bars: DataFrame) -> DataFrame:
+    """The cash level that futures imply after the close: the columns of ``asked`` with move, implied and reason (why there is none).
+
+    ``asked`` has symbol (of the futures), spot (the cash close), closed and now (seconds); ``bars`` has symbol, ts (seconds) and
+    close.  The move is that of the futures between the bar nearest to the close and the last one up to now, so neither
+    carry nor a roll matters.  Reasons: no_futures, few_bars, no_anchor (none near the close, or none after it), implausible.
+    """
+    bars = bars.where((F.col("close") > 0) & F.col("ts").isNotNull()).select("symbol", F.col("ts").cast("double").alias("ts"), F.col("close").cast("double").alias("close"))
+    # How many bars there are up to a bar tells how many are in the days before now.
+    bars = bars.groupBy("symbol", "ts").agg(F.max("close").alias("close"), F.count("*").alias("n"))
+    seen = bars.withColumn("seen", F.sum("n").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0))).withColumn("tie", F.lit(0))
+    rows = asked.withColumn("__since", F.col("now") - ANCHOR_DAYS * 86400)
+    rows = as_of(rows, seen.withColumnRenamed("ts", "last_ts").withColumnRenamed("close", "last_close").withColumnRenamed("seen", "seen_now"), "symbol", "now", "last_ts", ["last_ts", "last_close", "seen_now"], "tie")
+    rows = as_of(rows, seen.withColumnRenamed("ts", "old_ts").withColumnRenamed("seen", "seen_before"), "symbol", "__since", "old_ts", ["seen_before"], "tie", strict=True)
+    anchors = bars.withColumnRenamed("ts", "anchor_ts").withColumnRenamed("close", "anchor_close")
+    rows = nearest(rows, anchors, "symbol", "closed", "anchor_ts", ["anchor_close"], ANCHOR_SECONDS, until="now")
+    n = F.coalesce("seen_now", F.lit(0)) - F.coalesce("seen_before", F.lit(0))
+    move = F.col("last_close") / F.col("anchor_close") - 1
+    reason = (
+        F.when(F.col("symbol").isNull(), "no_futures")
+        .when(n < LEAST_BARS, "few_bars")
+        .when(F.col("anchor_ts").isNull() | (F.col("anchor_ts") < F.col("__since")) | (F.col("last_ts") <= F.col("anchor_ts")), "no_anchor")
+        .when(F.abs(move) > MOST_MOVE, "implausible")
+    )
+    rows = rows.withColumn("reason", reason)
+    ok = F.col("reason").isNull()
+    return rows.select(*asked.columns, F.when(ok, move).alias("move"), F.when(ok, F.col("spot") * (1 + move)).alias("implied"), "reason")
+
+
 def longest_named(text: Column, names: list[str]) -> Column:
     """The longest of ``names`` (stations, teams) that a text holds, so that a city is not taken for its district; null if none."""
     low = F.lower(text)

@@ -34,16 +34,6 @@ def topological(jobs: Mapping[str, Sequence[str]] = JOBS) -> list[str]:
     return order
 
 
-def blocked(status: Mapping[str, str], jobs: Mapping[str, Sequence[str]] = JOBS) -> dict[str, list[str]]:
-    """Jobs that must not run, with the upstream jobs that failed or are blocked themselves."""
-    out: dict[str, list[str]] = {}
-    for job in topological(jobs):
-        bad = [u for u in jobs[job] if status.get(u) == "failed" or u in out]
-        if bad:
-            out[job] = bad
-    return out
-
-
 def upstream(jobs: Mapping[str, Sequence[str]] = JOBS) -> dict[str, list[str]]:
     """All jobs that a job waits for, directly or not."""
     out: dict[str, list[str]] = {}

@@ -45,8 +45,8 @@ def risk_multiplier(groups: Column) -> Column:
     return F.when(groups == 0, 3.0).when(groups == 1, 1.4).when(groups == 2, 1.15).otherwise(1.0)
 
 
-def pooled(opinions: DataFrame) -> DataFrame:
-    """The pool of each market's opinions.
+def pooled(opinions: DataFrame, declarations: DataFrame | None = None) -> DataFrame:
+    """The pool of each market's opinions; ``declarations`` say what a component counts for (:func:`registry` where None).
 
     Log-odds are averaged by confidence; the deviation adds what components state (in log-odds, at most
     3) to how far they are apart, grows with age, and is no less than what confidence allows.  Only
@@ -54,7 +54,8 @@ def pooled(opinions: DataFrame) -> DataFrame:
     independent bound, shrunk by reliability, decides.  Two aggregates: means first, then distances
     from them.
     """
-    reg = F.broadcast(registry(opinions.sparkSession))
+    # A row for each model.
+    reg = F.broadcast(registry(opinions.sparkSession) if declarations is None else declarations)
     rows = opinions.where((F.col("probability").isNotNull()) & (F.col("confidence") > 0)).join(reg, "component", "left")
     rows = rows.withColumn("independent", F.coalesce("independent", F.lit(False))).withColumn("lo", log_odds(F.col("probability")))
     slope = F.greatest(F.col("probability") * (1 - F.col("probability")), F.lit(1e-4))

@@ -89,30 +89,90 @@ def disagreements(rows: DataFrame, least: float = 0.03, spread: float = 0.10) ->
     return rows.withColumn("gap", gap).where((F.abs(F.round(gap, 9)) >= least) & (F.col("spread") <= spread))
 
 
-def book_budget(markets: DataFrame, budget: int, keys: Sequence[str] = ("platform",), series_share: float = 0.2, series_least: int = 14) -> DataFrame:
-    """Markets whose books are fetched, within a budget for each platform.
-
-    Whole events are taken in order of their largest volume; an event that does not fit is passed over,
-    and no series gets more than a share of the budget.  Only events with their sizes are sent to the
-    greedy step, a group for each platform; ties go to the smaller event_id.
+def _placed(rows: DataFrame, keys: Sequence[str], order: Sequence[str], each: int, most: int) -> DataFrame:
+    """The first ``most`` rows of a group among the first ``each`` of its series, with their place."""
+    w = Window.partitionBy(*keys, "series").orderBy(*order)
+    first = rows.withColumn("__s", F.row_number().over(w)).where(F.col("__s") <= each).drop("__s")
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= most)
+
+
+class _Cycle:
+    """The choices of one venue in one cycle: what is taken, and how much of it is of each series."""
+
+    def __init__(self, cap: int):
+        self.cap, self.taken, self.used = cap, set(), {}
+
+    def take(self, members: list[tuple]) -> None:
+        for market, series in members:
+            if market not in self.taken:
+                self.taken.add(market)
+                self.used[series] = self.used.get(series, 0) + 1
+
+    def pass_over(self, drivers: list[tuple], events: dict, budget: int) -> None:
+        """Drivers in order; each brings its whole event where budget and series allow, or else comes alone."""
+        for market, series, event in drivers:
+            if len(self.taken) >= budget:
+                return
+            room = self.cap - self.used.get(series, 0)
+            if market in self.taken or room <= 0:
+                continue
+            whole = events.get(event) if event is not None else [(market, series)]
+            fits = whole is not None and len(whole) <= min(room, budget - len(self.taken))
+            self.take(whole if fits else [(market, series)])
+
+
+def book_budget(markets: DataFrame, budget: int, keys: Sequence[str] = ("platform",), reserve: float = 0.4, series_share: float = 0.2, series_least: int = 14, least_volume: float = MIN_VOLUME) -> DataFrame:
+    """Markets whose books are fetched, at most ``budget`` for each venue: ``keys`` and market_id.
+
+    ``markets`` has market_id, event_id, series (null: the event, or the market), open, accepting, modellable, horizon (1 to 3; null: none)
+    and volume.  Only open markets that accept orders and trade at least ``least_volume`` are chosen for themselves.  A scoring
+    pass takes those with a horizon by (modellable, horizon, volume) up to the budget less the ``reserve``; a coverage pass
+    takes any by volume.  Each brings the open markets of its event where these fit, and none comes once its series has
+    its share.  What is left goes to the scoring order, shares ignored.  Ties go to the smaller market_id.
+
+    The loop is sequential, but what it can reach is bounded by the budget: in an order, only the first markets of a
+    series up to its share can be chosen, and each step chooses, or meets a market that is chosen or whose series is
+    full.  So three budgets of drivers suffice, and events no larger than a share.  Those are picked by windows that keep
+    their first rows, and only they reach the task of a venue.
     """
-    events = markets.groupBy(*keys, "series", "event_id").agg(F.count("*").alias("n"), F.max("volume").alias("volume"))
     cap = max(series_least, int(budget * series_share))
-    # Of a series' events of one size the first ones are taken, and no more than fit under its cap: the rest can go before.
-    place = Window.partitionBy(*keys, "series", "n").orderBy(F.desc("volume"), "event_id")
-    events = events.withColumn("__r", F.row_number().over(place)).where(F.col("__r") * F.col("n") <= F.least(F.lit(cap), F.lit(budget))).drop("__r")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["volume", "event_id"], ascending=[False, True])
-        left, used, taken = budget, {}, []
-        for series, n in zip(rows["series"], rows["n"], strict=True):
-            fits = n <= left and used.get(series, 0) + n <= cap
-            taken.append(fits)
-            if fits:
-                left -= n
-                used[series] = used.get(series, 0) + n
-        return rows.loc[taken, [*keys, "event_id"]]
-
-    kinds = ", ".join(f"{k} {events.schema[k].dataType.simpleString()}" for k in (*keys, "event_id"))
-    chosen = events.groupBy(*keys).applyInPandas(choose, kinds)
-    return markets.join(chosen, [*keys, "event_id"], "left_semi")
+    keys = list(keys)
+    rows = markets.withColumn("series", F.coalesce(F.col("series").cast("string"), F.concat(F.lit("event:"), F.col("event_id").cast("string")), F.concat(F.lit("market:"), F.col("market_id").cast("string"))))
+    rows = rows.withColumn("event_id", F.col("event_id").cast("string"))
+    fair = rows.where(F.col("open") & F.col("accepting") & (F.coalesce(F.col("volume"), F.lit(0)) >= least_volume))
+    columns = [*keys, "market_id", "series", "event_id"]
+    modellable = F.when(F.col("modellable"), 0).otherwise(1)
+    scoring = fair.where(F.col("horizon").isNotNull()).select(*columns, modellable.alias("m"), "horizon", (-F.col("volume")).alias("v"))
+    by_score = ["m", "horizon", "v", "market_id"]
+    by_volume = ["v", "market_id"]
+    drivers = [
+        _placed(scoring, keys, by_score, cap, 3 * budget).select(*columns, "place", F.lit(0).alias("step")),
+        _placed(fair.select(*columns, (-F.col("volume")).alias("v")), keys, by_volume, cap, 3 * budget).select(*columns, "place", F.lit(1).alias("step")),
+        scoring.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*by_score))).where(F.col("place") <= 2 * budget).select(*columns, "place", F.lit(2).alias("step")),
+    ]
+    asked = drivers[0].unionByName(drivers[1]).unionByName(drivers[2])
+    # Events that could come whole, of the drivers only.
+    members = rows.where(F.col("open") & F.col("event_id").isNotNull()).select(*columns)
+    small = members.groupBy(*keys, "event_id").agg(F.count("*").alias("n")).where(F.col("n") <= min(cap, budget)).drop("n")
+    small = small.join(asked.select(*keys, "event_id").distinct(), [*keys, "event_id"], "left_semi")
+    siblings = members.join(small, [*keys, "event_id"], "left_semi").select(*columns, F.lit(0).alias("place"), F.lit(3).alias("step"))
+
+    def choose(some: pd.DataFrame) -> pd.DataFrame:
+        of = {step: list(part.sort_values("place")[["market_id", "series", "event_id"]].itertuples(index=False, name=None)) for step, part in some.groupby("step")}
+        events: dict = {}
+        for market, series, event in of.get(3, ()):
+            events.setdefault(event, []).append((market, series))
+        none = lambda x: None if pd.isna(x) else x
+        steps = [[(m, s, none(e)) for m, s, e in of.get(i, ())] for i in range(3)]
+        cycle, kept_back = _Cycle(cap), int(budget * reserve)
+        cycle.pass_over(steps[0], events, budget - kept_back)
+        if kept_back:
+            cycle.pass_over(steps[1], events, budget)
+        for market, series, _ in steps[2]:
+            if len(cycle.taken) >= budget:
+                break
+            cycle.take([(market, series)])
+        return pd.DataFrame({**{k: [some[k].iloc[0]] * len(cycle.taken) for k in keys}, "market_id": sorted(cycle.taken)})
+
+    kinds = ", ".join(f"{k} {markets.schema[k].dataType.simpleString()}" for k in (*keys, "market_id"))
+    return asked.unionByName(siblings).groupBy(*keys).applyInPandas(choose, kinds)

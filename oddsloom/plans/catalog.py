@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import arbitrage, backtests, extended, matching, pricing, probability, relational
+from . import arbitrage, backtests, extended, further, matching, pricing, probability, relational
 
 QUERIES = {}
-for module in (pricing, relational, matching, arbitrage, probability, backtests, extended):
+for module in (pricing, relational, matching, arbitrage, probability, backtests, extended, further):
     QUERIES |= module.QUERIES
 
 

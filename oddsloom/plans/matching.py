@@ -41,7 +41,7 @@ def _titles(spark, sf_dir):
 def normalize_sql(column: str) -> str:
     """The same normal form in SQL; the neighbours of an alias are captured and put back."""
     out = f"regexp_replace({column}, '\\*+|_+|`+', ' ', 'g')"
-    out = f"lower(translate({out}, '{T.MARKED}', '{T.PLAIN}'))"
+    out = f"lower(strip_accents({out}))"  # the titles have letters with marks, and no others that decompose
     out = f"replace({out}, '&', ' and ')"
     out = f"trim(regexp_replace(regexp_replace({out}, '[^a-z0-9_\\s.\\-+°$%/:]', ' ', 'g'), '\\s+', ' ', 'g'))"
     for phrase in T.STOP_PHRASES:
@@ -282,7 +282,7 @@ EITHER = lambda rows, test: f"CASE WHEN ({_case(rows, test, 'title')}) <> '' THE
 MARKET_TERMS_SQL = f"""
     WITH {TITLE_SQL},
     t1 AS (SELECT *, regexp_extract_all(replace(title, ' ', '  '), {_sql_quote(CAPITAL_SQL)}, 1) AS ws, title || ' ' || rules AS ft, CASE WHEN page_id % 6 = 0 THEN page_id % 5 * 10.0::DOUBLE ELSE ths[1] END AS th FROM {THRESHOLDS_SQL}),
-    mt2 AS (SELECT page_id, title, rules, ft, th, {NOUNS_SQL} AS ns, {DATES_SQL} AS ds, {EITHER(T.COMPARATORS, "contains(lower({c}), {p})")} AS cmp, {EITHER(T.SEMANTICS, "regexp_matches(lower({c}), {p})")} AS sem, {_case(T.SOURCES, "regexp_matches(lower({c}), {p})", "rules")} AS src,
+    mt2 AS (SELECT page_id, title, rules, ft, th, {NOUNS_SQL} AS ns, {DATES_SQL} AS ds, {EITHER(T.COMPARATORS, "contains(lower({c}), {p})")} AS cmp, {EITHER(T.SEMANTICS, "regexp_matches(lower({c}), {p})")} AS sem, {_case([(p.replace("(?![a-z])", ""), f) for p, f in T.SOURCES], "regexp_matches(lower({c}), {p})", "rules")} AS src,
            CASE WHEN {" OR ".join(f"contains(lower(title), '{p}')" for p in T.COUNTED)} THEN 1.0 WHEN category = 'weather' THEN 1.0 WHEN category = 'economics' THEN 0.1 END AS step,
            CASE WHEN NOT regexp_matches(ft, {_sql_quote(T.OVERTIME)}) THEN NULL ELSE NOT regexp_matches(ft, {_sql_quote(T.NO_OVERTIME)}) END AS ot,
            sha256(trim(regexp_replace(rules, '\\s+', ' ', 'g')))[1:32] AS h FROM t1),

@@ -264,9 +264,14 @@ DISAGREE_SQL = f"WITH {A.SNAPSHOTS} SELECT snapshot_id, round((p_side - market_p
 
 
 def book_budget(spark, sf_dir):
-    """Greedy, so the tests hold it against a plain loop."""
-    m = A.markets(spark, sf_dir).withColumn("series", F.col("event_id") % 40)
-    return ranking.book_budget(m, 250).groupBy("platform").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
+    """Markets whose books are fetched, within a budget for each venue; the tests hold the choice against a plain loop."""
+    k = F.col("market_id")
+    days = F.datediff(F.col("resolves"), timeops.at(A.ORDER_NOW))
+    m = A.markets(spark, sf_dir).select(
+        "platform", "market_id", F.when(k % 31 != 0, F.col("event_id")).alias("event_id"), F.when(k % 17 != 0, F.col("event_id") % 40).alias("series"), (F.col("status") == "open").alias("open"), (k % 13 != 0).alias("accepting"),
+        F.col("category").isin("1-urgent", "2-high").alias("modellable"), F.when(days.between(0, 1), 1).when(days.between(2, 7), 2).when(days.between(8, 30), 3).alias("horizon"), "volume",
+    )
+    return ranking.book_budget(m, 250)
 
 
 def freshness(spark, sf_dir):

@@ -1,38 +1,15 @@
-"""A Spark data source that follows cursors through pages of JSON.
+"""Pages of JSON that lie in files, one venue's in each, a JSON object with ``cursor``, ``next`` and ``items`` on each line.
 
-``spark.dataSource.register(PagedJson)`` and then ``spark.read.format("paged_json").option("pages",
-"a.jsonl,b.jsonl").load()``.  Each listed file is one venue's pages, a JSON object with ``cursor`` and
-``items`` on each line, keyed by the cursor that asks for it; each is one partition.  A cursor that
-comes again ends the reading; more than ``max_pages`` pages are an error, so none is lost in silence.
-
-:func:`read_pages` reads pages from any path that Spark reads.  Only cursors are followed in one task for
-each file; items stay where they are and are joined to them.
+:func:`read_pages` reads them from any path that Spark reads.  Only cursors are followed in one task for each file;
+items stay where they are and are joined to them.  A cursor that comes again ends the reading.  Venues that are asked page
+by page are read by :mod:`polled`.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.types import StructType
-
-
-def follow(pages: dict[str, dict], most: int) -> Iterator[dict]:
-    """Items of pages in the order of their cursors, each page once."""
-    cursor, seen = "", set()
-    while cursor not in seen and cursor in pages:
-        if len(seen) == most:
-            raise ValueError(f"more than {most} pages")
-        seen.add(cursor)
-        page = pages[cursor]
-        yield from page.get("items") or []
-        cursor = page.get("next") or ""
-        if not cursor:
-            return
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -55,32 +32,3 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     followed = pages.select("file", "cursor", "next").groupBy("file").applyInPandas(order, "file string, cursor string, page long")
     items = pages.dropDuplicates(["file", "cursor"]).join(followed, ["file", "cursor"])
     return items.select("file", "page", F.posexplode("items").alias("i", "raw")).select("file", "page", "i", "raw")
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.files = [x for x in options.get("pages", "").split(",") if x]
-        self.most = int(options.get("max_pages", 1000))
-
-    def partitions(self):
-        return [InputPartition(f) for f in self.files] or [InputPartition(None)]
-
-    def read(self, partition):
-        if partition.value is None:
-            return
-        with open(partition.value, encoding="utf-8") as file:
-            pages = {p.get("cursor") or "": p for p in map(json.loads, file)}
-        for item in follow(pages, self.most):
-            yield (partition.value, json.dumps(item, sort_keys=True))
-
-
-class PagedJson(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "paged_json"
-
-    def schema(self):
-        return "file string, raw string"
-
-    def reader(self, schema: StructType):
-        return _Reader(self.options)
