@@ -27,6 +27,8 @@ from .common import stored, tidied
 PIVOTS, SAMPLE = 16, 4096
 #: Rows of a shard, anchors of a crowd, and rows of a leaf.
 SHARD_ROWS, CROWD_ROWS, LEAF = 8192, 4096, 64
+#: Anchors that a task brackets at once.
+CHUNK = 64
 #: Rounding of distances: what a bracket is widened by, as a share of M.
 SLACK = 1e-9
 #: Beyond this squared norm, inner products may not fit into a long.
@@ -101,15 +103,20 @@ class PivotTable:
     def _to(self, full: np.ndarray) -> np.ndarray:
         return np.stack([np.sqrt(((full - p) ** 2).sum(1)) for p in self.pivots], 1)
 
-    def upper(self, norm: float, asked: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The most that a score can be, by the gap of distances in [low, high] for any pivot (one row of these for each bracket)."""
-        gap = np.maximum(np.maximum(asked - high, low - asked), 0).max(1)
-        return (norm + self.most - gap * gap) / 2 + SLACK * (self.most + norm) + 1
+    def upper(self, norms: np.ndarray, asked: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The most that the score of an anchor (rows) can be in each bracket [low, high] of distances (columns), by its widest gap."""
+        gap = np.zeros((len(asked), len(low)))
+        for p in range(asked.shape[1]):
+            at = asked[:, p, None]
+            np.maximum(gap, np.maximum(at - high[None, :, p], low[None, :, p] - at), out=gap)
+        return (norms[:, None] + self.most - gap * gap) / 2 + (SLACK * (self.most + norms) + 1)[:, None]
 
-    def lower(self, norm: float, asked: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The least that a score can be."""
-        reach = (asked + high).min(1)
-        return (norm + self.most - reach * reach) / 2 - SLACK * (self.most + norm) - 1
+    def lower(self, norms: np.ndarray, asked: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The least that the score of an anchor can be, by its shortest way over a pivot."""
+        reach = np.full((len(asked), len(high)), np.inf)
+        for p in range(asked.shape[1]):
+            np.minimum(reach, asked[:, p, None] + high[None, :, p], out=reach)
+        return (norms[:, None] + self.most - reach * reach) / 2 - (SLACK * (self.most + norms) + 1)[:, None]
 
 
 def _leaves(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -120,10 +127,6 @@ def _leaves(distances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return order, starts, np.minimum.reduceat(distances[order], starts, axis=0), np.maximum.reduceat(distances[order], starts, axis=0)
 
 
-def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -score))[:k]
-
-
 class Shard:
     """Rows of a shard with their part of the pivot table, in leaves."""
 
@@ -135,32 +138,26 @@ class Shard:
         self.ids, self.labels = rows.column("vec_id").to_numpy()[order], rows.column("label").to_numpy()[order]
         self.pivots = pivots
 
-    def best(self, a: np.ndarray, norm: float, asked: np.ndarray, wanted: np.ndarray, k: int, least: float, most: float) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best wanted rows with least <= score <= most; leaves are read best bracket first."""
+    def survivors(self, a: np.ndarray, norms: np.ndarray, asked: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each anchor, rows and scores with least <= score <= most, best first, ties by smaller id.
+
+        Leaves are bracketed, then the rows of those that are left, and what is left of these is scored.
+        """
         a = a.astype(self.x.dtype)
-        upper = self.pivots.upper(norm, asked, self.low, self.high)
-        lower = self.pivots.lower(norm, asked, self.high)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for leaf in np.argsort(-upper, kind="stable"):
-            if upper[leaf] < least:
-                break
-            if lower[leaf] > most:
-                continue
-            at = np.arange(self.starts[leaf], min(self.starts[leaf] + LEAF, len(self.ids)))
-            at = at[wanted[at]]
-            at = at[self.pivots.upper(norm, asked, self.distances[at], self.distances[at]) >= least]
-            if not len(at):
-                continue
-            score = (self.x[at] @ a).astype(np.int64)
-            on = (score >= least) & (score <= most)
-            if not on.any():
-                continue
-            ids, scores = np.concatenate([ids, self.ids[at[on]]]), np.concatenate([scores, score[on]])
-            pick = _first(scores, ids, k)
-            ids, scores = ids[pick], scores[pick]
-            if len(ids) == k:
-                least = max(least, scores[-1])
-        return ids, scores
+        for c in range(0, len(a), CHUNK):
+            part = slice(c, c + CHUNK)
+            wide = (self.pivots.upper(norms[part], asked[part], self.low, self.high) >= least[part, None]) & (self.pivots.lower(norms[part], asked[part], self.high) <= most[part, None])
+            leaves = np.flatnonzero(wide.any(0))
+            at = (leaves[:, None] * LEAF + np.arange(LEAF)[None]).reshape(-1)
+            at = at[at < len(self.ids)]
+            d = self.distances[at]
+            on = (self.pivots.upper(norms[part], asked[part], d, d) >= least[part, None]) & np.repeat(wide[:, leaves], LEAF, axis=1)[:, : len(at)]
+            score = (self.x[at] @ a[part].T).T.astype(np.int64)
+            on &= (score >= least[part, None]) & (score <= most[part, None])
+            for i in range(len(score)):
+                hit = np.flatnonzero(on[i])
+                order = np.lexsort((self.ids[at[hit]], -score[i, hit]))
+                yield at[hit[order]], score[i, hit[order]]
 
 
 def _floor_ratio(score: int, numerator: int, denominator: int) -> int:
@@ -231,11 +228,10 @@ def _mined(rows: DataFrame, is_anchor: Column, n_positives: int, n_negatives: in
                 near, norm = batch.column("cell").to_numpy(), batch.column("norm").to_numpy()
                 least = np.asarray(batch.column("least").to_numpy(zero_copy_only=False), np.float64)
                 asked = pivots.asked(_matrix(batch.column("vector"))) if batch.num_rows else np.zeros((0, n))
-                hit = []
-                for i in range(batch.num_rows):
-                    on = pivots.upper(norm[i], asked[i], low, high) >= least[i]
-                    on = cells == near[i] if home else on & (cells != near[i]) if home is False else on
-                    hit.append([f"{c}-{s}" for c, k in zip(cells[on].tolist(), shards[on].tolist(), strict=True) for s in range(k)])
+                reached = pivots.upper(norm, asked, low, high) >= least[:, None]
+                own = cells[None] == near[:, None]
+                reached = own if home else reached & ~own if home is False else reached
+                hit = [[f"{c}-{s}" for c, k in zip(cells[on].tolist(), shards[on].tolist(), strict=True) for s in range(k)] for on in reached]
                 yield pa.record_batch([*batch.columns, pa.array(hit, pa.list_(pa.string()))], [*batch.schema.names, "shards"])
 
         kinds = ", ".join(f"{c} {t}" for c, t in given.dtypes)
@@ -263,15 +259,18 @@ def _mined(rows: DataFrame, is_anchor: Column, n_positives: int, n_negatives: in
         there = right.join(left.select("shard", F.col("crowd").alias("asking")).distinct(), "shard")
         return left.groupBy("shard", "crowd").cogroup(there.groupBy("shard", "asking")).applyInArrow(run, schema)
 
+    def operands(some: pa.Table) -> tuple:
+        a = _matrix(some.column("vector"))
+        return a, some.column("norm").to_numpy(), pivots.asked(a)
+
     def same_label(shard: Shard, some: pa.Table) -> pa.Table:
         found = []
-        labels, norms, least = some.column("label").to_numpy(), some.column("norm").to_numpy(), some.column("bound").to_pylist()
-        a, ids = _matrix(some.column("vector")), some.column("vec_id").to_numpy()
-        asked = pivots.asked(a)
-        for i in range(len(ids)):
-            wanted = (shard.labels == labels[i]) & (shard.ids != ids[i])
-            other, score = shard.best(a[i], norms[i], asked[i], wanted, n_positives, -np.inf if least[i] is None else least[i], np.inf)
-            found.append((np.full(len(other), ids[i]), other, score))
+        labels, ids = some.column("label").to_numpy(), some.column("vec_id").to_numpy()
+        least = np.array([-np.inf if x is None else x for x in some.column("bound").to_pylist()], np.float64)
+        a, norms, asked = operands(some)
+        for i, (rows, score) in enumerate(shard.survivors(a, norms, asked, least, np.full(len(ids), np.inf))):
+            wanted = np.flatnonzero((shard.labels[rows] == labels[i]) & (shard.ids[rows] != ids[i]))[:n_positives]
+            found.append((np.full(len(wanted), ids[i]), shard.ids[rows[wanted]], score[wanted]))
         return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["anchor_id", "other_id", "score"])
 
     def top(df: DataFrame) -> DataFrame:
@@ -289,19 +288,21 @@ def _mined(rows: DataFrame, is_anchor: Column, n_positives: int, n_negatives: in
 
     def other_labels(shard: Shard, some: pa.Table) -> pa.Table:
         found = []
-        labels, norms = some.column("label").to_numpy(), some.column("norm").to_numpy()
-        a, ids = _matrix(some.column("vector")), some.column("vec_id").to_numpy()
-        asked, wished = pivots.asked(a), some.column("positives").to_pylist()
-        for i in range(len(ids)):
-            wanted = shard.labels != labels[i]
-            for p in wished[i]:
-                score = p["score"]
-                least, most = _floor_ratio(score, percent[0], 100), percent[1] * score // 100
-                if least > most:
-                    continue
-                other, scores = shard.best(a[i], norms[i], asked[i], wanted, n_negatives, least, most)
-                each = np.ones(len(other), np.int64)
-                found.append((each * ids[i], each * p["other_id"], each * score, other, scores))
+        labels, ids, wished = some.column("label").to_numpy(), some.column("vec_id").to_numpy(), some.column("positives").to_pylist()
+        a, norms, asked = operands(some)
+        # Scores that any positive asks for; those of a positive are a range of them.
+        ranges = [[(_floor_ratio(p["score"], percent[0], 100), percent[1] * p["score"] // 100, p) for p in ps] for ps in wished]
+        least = np.array([min((lo for lo, hi, _ in r if lo <= hi), default=np.inf) for r in ranges], np.float64)
+        most = np.array([max((hi for lo, hi, _ in r if lo <= hi), default=-np.inf) for r in ranges], np.float64)
+        for i, (rows, score) in enumerate(shard.survivors(a, norms, asked, least, most)):
+            other = shard.labels[rows] != labels[i]
+            rows, score = rows[other], score[other]
+            for lo, hi, p in ranges[i]:
+                if lo <= hi:
+                    first, end = np.searchsorted(-score, [-hi, 1 - lo], "left")
+                    mine = slice(first, min(end, first + n_negatives))
+                    each = np.ones(len(rows[mine]), np.int64)
+                    found.append((each * ids[i], each * p["other_id"], each * p["score"], shard.ids[rows[mine]], score[mine]))
         if not found:
             return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in BRACKETED.split(", ")})
         return pa.table([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], [c.split()[0] for c in BRACKETED.split(", ")])
