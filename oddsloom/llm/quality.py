@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import body, slices, tidied, utf8
@@ -163,20 +163,26 @@ def held_out():
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ByteConvNet:
     """A network trained on at most ``sample`` labelled rows of ``docs`` that are not held out.
 
-    The sample has the rows with the smallest hashes of doc_id, so it does not depend on order; it ends
-    before its whole texts pass ``SAMPLE_BYTES``, so what the driver holds is bounded in bytes.  Rows
-    with a null label take no part; of labels for one doc_id, one is used.  Where no row is left, the
-    network is untrained.
+    The sample has the rows with the smallest hashes of doc_id, so it does not depend on order.  It is chosen on
+    numbers alone: rows are taken in that order as long as their whole texts fit into ``SAMPLE_BYTES``, and one that does
+    not fit is passed over, so neither the driver nor a task holds more.  Rows with a null label take no part; of labels
+    for one doc_id, one is used.  Where no row is left, the network is untrained.
     """
     picked = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     picked = picked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(picked), "doc_id")  # of at most ``sample`` rows
-    rows = rows.withColumn("n", F.octet_length("text").cast("long")).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
-    # Of at most ``sample`` rows, those whose texts do not together pass the bound in bytes.
-    held = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("held", held).where(F.col("held") <= SAMPLE_BYTES).select("text", "quality").collect()
+    named = docs.select("doc_id", body().alias("text")).withColumn("name", F.xxhash64("text"))
+    sizes = named.join(F.broadcast(picked), "doc_id").select("doc_id", "name", "quality", F.octet_length("text").cast("long").alias("n"))  # of at most ``sample`` rows
+    chosen, left = [], SAMPLE_BYTES
+    for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id", "name").limit(sample).collect():
+        if row.n <= left:
+            chosen.append(row)
+            left -= row.n
     net = ByteConvNet()
-    return net.fit([r.text.encode() for r in rows], np.array([r.quality for r in rows])) if rows else net
+    if not chosen:
+        return net
+    keys = docs.sparkSession.createDataFrame(sorted({(r.doc_id, r.name) for r in chosen}), "doc_id long, name long")
+    texts = {(r.doc_id, r.name): r.text for r in named.join(F.broadcast(keys), ["doc_id", "name"]).dropDuplicates(["doc_id", "name"]).collect()}
+    return net.fit([texts[r.doc_id, r.name].encode() for r in chosen], np.array([r.quality for r in chosen]))
 
 
 def scored(docs: DataFrame, net: ByteConvNet, name: str = "score") -> DataFrame:
