@@ -36,7 +36,9 @@ STEP_BITS, MOST_BITS = 8, 56
 #: A directory of at most this many buckets is broadcast; a larger one is joined by shuffle.
 BROADCAST_BUCKETS = 1 << 17
 #: Rows of one key to an owner, and owners of a bucket, at most; these set how work is spread, not what is read.
-HOT_ROWS, MOST_OWNERS = 4096, 1024
+HOT_ROWS, MOST_OWNERS = 4096, 1 << 16
+#: Bytes that a key and a row's id take in a bucket besides its text.
+KEY_BYTES, ID_BYTES = 200, 40
 
 
 def _prefix(key, depth):
@@ -49,7 +51,7 @@ def _prefix(key, depth):
 def directory(keys: DataFrame, capacity: int) -> DataFrame:
     """Buckets (prefix long, depth int, rows_of_key long) for ``keys`` (key long, n_bytes long, n long; each key once).
 
-    A bucket is a prefix of bits whose keys hold at most ``capacity`` bytes, or are only one, while the
+    A bucket is a prefix of bits whose keys hold at most ``capacity`` bytes, ids included, or are only one, while the
     keys of the prefix one bit shorter hold more.  ``rows_of_key`` is the number of rows of its most
     frequent key.  Each round groups the keys that are still in overfull cells by ``STEP_BITS`` bits more.
     """
@@ -178,7 +180,7 @@ class ExtendibleIndex:
         """Index ``texts`` (key long, text binary, doc_id long); ``keys`` has (key, n_bytes) for each of its rows."""
         spark = texts.sparkSession
         path = scratch(spark, "dedup-index")
-        distinct = stored(keys.groupBy("key").agg(F.max("n_bytes").alias("n_bytes"), F.count("*").alias("n")), "dedup-keys")
+        distinct = stored(keys.groupBy("key").agg((F.max("n_bytes") + KEY_BYTES + ID_BYTES * F.count("*")).alias("n_bytes"), F.count("*").alias("n")), "dedup-keys")
         # A bucket is named by its bits after a leading one.
         owners = F.least(F.ceil(F.col("rows_of_key") / HOT_ROWS), F.lit(MOST_OWNERS)).cast("int")
         directory(distinct, capacity).select("prefix", "depth", F.expr("shiftleft(1L, depth) | prefix").alias("bucket"), owners.alias("salts")).write.parquet(f"{path}/directory")
