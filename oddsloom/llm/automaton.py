@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import slices
+from .common import coded_spans
 
 START = -1
 NONE = -2
@@ -333,67 +333,9 @@ class TokenAutomaton:
         return total
 
 
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, n of each."""
-    if len(_POWERS.get("up", ())) < n:
-        base = 0x9E3779B97F4A7C15 | 5
-        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 16), b, np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
-
-
-_VALUES = np.random.default_rng(1).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_LENGTHS, _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15)
-
-
-def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each span of bytes, from running sums over all bytes; spans may share one."""
-    up, down = _powers(len(raw) + 1)
-    run = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_VALUES[raw] * up[: len(raw)], out=run[1:])
-    return (run[end] - run[start]) * down[start]
-
-
-def _alike(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether each span has the bytes of the span numbered ``other``; both have one length."""
-    size, at = end - start, np.flatnonzero(other != np.arange(len(start)))
-    same = np.ones(len(start), bool)
-    for a, b in slices(np.concatenate([[0], np.cumsum(size[at])]), 1 << 22):
-        some = at[a:b]
-        owner = np.repeat(np.arange(len(some)), size[some])
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
-        differs = raw[start[some][owner] + within] != raw[start[other[some]][owner] + within]
-        same[some[owner[differs]]] = False
-    return same
-
-
 def distinct_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of a representative of each distinct span, and for each span its representative's place.
-
-    Spans are grouped by a hash and their length, and held against their representative byte by byte;
-    those that differ from it in spite of that are told apart by their bytes.
-    """
-    n = len(start)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key = (hash_spans(raw, start, end) ^ (end - start).astype(np.uint64) * _LENGTHS) * _SPREAD
-    _, pick, place = np.unique(key, return_index=True, return_inverse=True)
-    place = place.reshape(-1)
-    odd = (end - start) != (end - start)[pick][place]
-    fits = np.flatnonzero(~odd)
-    odd[fits] = ~_alike(raw, start[fits], end[fits], np.searchsorted(fits, pick[place[fits]]))
-    if odd.any():
-        data, known, more = raw.tobytes(), {}, []
-        for i in np.flatnonzero(odd).tolist():
-            word = data[start[i] : end[i]]
-            if word not in known:
-                known[word] = len(pick) + len(more)
-                more.append(i)
-            place[i] = known[word]
-        pick = np.concatenate([pick, np.array(more, pick.dtype)])
+    """Index of a representative of each distinct span, by its bytes, and for each span its representative's place."""
+    words, place = coded_spans(raw, start, end)
+    pick = np.zeros(len(words), np.int64)
+    pick[place[::-1]] = np.arange(len(place))[::-1]
     return pick, place

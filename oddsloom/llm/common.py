@@ -115,17 +115,37 @@ _WORDS: dict[bytes, int] = {}
 _WORDS_HELD = 1 << 19
 
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit BLAKE2 hash of each span of bytes: no construction of words with one hash is known."""
-    data, out = raw.tobytes(), np.empty(len(start), np.uint64)
+def coded(data: np.ndarray, size: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings among those that adjoin in ``data``, as they first come, and the place of each."""
+    if not len(size):
+        return [], np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    spans = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+    found = spans.dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy().astype(np.int64)
+
+
+def coded_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings among spans of bytes, as they first come, and the place of each span's."""
+    if not len(start):
+        return [], np.zeros(0, np.int64)
+    if (start[1:] == end[:-1]).all():
+        return coded(raw[start[0] : end[-1]], end - start)
+    size = end - start
+    return coded(raw[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())], size)
+
+
+def word_hashes(data: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit BLAKE2 hash of each word of those that adjoin in ``data``: no construction of words with one hash is known."""
+    words, place = coded(data, size)
     if len(_WORDS) > _WORDS_HELD:
         _WORDS.clear()
-    for i, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
-        word = data[a:b]
+    out = np.empty(len(words), np.uint64)
+    for i, word in enumerate(words):
         known = _WORDS.get(word)
         if known is None:
             known = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
             if len(word) < 64:
                 _WORDS[word] = known
         out[i] = known
-    return out
+    return out[place]

@@ -71,7 +71,7 @@ def shingles(raw: np.ndarray, at: np.ndarray, words: int = WORDS) -> tuple[np.nd
     end = solid.copy()
     end[:-1] &= ~solid[1:] | border[1 : len(raw)]
     first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
-    word = word_hashes(raw, first, last)
+    word = word_hashes(raw[solid], last - first)
     owner = np.searchsorted(at, first, "right") - 1
     size = np.bincount(owner, minlength=n)
     begins = np.concatenate([[0], np.cumsum(size)])[:-1]
@@ -217,11 +217,15 @@ def _block_links(similarity: float):
         part = np.array([index[x] for x in part])
         left = np.flatnonzero(np.array(side) == rows.column("i")[0].as_py()) if two else np.arange(len(nodes))
         right = np.flatnonzero(np.array(side) == rows.column("j")[0].as_py()) if two else np.arange(len(nodes))
-        # Shared items: only those that occur in two nodes matter; runs of them are counted by bincount.
+        # Shared items: only those that occur in two nodes matter.
         flat, owner = np.concatenate(items) if len(items) else np.zeros(0, np.int64), np.repeat(np.arange(len(items)), size)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        place = np.cumsum(np.append(True, flat[1:] != flat[:-1])) - 1
+        again = np.zeros(len(flat), bool)
+        again[1:] = flat[1:] == flat[:-1]
+        again[:-1] |= again[1:]
+        flat, owner = flat[again], owner[again]
+        place = np.cumsum(np.append(True, flat[1:] != flat[:-1])[: len(flat)]) - 1
         shared = np.zeros((len(left), len(right)), np.float32)
         row_of, col_of = np.full(len(nodes), -1), np.full(len(nodes), -1)
         row_of[left], col_of[right] = np.arange(len(left)), np.arange(len(right))
