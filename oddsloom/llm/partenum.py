@@ -14,8 +14,9 @@ partitions that agree is strong in both; if neither does, their weak signatures
 
 Signatures go to slots, packed; a task first ties equal signatures of its own together, and sends on one set
 for each, so a signature that a third of all rows share reaches its slot once for a task.  What shares a
-signature is held against one of its sets exactly; where that leaves a bucket in several components, it is
-compared in blocks (:func:`neardup._block_links`).
+signature is held against the set among them that meets most others; where that leaves them in several components,
+against one more that the first is not tied to.  Sets that are in different components after that are compared in blocks
+(:func:`_in_blocks`), each pair of blocks once however many signatures it shares.
 """
 
 from __future__ import annotations
@@ -27,18 +28,25 @@ from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import body, mixed, slices, stored, tidied, utf8
+from .common import body, mixed, slices, stored, tidied, utf8, word_hashes
 from .components import components
 
 WORDS, PERCENT = 4, 85
 #: Elements that a strong signature has at least, and signatures that a small set may have.
 LEAST, SMALL_BUDGET = 2, 48
 #: Signatures that a task ties together at once, and those of a slot on average.
-HELD, SLOT = 1 << 21, 1 << 20
+HELD, SLOT = 1 << 20, 1 << 20
+#: Sets, and shingles of these together, of a block that sets with one home are cut into.
+BLOCK, BLOCK_ITEMS = 1024, 1 << 20
+#: Turns in which the sets of a signature are held against one of them.
+TURNS = 2
+#: Bytes of text that a task works on at once; a longer text is worked on alone.
+SLICE = 1 << 20
 _SEED = np.uint64(0xA0761D6478BD642F)
 
 
@@ -130,27 +138,54 @@ def bands(percent: int) -> Bands:
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-
-
-def shingle_sets(texts: pa.Array, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row range [a, b) of texts, with the shingles of its rows: row in the range and hash, by both."""
+_ODD = mixed(np.arange(101, 165, dtype=np.uint64)) | np.uint64(1)
+
+
+def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int) -> list[np.ndarray]:
+    """The sorted distinct shingles of texts (bytes and offsets), as 64-bit hashes; none for a text without words."""
+    n = len(at) - 1
+    if not len(raw):
+        return [np.zeros(0, np.uint64)] * n
+    raw = _LOWER[raw]
+    solid = ~neardup._SPACE[raw]
+    border = np.zeros(len(raw) + 1, bool)
+    border[at] = True
+    start, end = solid.copy(), solid.copy()
+    start[1:] &= ~solid[:-1] | border[1 : len(raw)]
+    end[:-1] &= ~solid[1:] | border[1 : len(raw)]
+    first = np.flatnonzero(start)
+    word = word_hashes(raw[solid], np.flatnonzero(end) + 1 - first)
+    cut = np.searchsorted(first, at)
+    whole = np.zeros(max(len(word) - words + 1, 0), np.uint64)
+    for j in range(words):
+        whole += word[j : len(word) - words + 1 + j] * _ODD[j]
+    whole = mixed(whole + np.uint64(words))
+    out = []
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        if b - a >= words:
+            items = np.sort(whole[a : b - words + 1])
+            out.append(items[np.append(True, items[1:] != items[:-1])])
+        elif b > a:
+            out.append(mixed((word[a:b] * _ODD[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a)))
+        else:
+            out.append(np.zeros(0, np.uint64))
+    return out
+
+
+def _sliced(texts: pa.Array, words: int) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Row ranges [a, b) of texts, with the sets of their rows."""
     raw, at = utf8(texts)
-    for a, b in slices(at, neardup.SLICE):
-        doc, hashed, _ = neardup.shingles(_LOWER[raw[at[a] : at[b]]], at[a : b + 1] - at[a], words)
-        yield a, b, doc, hashed
+    for a, b in slices(at, SLICE):
+        yield a, b, shingle_sets(raw[at[a] : at[b]], at[a : b + 1] - at[a], words)
 
 
-def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, ref, name (128 bits of the set), key (the first 64 of them) and n_shingles of each row (doc_id, ref, text)."""
+def _name(items: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return np.array([mixed(items ^ _ODD[40]).sum(dtype=np.uint64), mixed(items + _ODD[41]).sum(dtype=np.uint64)]).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tidied(batches):
-            for a, b, doc, hashed in shingle_sets(batch.column(2), words):
-                name = neardup._node(doc, hashed, b - a)
-                n = np.bincount(doc, minlength=b - a)
-                yield pa.record_batch([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), neardup._binary(name), pa.array(name[:, 0].view(np.int64)), pa.array(n)], ["doc_id", "ref", "name", "key", "n_shingles"])
 
-    return docs.select("doc_id", "ref", "text").mapInArrow(run, "doc_id long, ref long, name binary, key long, n_shingles long")
+def _key(name: bytes) -> int:
+    return int.from_bytes(name[:8], "little", signed=True)
 
 
 def _tied(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,60 +199,77 @@ def _tied(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return signature, key, head
 
 
-_PACKED = "slot int, tied boolean, signature binary, key binary, head binary"
-_EDGES = "signature long, a long, b long"
+_PACKED = "slot int, kind int, a binary, b binary, c binary, d binary"
+#: What a packed row holds: signatures and keys; signatures, heads and keys that are tied; rows of documents.
+OPEN, TIED, ROWS = range(3)
+_MET = "edge boolean, signature long, a long, b long, doc_id long, ref long, name binary, key long, n_shingles long"
+_ROW = np.dtype([("has_id", "?"), ("doc_id", "<i8"), ("ref", "<i8"), ("name", "V16"), ("key", "<i8"), ("n", "<i8")])
 
 
 def _packed(texts: DataFrame, words: int, percent: int, slots: int) -> DataFrame:
-    """The signatures of texts, packed by slot: those that a task has tied to a head already, and one pair for each signature."""
+    """What the rows of texts (doc_id, ref, text) and their signatures come to, packed by slot.
+
+    Equal signatures of a task are tied to a head; one pair of each signature goes on to the slot where it is at home.
+    """
+
+    def parts(slot: np.ndarray, kind: int, *columns: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(slot, kind="stable")
+        cut = np.flatnonzero(np.append(True, slot[order][1:] != slot[order][:-1])) if len(order) else np.zeros(0, np.int64)
+        ends = np.append(cut, len(order))
+        packed = [pa.array([x[order[a:b]].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()) for x in columns]
+        packed += [pa.nulls(len(cut), pa.binary())] * (4 - len(packed))
+        return pa.record_batch([pa.array(slot[order][cut].astype(np.int32)), pa.array(np.full(len(cut), kind, np.int32)), *packed], ["slot", "kind", "a", "b", "c", "d"])
+
+    def flush(signatures: list, keys: list) -> Iterator[pa.RecordBatch]:
+        signature, key, head = _tied(np.concatenate(signatures), np.repeat(np.array(keys, np.int64), [len(x) for x in signatures]))
+        tied = key != head
+        n = np.uint64(slots)
+        yield parts(signature[~tied] % n, OPEN, signature[~tied], key[~tied])
+        # What is tied is done, and goes anywhere.
+        yield parts(mixed(signature[tied] ^ key[tied].view(np.uint64)) % n, TIED, signature[tied], head[tied], key[tied])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = bands(percent)
-        held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            signature, key, head = _tied(np.concatenate([x for x, _ in held]), np.concatenate([np.full(len(x), k, np.int64) for x, k in held]))
-            tied = key != head
-            # Heads go where their signature is at home; what is tied is done and goes anywhere.
-            slot = np.where(tied, mixed(signature ^ key.view(np.uint64)), signature) % np.uint64(slots)
-            order = np.lexsort((tied, slot))
-            group = slot[order] * np.uint64(2) + tied[order]
-            cut = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-            ends = np.append(cut, len(order))
-            pieces = [order[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            which = pa.array([bool(tied[p[0]]) for p in pieces], pa.bool_())
-            columns = [pa.array(slot[order][cut].astype(np.int32)), which, *(pa.array([x[p].tobytes() for p in pieces], pa.binary()) for x in (signature, key))]
-            return pa.record_batch([*columns, pa.array([head[p].tobytes() if tied[p[0]] else b"" for p in pieces], pa.binary())], ["slot", "tied", "signature", "key", "head"])
-
+        signatures, keys, n = [], [], 0
         for batch in tidied(batches):
-            for a, b, doc, hashed in shingle_sets(batch.column(0), words):
-                name = neardup._node(doc, hashed, b - a)[:, 0].view(np.int64)
-                ends = np.searchsorted(doc, np.arange(b - a + 1))
-                for i in range(b - a):
-                    items = hashed[ends[i] : ends[i + 1]]
+            ids, refs = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for a, b, sets in _sliced(batch.column(2), words):
+                names = [_name(x) for x in sets]
+                rows = np.array([(i is not None, i or 0, r, m, _key(m), len(x)) for i, r, m, x in zip(ids[a:b], refs[a:b], names, sets, strict=True)], _ROW)
+                yield parts(mixed(refs[a:b].astype(np.int64).view(np.uint64)) % np.uint64(slots), ROWS, rows)
+                for items, name in zip(sets, names, strict=True):
                     if len(items):
-                        held.append((known.signatures(items), name[i]))
-                        n += len(held[-1][0])
+                        signatures.append(known.signatures(items))
+                        keys.append(_key(name))
+                        n += len(signatures[-1])
                         if n > HELD:
-                            yield flush()
-                            held, n = [], 0
+                            yield from flush(signatures, keys)
+                            signatures, keys, n = [], [], 0
         if n:
-            yield flush()
+            yield from flush(signatures, keys)
 
-    return texts.select("text").mapInArrow(run, _PACKED)
+    return texts.select("doc_id", "ref", "text").mapInArrow(run, _PACKED)
 
 
 def _meet(rows: pa.Table) -> pa.Table:
-    """The signatures of a slot that several sets have, as stars: signature, head and another set."""
+    """The signatures of a slot that several sets have, as stars (signature, head, another set); and its rows of documents."""
 
-    def joined(part: pa.Table, column: str, kind) -> np.ndarray:
-        return np.frombuffer(b"".join(part.column(column).to_pylist()), kind)
+    def joined(kind: int, column: str, of) -> np.ndarray:
+        part = rows.filter(pc.equal(rows.column("kind"), kind))
+        return np.frombuffer(b"".join(part.column(column).to_pylist()), of)
 
-    done, open_ = rows.filter(rows.column("tied")), rows.filter(pa.compute.invert(rows.column("tied")))
-    signature, key, head = _tied(joined(open_, "signature", np.uint64), joined(open_, "key", np.int64))
+    signature, key, head = _tied(joined(OPEN, "a", np.uint64), joined(OPEN, "b", np.int64))
     more = key != head
-    both = [np.concatenate(x) for x in ((joined(done, "signature", np.uint64), signature[more]), (joined(done, "head", np.int64), head[more]), (joined(done, "key", np.int64), key[more]))]
-    return pa.table([pa.array(both[0].view(np.int64)), pa.array(both[1]), pa.array(both[2])], ["signature", "a", "b"])
+    edges = [np.concatenate([x, y]) for x, y in ((joined(TIED, "a", np.int64), signature[more].view(np.int64)), (joined(TIED, "b", np.int64), head[more]), (joined(TIED, "c", np.int64), key[more]))]
+    docs = joined(ROWS, "a", _ROW)
+    m, n = len(edges[0]), len(docs)
+    none = pa.nulls(n, pa.int64())
+    of_edges = [pa.array(np.ones(m, bool)), *map(pa.array, edges), *[pa.nulls(m, pa.int64())] * 2, pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * 2]
+    names = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(np.ascontiguousarray(docs["name"]))]).cast(pa.binary())
+    ids = pa.array(np.ascontiguousarray(docs["doc_id"]), mask=~docs["has_id"])
+    of_docs = [pa.array(np.zeros(n, bool)), none, none, none, ids, pa.array(np.ascontiguousarray(docs["ref"])), names, *(pa.array(np.ascontiguousarray(docs[c])) for c in ("key", "n"))]
+    columns = ["edge", "signature", "a", "b", "doc_id", "ref", "name", "key", "n_shingles"]
+    return pa.concat_tables([pa.table(of_edges, columns), pa.table(of_docs, columns)])
 
 
 def _items(texts: DataFrame, words: int) -> DataFrame:
@@ -225,17 +277,104 @@ def _items(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
-            given = batch.column(0).to_numpy()
-            for a, b, doc, hashed in shingle_sets(batch.column(1), words):
-                name = neardup._node(doc, hashed, b - a)
-                ends = np.searchsorted(doc, np.arange(b - a + 1))
-                sets = pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(hashed.view(np.int64)))
-                rows = pa.record_batch([batch.column(0).slice(a, b - a), neardup._binary(name), sets], ["key", "name", "items"])
-                yield rows.filter(pa.array(name[:, 0].view(np.int64) == given[a:b]))
+            given = batch.column(0).to_pylist()
+            for a, b, sets in _sliced(batch.column(1), words):
+                names = [_name(x) for x in sets]
+                fits = [i for i, x in enumerate(names) if _key(x) == given[a + i]]
+                yield pa.record_batch([pa.array([given[a + i] for i in fits], pa.int64()), pa.array([names[i] for i in fits], pa.binary()), pa.array([sets[i].view(np.int64) for i in fits], pa.list_(pa.int64()))], ["key", "name", "items"])
 
     return texts.select("key", "text").mapInArrow(run, "key long, name binary, items array<long>").dropDuplicates(["name"])
 
 
+def _stars(candidates: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of each signature's hub and its other sets, and hubs (signature, hub): of ``candidates``, that which meets most."""
+    hubs = stored(candidates.groupBy("signature").agg(F.max(F.struct("meets", "key")).alias("h")).select("signature", F.col("h.key").alias("hub")), "partenum-hubs")
+    pairs = members.join(hubs, "signature").where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    return stored(pairs, "partenum-pairs"), hubs
+
+
+def _in_blocks(left: DataFrame, placed: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """a, b, similarity: links of different components between the sets of signatures (signature, key, label).
+
+    Sets are put into blocks by the largest signature that they have, so that those that share much stand together, and
+    two blocks are compared if some signature has sets in both.
+    """
+    sizes = left.groupBy("signature").agg(F.count("*").alias("n"))
+    homes = left.join(sizes, "signature").groupBy("key").agg(F.max(F.struct("n", "signature")).alias("h")).select("key", F.col("h.signature").alias("home"))
+    homes = stored(homes.join(placed.select("key", "name", "held"), "key"), "partenum-homes")
+    blocks = homes.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_ITEMS)).alias("n"))
+    at = homes.join(blocks, "home").select("key", "name", F.concat_ws("-", "home", F.pmod(F.xxhash64("key"), F.col("n"))).alias("block"))
+    at = stored(at, "partenum-at")
+    there = stored(left.join(at.select("key", "block"), "key").select("signature", "block").distinct(), "partenum-there")
+    both = there.withColumnRenamed("block", "i").join(there.withColumnRenamed("block", "j"), "signature").where("i <= j").select("i", "j").distinct()
+    both = stored(both, "partenum-both")
+    labels = left.select("key", "label").distinct()
+    sets = at.join(labels, "key").select("block", F.col("name").alias("node"), "label").distinct().join(items.select(F.col("name").alias("node"), "items"), "node")
+    packed = stored(sets.select("block", "node", "label", "items").groupBy("block").applyInArrow(_pack, "side string, payload binary"), "partenum-packed")
+    # A block goes once, packed, to each pair that it is in.
+    sides = both.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("side"))
+    compare = neardup._block_links(percent / 100)
+
+    def run(rows: pa.Table) -> pa.Table:
+        parts = []
+        for side, payload in zip(rows.column("side").to_pylist(), rows.column("payload").to_pylist(), strict=True):
+            part = pa.ipc.open_stream(payload).read_all()
+            parts.append(part.append_column("side", pa.array([side] * part.num_rows, pa.string())))
+        whole = pa.concat_tables(parts)
+        for name in ("i", "j"):
+            whole = whole.append_column(name, pa.array([rows.column(name)[0].as_py()] * whole.num_rows, pa.string()))
+        return compare(whole)
+
+    return sides.join(packed, "side").select("i", "j", "side", "payload").groupBy("i", "j").applyInArrow(run, "a binary, b binary, similarity double")
+
+
+def _pack(rows: pa.Table) -> pa.Table:
+    """The sets of a block as one row."""
+    sink = pa.BufferOutputStream()
+    sets = rows.select(["node", "label", "items"])
+    with pa.ipc.new_stream(sink, sets.schema) as out:
+        out.write_table(sets)
+    return pa.table([pa.array([rows.column("block")[0].as_py()], pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["side", "payload"])
+
+
+def _similar(pairs: DataFrame, placed: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """a and b (names of sets) for the pairs of keys that are similar by exact comparison.
+
+    ``placed`` has key and block.  Pairs of two blocks are one piece of work, to which each of their sets goes once.
+    """
+    block = lambda x: placed.select(F.col("key").alias(x), F.col("block").alias(f"{x}_block"))
+    dealt = pairs.join(block("a"), "a").join(block("b"), "b")
+    dealt = dealt.select(F.least("a_block", "b_block").alias("i"), F.greatest("a_block", "b_block").alias("j"), "a", "b").distinct()
+    asked = dealt.select(F.col("i").alias("left"), F.col("j").alias("right"), F.explode(F.array("a", "b")).alias("key")).distinct().join(items, "key")
+
+    def run(some: pa.Table, sets: pa.Table) -> pa.Table:
+        of: dict[int, list] = {}
+        for key, name, values in zip(sets.column("key").to_pylist(), sets.column("name").to_pylist(), _lists(sets.column("items")), strict=True):
+            of.setdefault(key, []).append((name, values))
+        found = []
+        for a, b in zip(some.column("a").to_pylist(), some.column("b").to_pylist(), strict=True):
+            for x, xs in of.get(a, ()):
+                for y, ys in of.get(b, ()):
+                    n = len(xs) + len(ys)
+                    # The larger set holds all that both can share.
+                    if 100 * min(len(xs), len(ys)) >= percent * max(len(xs), len(ys)):
+                        both = len(np.intersect1d(xs, ys, assume_unique=True))
+                        if 100 * both >= percent * (n - both):
+                            found.append((x, y))
+        return pa.table([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["a", "b"])
+
+    return dealt.groupBy("i", "j").cogroup(asked.groupBy("left", "right")).applyInArrow(run, "a binary, b binary")
+
+
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The values of a column of lists of longs, without a Python object for each."""
+    out = []
+    for chunk in column.chunks:
+        at, flat = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        out += [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+    return out
+
+
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """What the rows of ``docs`` (doc_id long, text string) are linked with: doc_id, n_shingles, component_id.
 
@@ -250,33 +389,45 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     """
     # ref leads back to a text; it stands in for the doc_ids that are null.
     docs = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("ref"), body().alias("text"))
-    rows = stored(_sets(docs, words), "partenum-sets", wide=True)
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
-    spark = docs.sparkSession
-    # Some share of its shingles is the number of a set's signatures, or a small constant.
-    slots = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * 0.6 / SLOT) + 1)
-    packed = _packed(docs, words, percent, slots)
-    edges = stored(packed.groupBy("slot").applyInArrow(_meet, _EDGES), "partenum-edges", wide=True)
-    pairs = stored(edges.select("a", "b").distinct(), "partenum-pairs")
-
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    named = stored(rows.join(asked, "key").groupBy("key", "name").agg(F.min("ref").alias("ref")), "partenum-asked")
+    # As a rule a text has one signature for ten bytes; slots set how work is spread, nothing else.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // (10 * SLOT) + 1)
+    met = stored(_packed(docs, words, percent, slots).groupBy("slot").applyInArrow(_meet, _MET), "partenum-met", wide=True)
+    edges = met.where("edge").select("signature", "a", "b")
+    rows = met.where("not edge").select("doc_id", "ref", "name", "key", "n_shingles")
+    # Each signature that several sets have, with those sets; a set that meets many others is near to many.
+    members = stored(edges.select("signature", F.explode(F.array("a", "b")).alias("key")).distinct(), "partenum-members")
+    sizes = members.groupBy("signature").agg(F.count("*").alias("n"))
+    meets = stored(members.join(sizes, "signature").groupBy("key").agg(F.sum("n").alias("meets")), "partenum-meets")
+    members = stored(members.join(meets, "key"), "partenum-ranked")
+    pairs, hubs = _stars(members, members)
+
+    # Sets that meet others, by the least hub that they meet: their home.
+    homes = pairs.select(F.col("b").alias("key"), F.col("a").alias("home")).unionByName(pairs.select(F.col("a").alias("key"), F.col("a").alias("home"))).groupBy("key").agg(F.min("home").alias("home"))
+    named = stored(rows.join(homes, "key").groupBy("key", "name", "home").agg(F.min("ref").alias("ref"), F.max("n_shingles").alias("held")), "partenum-asked")
     # Documents that meet others grow with the table, so they are never broadcast.
-    items = stored(_items(docs.select("ref", "text").join(named.select("ref", "key").distinct().hint("merge"), "ref"), words), "partenum-items", wide=True)
-    of = lambda x: items.select(F.col("key").alias(x), F.col("name").alias(f"{x}_name"), F.col("items").alias(f"{x}_items"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-    shared = both.select("a_name", "b_name", F.size(F.array_intersect("a_items", "b_items")).cast("long").alias("shared"), (F.size("a_items") + F.size("b_items")).cast("long").alias("sum"))
-    links = stored(shared.where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select(F.col("a_name").alias("a"), F.col("b_name").alias("b")), "partenum-links")
-    classes = components(links)
-
-    # Buckets of three sets or more that do not hang together after that are compared within.
-    label_of = lambda x: named.select(F.col("key").alias(x), F.col("name").alias("node")).join(classes, "node", "left").select(x, F.coalesce("label", "node").alias(f"{x}_label"))
-    large = edges.join(edges.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "signature")
-    apart = large.join(label_of("a"), "a").join(label_of("b"), "b").where("a_label <> b_label").select("signature").distinct()
-    members = large.join(apart, "signature").select("signature", F.explode(F.array("a", "b")).alias("key")).distinct()
-    members = members.join(items.select("key", "name", F.size("items").alias("held")), "key").join(classes, F.col("name") == F.col("node"), "left")
-    members = stored(members.select(F.col("signature").alias("bucket"), F.col("name").alias("node"), "held", F.coalesce("label", "name").alias("label")), "partenum-mixed")
-    more = stored(neardup.links_within(members, items.select(F.col("name").alias("node"), "items"), percent / 100), "partenum-more", wide=True)
+    texts = docs.select("ref", "text").join(named.select("ref", "key").distinct().hint("merge"), "ref")
+    items = stored(_items(texts, words), "partenum-items", wide=True)
+    blocks = named.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_ITEMS)).alias("n"))
+    placed = named.join(blocks, "home").select("key", "name", "held", F.concat_ws("-", "home", F.pmod(F.xxhash64("key"), F.col("n"))).alias("block"))
+    placed = stored(placed, "partenum-blocks")
+
+    links, left = None, members
+    for turn in range(TURNS):
+        found = stored(_similar(pairs, placed, items, percent), "partenum-links", wide=True)
+        links = found if links is None else links.unionByName(found)
+        classes = components(links)
+        # What is left: signatures whose sets are not all tied by links yet.
+        labels = named.select("key", F.col("name").alias("node")).join(classes, "node", "left").select("key", F.coalesce("label", "node").alias("label"))
+        left = left.drop("label").join(stored(labels, "partenum-labels"), "key")
+        apart = left.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("signature")
+        left = stored(left.join(apart, "signature"), "partenum-left")
+        if turn < TURNS - 1:
+            # The set that meets most, among those that no hub is tied to, is held against all others.
+            tied = hubs.withColumnRenamed("hub", "key").join(left.select("signature", "key", "label"), ["signature", "key"]).select("signature", "label")
+            pairs, more = _stars(left.join(tied.distinct(), ["signature", "label"], "left_anti"), left)
+            hubs = hubs.unionByName(more)
+    more = stored(_in_blocks(left, placed, items, percent), "partenum-more", wide=True)
     if not more.isEmpty():
         classes = components(links.unionByName(more.select("a", "b")))
 
