@@ -1,7 +1,8 @@
 """Exact order statistics without sorting a group in one task.
 
-Equal values are counted first.  The range of a group's values is cut into buckets, whose counts tell in
-which of them a place lies; only these buckets are sorted, each on its own.
+Equal values are counted first.  A group's distinct values are cut into buckets of about as many of them, at quantiles
+that a mergeable sketch gives, so outliers do not matter; the counts of buckets tell in which of them a place lies, and only
+these are sorted, each on its own.  The sketch decides how even buckets are, never the result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 1024
+BUCKETS, ACCURACY = 256, 2048
 #: Places of the median (two, whose values are averaged) and of the quartiles, counted from 0.
 MIDDLE = {"low": lambda n: F.floor((n - 1) / 2), "high": lambda n: F.ceil((n - 1) / 2)}
 QUARTILES = {"p25": lambda n: F.floor(n / 4), "p75": lambda n: F.floor(3 * n / 4)}
@@ -20,10 +21,9 @@ QUARTILES = {"p25": lambda n: F.floor(n / 4), "p75": lambda n: F.floor(3 * n / 4
 def values_at(df: DataFrame, keys: Sequence[str], value: str, places: Mapping[str, Callable[[Column], Column]], buckets: int = BUCKETS) -> DataFrame:
     """keys, n and the value at each of ``places`` (functions of n) among a group's values in order; nulls take no part."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
-    span = counted.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__c").alias("n"))
-    width = (F.col("__hi") - F.col("__lo")).cast("double")
-    share = (F.col("__v") - F.col("__lo")).cast("double") / F.nullif(width, F.lit(0.0))
-    dealt = counted.join(span, list(keys)).withColumn("__b", F.coalesce(F.least(F.floor(share * buckets), F.lit(buckets - 1)), F.lit(0)))
+    edges = F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], ACCURACY)
+    span = counted.groupBy(*keys).agg(edges.alias("__e"), F.sum("__c").alias("n"))
+    dealt = counted.join(span, list(keys)).withColumn("__b", F.size(F.filter("__e", lambda e: e <= F.col("__v")))).drop("__e")
     held = dealt.groupBy(*keys, "__b").agg(F.sum("__c").alias("__in"), F.max("n").alias("n"))
     up = Window.partitionBy(*keys).orderBy("__b")
     held = held.withColumn("__before", F.sum("__in").over(up) - F.col("__in"))

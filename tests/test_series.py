@@ -178,3 +178,16 @@ def test_research_answers_are_parsed_strictly(spark):
     assert got["odd_numbers"].probability is None and got["odd_numbers"].confidence == 0 and [s.quality for s in got["odd_numbers"].sources] == [0.0, 0.5]
     assert all(r.quality is None and r.sources is None for r in got.values() if r.refused)
     assert math.isclose(got["odd_numbers"].quality, 0.5 * (0.7 + 0.3 * 2 / 3)) and adapters is not None
+
+
+def test_order_statistics_with_outliers(spark):
+    from oddsloom.operators import places
+
+    rng = random.Random(7)
+    rows = [("a", rng.randrange(50)) for _ in range(400)] + [("a", 10**9), ("a", -(10**9))] + [("b", 5)] + [("c", None)] + [("d", x) for x in range(1000)]
+    got = {r.k: r for r in places.values_at(spark.createDataFrame(rows, "k string, v long"), ["k"], "v", places.MIDDLE | places.QUARTILES, buckets=16).collect()}
+    assert set(got) == {"a", "b", "d"}
+    for k, r in got.items():
+        v = sorted(x for key, x in rows if key == k)
+        n = len(v)
+        assert (r.n, r.low, r.high, r.p25, r.p75) == (n, v[(n - 1) // 2], v[-(-(n - 1) // 2)], v[n // 4], v[3 * n // 4])
