@@ -68,6 +68,7 @@ def test_titles_and_rules(spark):
     assert one("Settles by the National Weather Service", T.source_family) == "nws" and one("This market will resolve", T.source_family) == ""
     assert one("Will Scheffler beat Rory McIlroy by March", T.proper_nouns) == ["scheffler", "rory", "mcilroy"] and one("Denver wins", T.proper_nouns) == []
     assert one("Ties void. It settles early. End", lambda c: T.clause(c, ("settle", "void"))) == "Ties void. It settles early"
+    assert one("Ties void. It settles early. End", lambda c: T.clause(c, ("settle", "void"), 9)) == "Ties void"
 
 
 def test_names_on_one_side_only_make_pairs_incompatible(spark):
