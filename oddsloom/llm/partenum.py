@@ -15,8 +15,8 @@ partitions that agree is strong in both; if neither does, their weak signatures
 Signatures go to slots, packed; a task first ties equal signatures of its own together, and sends on one set
 for each, so a signature that a third of all rows share reaches its slot once for a task.  What shares a
 signature is held against the set among them that meets most others; where that leaves them in several components,
-against one more that the first is not tied to.  Sets that are in different components after that are compared in blocks
-(:func:`_in_blocks`), each pair of blocks once however many signatures it shares.
+against one more that the first is not tied to.  Sets that are in different components after that are compared with each
+other, each pair once however many signatures it shares; those of large signatures in blocks (:func:`_in_blocks`).
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ HELD, SLOT = 1 << 20, 1 << 20
 BLOCK, BLOCK_ITEMS = 1024, 1 << 20
 #: Turns in which the sets of a signature are held against one of them.
 TURNS = 2
+#: Sets of a signature that are paired one by one, at most; those of a larger one are compared in blocks.
+PAIRED = 64
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
 SLICE = 1 << 20
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -427,9 +429,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
             tied = hubs.withColumnRenamed("hub", "key").join(left.select("signature", "key", "label"), ["signature", "key"]).select("signature", "label")
             pairs, more = _stars(left.join(tied.distinct(), ["signature", "label"], "left_anti"), left)
             hubs = hubs.unionByName(more)
-    more = stored(_in_blocks(left, placed, items, percent), "partenum-more", wide=True)
+    counted = left.join(left.groupBy("signature").agg(F.count("*").alias("n")), "signature")
+    few = counted.where(F.col("n") <= PAIRED).drop("n").join(placed.select("key", "held"), "key")
+    of = lambda x: few.select("signature", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", "held")))
+    met_in = of("a").join(of("b"), "signature").where("a_key < b_key AND a_label <> b_label")
+    near = met_in.where((100 * F.col("a_held") >= percent * F.col("b_held")) & (100 * F.col("b_held") >= percent * F.col("a_held")))
+    pairs = stored(near.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct(), "partenum-pairs")
+    more = stored(_similar(pairs, placed, items, percent), "partenum-links", wide=True)
+    more = more.unionByName(stored(_in_blocks(counted.where(F.col("n") > PAIRED).drop("n"), placed, items, percent), "partenum-more", wide=True).select("a", "b"))
     if not more.isEmpty():
-        classes = components(links.unionByName(more.select("a", "b")))
+        classes = components(links.unionByName(more))
 
     parts = rows.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"))
     parts = stored(parts.join(classes.withColumnRenamed("node", "name"), "name", "left").select("name", "least", "n_shingles", F.coalesce("label", "name").alias("label")), "partenum-parts")
