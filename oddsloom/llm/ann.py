@@ -3,8 +3,9 @@
 Vectors are rotated at random, after which any block of their dimensions is a fair sample of all.
 Within each probed list, inner products are summed over one block of dimensions after another; after
 each block a hypothesis test asks whether what is still missing could lift a candidate over the
-query's current k-th best, and candidates that fail are abandoned.  Survivors get their exact score
-from the original vectors, in double precision.
+query's current k-th best, and candidates that fail are abandoned.  Near vectors agree in all blocks, so
+the test holds the cosine that the missing block would need against the cosine seen so far; it does not
+take the two for independent.  Survivors get their exact score from the original vectors, in double precision.
 
 Every row is in a list.  A list is named by a coarse centre and by the centre nearest to what that one
 leaves over; the number of the latter grows with the table, so lists keep their length at any size.
@@ -33,7 +34,7 @@ RECALL = 0.98
 LIST_ROWS, COARSE, SHARD_ROWS, SHARD_QUERIES = 256, 1024, 512, 512
 #: Lists of which the plan of work is broadcast, at most; beyond that it is joined by shuffle.
 BROADCAST_LISTS = 1 << 16
-#: Dimensions of a column block, and the normal quantile of the test (one candidate of a thousand on the edge is lost).
+#: Dimensions of a column block, and the normal quantile of the test (one candidate of a thousand on the edge is lost at each block).
 BLOCK, QUANTILE = 16, 3.1
 FOUND = "query_id long, vec_id long, score double"
 
@@ -71,7 +72,7 @@ def centroids(x: np.ndarray, n: int, rounds: int = 8, seed: int = 6) -> np.ndarr
         total = np.zeros_like(c)
         np.add.at(total, near, x)
         c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
-    return c
+    return np.unique(c, axis=0)  # rows that are copies may have become equal centres
 
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -133,6 +134,25 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
 
 
+def promising(part: np.ndarray, seen: np.ndarray, rest: np.ndarray, bound: np.ndarray, n_seen: int, n_rest: int) -> np.ndarray:
+    """Whether candidates with inner product ``part`` so far may still reach ``bound``.
+
+    ``seen`` and ``rest`` are products of the lengths of both vectors in the dimensions summed and in those missing.
+    After a random rotation both groups of dimensions show the same cosine but for chance.  By Fisher's transform the
+    cosine that the missing ones would need differs from the one seen by at most so many deviations; what is beyond 1
+    is out of reach.
+    """
+    if n_rest == 0:
+        return part >= bound
+    with np.errstate(divide="ignore", invalid="ignore"):
+        needed, had = (bound - part) / rest, part / seen
+    near = np.nextafter(1, 0)
+    chance = np.sqrt(1 / max(n_seen - 2, 1) + 1 / max(n_rest - 2, 1))
+    had = np.arctanh(np.clip(np.nan_to_num(had), -near, near))
+    likely = np.arctanh(np.clip(np.nan_to_num(needed), -near, near)) - had <= QUANTILE * chance
+    return (part + rest >= bound) & likely
+
+
 def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, same: np.ndarray, k: int, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Candidates among the rows of x for each row of q: query, row and exact score of those not abandoned.
 
@@ -140,28 +160,36 @@ def scan(q: np.ndarray, x: np.ndarray, bound: np.ndarray, same: np.ndarray, k: i
     """
     d = q.shape[1]
     qr, xr = q @ turn, x @ turn
-    slack = 1e-9 * np.linalg.norm(q, axis=1)
+    bound = bound - _slack(q, x)
     part = np.zeros((len(q), len(x)))
+    seen_q, seen_x = np.zeros(len(q)), np.zeros(len(x))
     rest_q, rest_x = (qr * qr).sum(1), (xr * xr).sum(1)
     i = j = None
     for a in range(0, d, BLOCK):
         b = min(a + BLOCK, d)
-        rest_q, rest_x = np.maximum(rest_q - (qr[:, a:b] ** 2).sum(1), 0), np.maximum(rest_x - (xr[:, a:b] ** 2).sum(1), 0)
-        reach = QUANTILE / np.sqrt(max(d - b, 1))
+        more_q, more_x = (qr[:, a:b] ** 2).sum(1), (xr[:, a:b] ** 2).sum(1)
+        seen_q, seen_x = seen_q + more_q, seen_x + more_x
+        rest_q, rest_x = np.maximum(rest_q - more_q, 0), np.maximum(rest_x - more_x, 0)
         if i is None:
             part += qr[:, a:b] @ xr[:, a:b].T
-            alive = part + reach * np.sqrt(rest_q)[:, None] * np.sqrt(rest_x)[None] >= (bound - slack)[:, None]
+            outer = lambda m, n: np.sqrt(m)[:, None] * np.sqrt(n)[None]
+            alive = promising(part, outer(seen_q, seen_x), outer(rest_q, rest_x), bound[:, None], b, d - b)
             if b == d or alive.mean() < 0.3:  # few are left: go on with pairs
                 alive &= ~same
                 i, j = np.nonzero(alive)
                 sums = part[i, j]
         else:
             sums = sums + np.einsum("ij,ij->i", qr[i, a:b], xr[j, a:b])
-            on = sums + reach * np.sqrt(rest_q[i] * rest_x[j]) >= (bound - slack)[i]
+            on = promising(sums, np.sqrt(seen_q[i] * seen_x[j]), np.sqrt(rest_q[i] * rest_x[j]), bound[i], b, d - b)
             i, j, sums = i[on], j[on], sums[on]
     return i, j, np.einsum("ij,ij->i", q[i], x[j])
 
 
+def _slack(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """What rounding may take from an inner product of each row of q."""
+    return 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max(initial=0)
+
+
 def _keep(i: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of each query, ties to smaller ids."""
     order = np.lexsort((ids, -score, i))
@@ -242,7 +270,7 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, recall: float
                 score = q @ sample.T
                 score[ids[:, None] == sample_ids[None]] = -np.inf
                 kth = _best(score, k)
-                i, j = np.nonzero((score >= (kth - 1e-9 * np.linalg.norm(q, axis=1))[:, None]) & (ids[:, None] != sample_ids[None]))
+                i, j = np.nonzero((score >= (kth - _slack(q, sample))[:, None]) & (ids[:, None] != sample_ids[None]))
                 exact = np.einsum("ij,ij->i", q[i], sample[j])
                 best = _keep(i, exact, sample_ids[j], k)
                 yield pa.record_batch([pa.array(ids[i[best]]), pa.array(sample_ids[j[best]]), pa.array(exact[best])], ["query_id", "vec_id", "score"])

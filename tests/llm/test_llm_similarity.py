@@ -205,6 +205,25 @@ def test_abandoned_candidates_are_rare():
     assert np.allclose(score, scores[i, j])
 
 
+def test_near_candidates_agree_in_all_blocks():
+    """Neighbours of a high cosine, of a common direction and of few dimensions are kept, and far vectors are still left."""
+    rng = np.random.default_rng(12)
+    noise = lambda n: rng.normal(size=(n, 64))
+    centres = noise(20)
+    grouped = centres[np.arange(2000) % 20] + 0.2 * noise(2000)
+    shifted = noise(2000) + 5 * np.eye(64)[0]
+    flat = rng.normal(size=(2000, 4)) @ rng.normal(size=(4, 64)) + 0.01 * noise(2000)
+    for x in (grouped, shifted, flat):
+        q = x[:40]
+        scores = q @ x.T
+        bound = np.sort(scores, axis=1)[:, -20]
+        i, j, score = ann.scan(q, x, bound, np.zeros(scores.shape, bool), 20, ann.rotation(64))
+        kept = set(zip(i.tolist(), j.tolist(), strict=True))
+        true = {(a, b) for a in range(40) for b in np.flatnonzero(scores[a] >= bound[a])}
+        assert len(true & kept) >= 0.98 * len(true) and len(kept) < 0.5 * scores.size
+        assert np.allclose(score, scores[i, j])
+
+
 def test_lists_of_two_levels(monkeypatch):
     """Orders of lists are those of their centres, whatever share of them is asked for."""
     monkeypatch.setattr(ann, "COARSE", 50)
