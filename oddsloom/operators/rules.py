@@ -29,13 +29,19 @@ def rule_inputs(title: Column, subtitle: Column, description: Column, source: Co
     return json_object(fields)
 
 
+def _once(df: DataFrame, column: str) -> DataFrame:
+    """The same rows; ``column`` is computed before what reads it, and not again at each place that does."""
+    return df.select(*(c for c in df.columns if c != column), F.explode(F.array(column)).alias(column))
+
+
 def with_rules(df: DataFrame, inputs: str) -> DataFrame:
     """Adds ``terms`` (what the rules come to), ``payload`` (their canonical JSON) and ``hash`` (32 digits), from a column of inputs.
 
     A venue's own strike and comparator rule.  Where it has a structured strike without a number, the condition is no
     number, and none is read from the title.  The cutoff counts by its hour.  All three are null for what is no JSON object.
     """
-    x = F.from_json(inputs, SCHEMA)
+    df = _once(df.withColumn("__x", F.from_json(inputs, SCHEMA)), "__x")
+    x = F.col("__x")
     get = lambda name: F.coalesce(x[name], F.lit(""))
     headline = F.trim(F.concat_ws(" ", get("title"), get("subtitle")))
     description, full = get("description"), F.trim(F.concat_ws(" ", headline, get("description")))
@@ -55,7 +61,7 @@ def with_rules(df: DataFrame, inputs: str) -> DataFrame:
     )
     rows = df.withColumn("__cutoff", x["cutoff_time"])
     is_object = F.startswith(F.trim(F.col(inputs)), F.lit("{")) & F.try_parse_json(inputs).isNotNull()
-    rows = rows.withColumn("terms", F.when(is_object, terms)).drop("__cutoff")
+    rows = _once(rows.withColumn("terms", F.when(is_object, terms)).drop("__cutoff", "__x"), "terms")
     t = F.col("terms")
     payload = json_object(
         {
