@@ -160,7 +160,8 @@ def multi_outcome(levels: DataFrame, legs: DataFrame, events: DataFrame) -> Data
     leg = F.struct("book_id", "platform", "fee_rate", "fee_type", "tick_size", "ladder")
     rows = sides.groupBy("event_id").agg(F.count("*").alias("n_legs"), F.sum("top").alias("tops"), F.min("capacity").alias("capacity"), F.max("age").alias("age"), F.array_sort(F.collect_list(leg)).alias("legs"))
     rows = rows.join(events, "event_id").where((F.col("n_legs") >= 2) & (F.col("n_legs") >= F.coalesce("outcome_count", F.lit(0))) & (F.col("tops") < 1))
-    rows = rows.withColumn("sets", matched_size(F.transform("legs", lambda l: l["ladder"]), F.col("capacity"))).where("sets > 0")
+    # A generator, so that the filter on the size does not run the bisection once more.
+    rows = rows.withColumn("sets", F.explode(F.array(matched_size(F.transform("legs", lambda l: l["ladder"]), F.col("capacity"))))).where("sets > 0")
     each = rows.select("event_id", "n_legs", "age", "mutually_exclusive", "exhaustive", "negative_risk", "sets", F.explode("legs").alias("l"))
     each = each.withColumn("f", books.filled_at(F.col("l.ladder"), F.col("sets").cast("decimal(18,6)"))).withColumn("average", usd(F.col("f.notional") / F.col("f.filled")).cast(PRICE))
     costs = _settled_costs(F.col("sets"), [(F.col("l.platform"), F.col("average"), F.col("l.fee_rate"), F.col("l.fee_type"), F.col("l.tick_size"))], F.col("average"), None, F.lit(None))
