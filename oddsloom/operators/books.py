@@ -75,9 +75,13 @@ def implied_probability(ask: Column, bid: Column) -> Column:
 
 
 def imbalance(bid_usd: Column, ask_usd: Column) -> Column:
-    """(bid - ask) / (bid + ask) in money; null where there is none."""
+    """(bid - ask) / (bid + ask) in money; null where there is none.
+
+    Both are taken in units of the last place of money, as whole numbers: a double holds those, so a tie stays one.
+    """
     b, a = F.coalesce(bid_usd, F.lit(0)), F.coalesce(ask_usd, F.lit(0))
-    return F.when(b + a > 0, (b - a).cast("double") / (b + a).cast("double"))
+    whole = lambda x: (x * F.lit(10**8)).cast("decimal(38,0)").cast("double")
+    return F.when(b + a > 0, whole(b - a) / whole(b + a))
 
 
 def depth_profile(levels: DataFrame, keys: Sequence[str]) -> DataFrame:
