@@ -295,6 +295,12 @@ def _stars(candidates: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFr
     return stored(pairs, "partenum-pairs"), hubs
 
 
+def _untried(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """The pairs (a, b), in order, without those that were compared in an earlier turn."""
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return stored(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "partenum-untried")
+
+
 def _in_blocks(left: DataFrame, placed: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """a, b, similarity: links of different components between the sets of signatures (signature, key, label).
 
@@ -346,7 +352,8 @@ def _similar(pairs: DataFrame, placed: DataFrame, items: DataFrame, percent: int
     """
     block = lambda x: placed.select(F.col("key").alias(x), F.col("block").alias(f"{x}_block"))
     dealt = pairs.join(block("a"), "a").join(block("b"), "b")
-    dealt = dealt.select(F.least("a_block", "b_block").alias("i"), F.greatest("a_block", "b_block").alias("j"), "a", "b").distinct()
+    # Both sides of the comparison read it.
+    dealt = stored(dealt.select(F.least("a_block", "b_block").alias("i"), F.greatest("a_block", "b_block").alias("j"), "a", "b").distinct(), "partenum-dealt")
     asked = dealt.select(F.col("i").alias("left"), F.col("j").alias("right"), F.explode(F.array("a", "b")).alias("key")).distinct().join(items, "key")
 
     def run(some: pa.Table, sets: pa.Table) -> pa.Table:
@@ -414,8 +421,10 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     placed = named.join(blocks, "home").select("key", "name", "held", F.concat_ws("-", "home", F.pmod(F.xxhash64("key"), F.col("n"))).alias("block"))
     placed = stored(placed, "partenum-blocks")
 
-    links, left = None, members
+    links, tried, left = None, None, members
     for turn in range(TURNS):
+        pairs = _untried(pairs, tried)
+        tried = pairs if tried is None else tried.unionByName(pairs)
         found = stored(_similar(pairs, placed, items, percent), "partenum-links", wide=True)
         links = found if links is None else links.unionByName(found)
         classes = components(links)
@@ -434,7 +443,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     of = lambda x: few.select("signature", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", "held")))
     met_in = of("a").join(of("b"), "signature").where("a_key < b_key AND a_label <> b_label")
     near = met_in.where((100 * F.col("a_held") >= percent * F.col("b_held")) & (100 * F.col("b_held") >= percent * F.col("a_held")))
-    pairs = stored(near.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")).distinct(), "partenum-pairs")
+    pairs = _untried(near.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), tried)
     more = stored(_similar(pairs, placed, items, percent), "partenum-links", wide=True)
     more = more.unionByName(stored(_in_blocks(counted.where(F.col("n") > PAIRED).drop("n"), placed, items, percent), "partenum-more", wide=True).select("a", "b"))
     if not more.isEmpty():
