@@ -17,6 +17,9 @@ for each, so a signature that a third of all rows share reaches its slot once fo
 signature is held against the set among them that meets most others; where that leaves them in several components,
 against one more that the first is not tied to.  Sets that are in different components after that are compared with each
 other, each pair once however many signatures it shares; those of large signatures in blocks (:func:`_in_blocks`).
+
+Most pairs that share a signature are not similar.  Sets go to a comparison only if sizes and sketches of the pair allow
+it to be: these bound from below in how many elements two sets differ, so no pair is lost (:func:`_sketch`).
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from math import comb, exp, sqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import neardup
@@ -47,6 +50,8 @@ BLOCK, BLOCK_ITEMS = 1024, 1 << 20
 TURNS = 2
 #: Sets of a signature that are paired one by one, at most; those of a larger one are compared in blocks.
 PAIRED = 64
+#: Bits of a sketch.
+SKETCH = 1024
 #: Bytes of text that a task works on at once; a longer text is worked on alone.
 SLICE = 1 << 20
 _SEED = np.uint64(0xA0761D6478BD642F)
@@ -190,6 +195,27 @@ def _key(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
+def _sketch(items: np.ndarray) -> np.ndarray:
+    """Whether the number of elements in each of ``SKETCH`` cells is odd, as longs.
+
+    An element that only one of two sets has changes one bit, so sets differ in as many elements as bits, or more.
+    """
+    n = np.bincount((mixed(items ^ _ODD[42]) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((n & 1).astype(np.uint8)).view(np.int64)
+
+
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    """Whether sets of so many elements can be similar: the larger one holds all that both can share."""
+    return (100 * F.col(a) >= percent * F.col(b)) & (100 * F.col(b) >= percent * F.col(a))
+
+
+def _sketches_allow(percent: int) -> Column:
+    """Whether the sets a and b (held, sketch) can be similar: 100 * both >= percent * union bounds the elements that they differ in."""
+    bits = F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda so_far, x: so_far + x)
+    return (100 + percent) * apart <= (100 - percent) * (F.col("a_held") + F.col("b_held"))
+
+
 def _tied(signature: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs sorted by signature and key, each once; and for each the least key of its signature."""
     order = np.lexsort((key, signature))
@@ -275,7 +301,7 @@ def _meet(rows: pa.Table) -> pa.Table:
 
 
 def _items(texts: DataFrame, words: int) -> DataFrame:
-    """key, name and the sorted shingles of each set, from (key, text); a text that is not its key's is left out."""
+    """key, name, the sorted shingles and the sketch of each set, from (key, text); a text that is not its key's is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tidied(batches):
@@ -283,9 +309,9 @@ def _items(texts: DataFrame, words: int) -> DataFrame:
             for a, b, sets in _sliced(batch.column(1), words):
                 names = [_name(x) for x in sets]
                 fits = [i for i, x in enumerate(names) if _key(x) == given[a + i]]
-                yield pa.record_batch([pa.array([given[a + i] for i in fits], pa.int64()), pa.array([names[i] for i in fits], pa.binary()), pa.array([sets[i].view(np.int64) for i in fits], pa.list_(pa.int64()))], ["key", "name", "items"])
+                yield pa.record_batch([pa.array([given[a + i] for i in fits], pa.int64()), pa.array([names[i] for i in fits], pa.binary()), pa.array([sets[i].view(np.int64) for i in fits], pa.list_(pa.int64())), pa.array([_sketch(sets[i]) for i in fits], pa.list_(pa.int64()))], ["key", "name", "items", "sketch"])
 
-    return texts.select("key", "text").mapInArrow(run, "key long, name binary, items array<long>").dropDuplicates(["name"])
+    return texts.select("key", "text").mapInArrow(run, "key long, name binary, items array<long>, sketch array<long>").dropDuplicates(["name"])
 
 
 def _stars(candidates: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -348,13 +374,14 @@ def _pack(rows: pa.Table) -> pa.Table:
 def _similar(pairs: DataFrame, placed: DataFrame, items: DataFrame, percent: int) -> DataFrame:
     """a and b (names of sets) for the pairs of keys that are similar by exact comparison.
 
-    ``placed`` has key and block.  Pairs of two blocks are one piece of work, to which each of their sets goes once.
+    ``placed`` has key, block, held and sketch.  Pairs of two blocks are one piece of work, to which each of their sets goes
+    once.  Pairs that cannot be similar by their sizes and sketches are not dealt.
     """
-    block = lambda x: placed.select(F.col("key").alias(x), F.col("block").alias(f"{x}_block"))
-    dealt = pairs.join(block("a"), "a").join(block("b"), "b")
+    of = lambda x: placed.select(F.col("key").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("block", "held", "sketch")))
+    dealt = pairs.join(of("a"), "a").join(of("b"), "b").where(_sizes_allow("a_held", "b_held", percent) & _sketches_allow(percent))
     # Both sides of the comparison read it.
     dealt = stored(dealt.select(F.least("a_block", "b_block").alias("i"), F.greatest("a_block", "b_block").alias("j"), "a", "b").distinct(), "partenum-dealt")
-    asked = dealt.select(F.col("i").alias("left"), F.col("j").alias("right"), F.explode(F.array("a", "b")).alias("key")).distinct().join(items, "key")
+    asked = dealt.select(F.col("i").alias("left"), F.col("j").alias("right"), F.explode(F.array("a", "b")).alias("key")).distinct().join(items.select("key", "name", "items"), "key")
 
     def run(some: pa.Table, sets: pa.Table) -> pa.Table:
         of: dict[int, list] = {}
@@ -406,8 +433,11 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     rows = met.where("not edge").select("doc_id", "ref", "name", "key", "n_shingles")
     # Each signature that several sets have, with those sets; a set that meets many others is near to many.
     members = stored(edges.select("signature", F.explode(F.array("a", "b")).alias("key")).distinct(), "partenum-members")
-    sizes = members.groupBy("signature").agg(F.count("*").alias("n"))
-    meets = stored(members.join(sizes, "signature").groupBy("key").agg(F.sum("n").alias("meets")), "partenum-meets")
+    # Similar sets share many signatures; of those that the same sets have, one stands for all.
+    held_by = members.groupBy("signature").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y"))
+    sizes = stored(held_by.groupBy("n", "x", "y").agg(F.min("signature").alias("signature")).select("signature", "n"), "partenum-signatures")
+    members = stored(members.join(sizes, "signature"), "partenum-classes")
+    meets = stored(members.groupBy("key").agg(F.sum("n").alias("meets")), "partenum-meets")
     members = stored(members.join(meets, "key"), "partenum-ranked")
     pairs, hubs = _stars(members, members)
 
@@ -419,6 +449,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     items = stored(_items(texts, words), "partenum-items", wide=True)
     blocks = named.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_ITEMS)).alias("n"))
     placed = named.join(blocks, "home").select("key", "name", "held", F.concat_ws("-", "home", F.pmod(F.xxhash64("key"), F.col("n"))).alias("block"))
+    placed = placed.join(items.select("name", "sketch"), "name")
     placed = stored(placed, "partenum-blocks")
 
     links, tried, left = None, None, members
@@ -434,18 +465,18 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         apart = left.groupBy("signature").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("signature")
         left = stored(left.join(apart, "signature"), "partenum-left")
         if turn < TURNS - 1:
-            # The set that meets most, among those that no hub is tied to, is held against all others.
-            tied = hubs.withColumnRenamed("hub", "key").join(left.select("signature", "key", "label"), ["signature", "key"]).select("signature", "label")
-            pairs, more = _stars(left.join(tied.distinct(), ["signature", "label"], "left_anti"), left)
+            # The set that meets most, among those that no hub is tied to, is held against all others, unless all will be paired.
+            many = left.where(F.col("n") > PAIRED)
+            tied = hubs.withColumnRenamed("hub", "key").join(many.select("signature", "key", "label"), ["signature", "key"]).select("signature", "label")
+            pairs, more = _stars(many.join(tied.distinct(), ["signature", "label"], "left_anti"), many)
             hubs = hubs.unionByName(more)
-    counted = left.join(left.groupBy("signature").agg(F.count("*").alias("n")), "signature")
-    few = counted.where(F.col("n") <= PAIRED).drop("n").join(placed.select("key", "held"), "key")
-    of = lambda x: few.select("signature", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", "held")))
+    few = left.where(F.col("n") <= PAIRED).join(placed.select("key", "held", "sketch"), "key")
+    of = lambda x: few.select("signature", *(F.col(c).alias(f"{x}_{c}") for c in ("key", "label", "held", "sketch")))
     met_in = of("a").join(of("b"), "signature").where("a_key < b_key AND a_label <> b_label")
-    near = met_in.where((100 * F.col("a_held") >= percent * F.col("b_held")) & (100 * F.col("b_held") >= percent * F.col("a_held")))
+    near = met_in.where(_sizes_allow("a_held", "b_held", percent) & _sketches_allow(percent))
     pairs = _untried(near.select(F.col("a_key").alias("a"), F.col("b_key").alias("b")), tried)
     more = stored(_similar(pairs, placed, items, percent), "partenum-links", wide=True)
-    more = more.unionByName(stored(_in_blocks(counted.where(F.col("n") > PAIRED).drop("n"), placed, items, percent), "partenum-more", wide=True).select("a", "b"))
+    more = more.unionByName(stored(_in_blocks(left.where(F.col("n") > PAIRED).drop("n"), placed, items, percent), "partenum-more", wide=True).select("a", "b"))
     if not more.isEmpty():
         classes = components(links.unionByName(more))
 
